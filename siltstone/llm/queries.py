@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import minhash_bayes, quality_llr
+from siltstone.llm import hash_tree, line_windows, minhash_bayes, packing_gga, quality_llr
 from siltstone.llm.tables import table
 
 
@@ -18,9 +19,39 @@ def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_bayes.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_packing_gga(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_gga.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_windows.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.concat_ws(",", "removed_lines").alias("removed_lines"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_tree.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_llr, op8_minhash_bayes)}
+    return {f.__name__: f for f in (op2_quality_llr, op6_packing_gga, op8_minhash_bayes, op9_line_windows, op10_hash_tree)}
+
+
+OP9_SQL = r"""
+WITH t AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM t),
+c AS (SELECT doc_id, line, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM l
+      WHERE regexp_matches(line, '[^ 	-]')),
+w AS (SELECT a.doc_id, a.pos AS a, e.pos AS b, a.line AS l1, m.line AS l2, e.line AS l3
+      FROM c a JOIN c m ON a.doc_id = m.doc_id AND m.k = a.k + 1 JOIN c e ON a.doc_id = e.doc_id AND e.k = a.k + 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, a) AS nth FROM w),
+g AS (SELECT DISTINCT l.doc_id, l.pos FROM l JOIN r ON l.doc_id = r.doc_id AND l.pos BETWEEN r.a AND r.b WHERE r.nth > 1),
+x AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+             coalesce(string_agg(CAST(g.pos AS VARCHAR), ',' ORDER BY g.pos), '') AS removed_lines,
+             md5(coalesce(string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '')) AS text_md5
+      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT * FROM x
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_windows": OP9_SQL}
