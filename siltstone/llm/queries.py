@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import hash_tree, line_windows, minhash_bayes, packing_gga, quality_llr
+from siltstone.llm import arc_warc, hash_tree, line_windows, minhash_bayes, packing_gga, quality_llr
 from siltstone.llm.tables import table
 
 
@@ -19,6 +19,11 @@ def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_bayes.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op5_arc_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = arc_warc.pages_through_archives(table(spark, sf_dir, "pages"))
+    return back.select(F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_source").alias("refers_to"))
+
+
 def op6_packing_gga(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_gga.pack(table(spark, sf_dir, "documents"))
 
@@ -33,14 +38,15 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_llr, op6_packing_gga, op8_minhash_bayes, op9_line_windows, op10_hash_tree)}
+    return {f.__name__: f for f in (op2_quality_llr, op5_arc_warc, op6_packing_gga, op8_minhash_bayes, op9_line_windows, op10_hash_tree)}
 
 
 OP9_SQL = r"""
 WITH t AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM t),
 c AS (SELECT doc_id, line, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM l
-      WHERE regexp_matches(line, '[^ 	-]')),
+      WHERE regexp_matches(line, '[^ 	-
+]')),
 w AS (SELECT a.doc_id, a.pos AS a, e.pos AS b, a.line AS l1, m.line AS l2, e.line AS l3
       FROM c a JOIN c m ON a.doc_id = m.doc_id AND m.k = a.k + 1 JOIN c e ON a.doc_id = e.doc_id AND e.k = a.k + 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, a) AS nth FROM w),
