@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import arc_warc, hash_tree, line_windows, minhash_bayes, packing_gga, quality_llr
+from siltstone.llm import arc_warc, hash_tree, line_windows, minhash_bayes, packing_gga, quality_llr, template_leaks
 from siltstone.llm.tables import table
 
 
@@ -15,6 +15,11 @@ def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = template_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "item_windows", "n_slots")
+
+
 def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_bayes.near_classes(table(spark, sf_dir, "documents"))
 
@@ -38,7 +43,7 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_llr, op5_arc_warc, op6_packing_gga, op8_minhash_bayes, op9_line_windows, op10_hash_tree)}
+    return {f.__name__: f for f in (op2_quality_llr, op5_arc_warc, op6_packing_gga, op7_template_leaks, op8_minhash_bayes, op9_line_windows, op10_hash_tree)}
 
 
 OP9_SQL = r"""
