@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import arc_warc, hash_tree, line_windows, minhash_bayes, packing_gga, quality_llr, template_leaks
+from siltstone.llm import arc_warc, hash_tree, line_windows, lm_gru, minhash_bayes, packing_gga, quality_llr, template_leaks
 from siltstone.llm.tables import table
 
 
@@ -24,6 +24,10 @@ def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_bayes.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_gru.score(table(spark, sf_dir, "documents"))
+
+
 def op5_arc_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = arc_warc.pages_through_archives(table(spark, sf_dir, "pages"))
     return back.select(F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_source").alias("refers_to"))
@@ -43,7 +47,7 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_llr, op5_arc_warc, op6_packing_gga, op7_template_leaks, op8_minhash_bayes, op9_line_windows, op10_hash_tree)}
+    return {f.__name__: f for f in (op2_quality_llr, op3_lm_gru, op5_arc_warc, op6_packing_gga, op7_template_leaks, op8_minhash_bayes, op9_line_windows, op10_hash_tree)}
 
 
 OP9_SQL = r"""
