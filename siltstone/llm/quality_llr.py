@@ -36,10 +36,10 @@ from siltstone.llm import tables
 
 @dataclass(frozen=True)
 class QualityParams:
-    buckets: int = 1 << 18
+    buckets: int = 1 << 13
     trusted: int = 8192
-    backing: float = 4096.0
-    threshold: float = -0.25
+    backing: float = 500.0
+    threshold: float = -0.3
     min_words: int = 20
     repeat_percent: int = 30
     window: int = 8
