@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import arc_warc, hash_tree, line_windows, lm_gru, minhash_bayes, packing_gga, quality_llr, template_leaks
+from siltstone.llm import arc_warc, hash_tree, line_windows, lm_gru, minhash_bayes, packing_gga, quality_llr, surrogates, template_leaks, tool_links
 from siltstone.llm.tables import table
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_entities", "entity_kinds", "text")
+
+
 def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,6 +33,12 @@ def op3_lm_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_gru.score(table(spark, sf_dir, "documents"))
 
 
+def op4_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_links.conversation_calls(table(spark, sf_dir, "conversations"))
+    linked = tool_links.link(calls, results, tool_links.conversation_tools(spark))
+    return linked.select("conv_id", "call_id", "turn", "name", "result_turn", F.col("level").cast("long").alias("level"), "status", "errors", F.md5(F.col("canonical").cast("binary")).alias("canonical_md5"))
+
+
 def op5_arc_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = arc_warc.pages_through_archives(table(spark, sf_dir, "pages"))
     return back.select(F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_source").alias("refers_to"))
@@ -47,7 +58,7 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_llr, op3_lm_gru, op5_arc_warc, op6_packing_gga, op7_template_leaks, op8_minhash_bayes, op9_line_windows, op10_hash_tree)}
+    return {f.__name__: f for f in (op1_surrogates, op2_quality_llr, op3_lm_gru, op4_tool_links, op5_arc_warc, op6_packing_gga, op7_template_leaks, op8_minhash_bayes, op9_line_windows, op10_hash_tree)}
 
 
 OP9_SQL = r"""
@@ -67,6 +78,35 @@ x AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
 SELECT * FROM x
 """
 
+OP4_SQL = r"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text,
+                            concat(conv_id, ':', turn) AS own, concat(conv_id, ':', turn - 1) AS prev,
+                            concat(conv_id, ':', turn - 2) AS needs FROM conversations),
+c AS (SELECT conv_id, own AS call_id, turn, CASE WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS name,
+             CASE WHEN role = 'user' AND turn > 1 THEN needs END AS needs,
+             CASE WHEN role = 'user' THEN
+               concat('{', CASE WHEN turn > 1 THEN concat('"after":"$call:', needs, '",') ELSE '' END,
+                      '"position":', turn, ',"prompt":', CAST(to_json(text) AS VARCHAR), '}')
+             ELSE concat('{"instructions":', CAST(to_json(text) AS VARCHAR), '}') END AS args
+      FROM t WHERE role IN ('user', 'system')),
+r AS (SELECT conv_id, prev AS call_id, min(struct_pack(turn := turn, content := text)) AS r
+      FROM t WHERE role NOT IN ('user', 'system') GROUP BY ALL),
+e AS (SELECT c.conv_id, c.call_id, c.needs FROM c WHERE EXISTS (SELECT 1 FROM c d WHERE d.conv_id = c.conv_id AND d.call_id = c.needs)),
+lv(conv_id, call_id, level) AS (
+  SELECT conv_id, call_id, 0 FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.conv_id = c.conv_id AND e.call_id = c.call_id)
+  UNION ALL SELECT e.conv_id, e.call_id, lv.level + 1 FROM lv JOIN e ON e.conv_id = lv.conv_id AND e.needs = lv.call_id)
+SELECT c.conv_id, c.call_id, c.turn, c.name, r.r.turn AS result_turn, CAST(lv.level AS BIGINT) AS level,
+       CASE WHEN r.r IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+       CASE WHEN c.needs IS NOT NULL AND e.needs IS NULL THEN concat('dangling:', c.needs) ELSE '' END AS errors,
+       md5(concat('{"arguments":', c.args, ',"call_id":"', c.call_id, '","content":', coalesce(CAST(to_json(r.r.content) AS VARCHAR), 'null'), ',"name":"', c.name, '"}')) AS canonical_md5
+FROM c LEFT JOIN r USING (conv_id, call_id) LEFT JOIN e USING (conv_id, call_id) LEFT JOIN lv USING (conv_id, call_id)
+UNION ALL
+SELECT t.conv_id, t.prev, NULL, NULL, t.turn, NULL, 'orphan', '',
+       md5(concat('{"arguments":null,"call_id":"', t.prev, '","content":', CAST(to_json(t.text) AS VARCHAR), ',"name":null}'))
+FROM t WHERE role NOT IN ('user', 'system')
+         AND NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = t.conv_id AND c.call_id = t.prev)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_windows": OP9_SQL}
+    return {"op4_tool_links": OP4_SQL, "op9_line_windows": OP9_SQL}
