@@ -130,5 +130,5 @@ def document_key() -> Column:
 def drop_contaminated(docs: DataFrame, items: DataFrame, params: LeakParams | None = None) -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
     p = params or LeakParams()
-    bad = stored(leaks(docs, items, p).select("key").distinct(), "contaminated")
-    return docs.join(_bounded(bad, p.broadcast_rows), document_key() == F.col("key"), "left_anti")
+    bad = _bounded(stored(leaks(docs, items, p).select("key").distinct(), "contaminated"), p.broadcast_rows)
+    return docs.join(bad, document_key() == bad["key"], "left_anti")

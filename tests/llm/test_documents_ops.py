@@ -1,0 +1,381 @@
+"""Operators over documents, against plain versions and on awkward rows."""
+
+import collections
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from siltstone.llm import gru, hash_tree, line_windows, lm_gru, minhash_bayes, packing_gga, quality_llr, surrogates
+from siltstone.llm import kernels as K
+
+AWKWARD = [
+    (1, None),
+    (2, ""),
+    (3, "one"),
+    (None, "a null id has a text of its own that is long enough to have several shingles in it"),
+    (4, "word " * 3000),
+    (5, "x" * 300_000),
+    (6, "the same text twice over, with some more words to make it count\nsecond line\nthird line\nfourth"),
+    (6, "the same text twice over, with some more words to make it count\nsecond line\nthird line\nfourth"),
+    (7, "\n\n \t\n"),
+    (8, "Ünïcode wörds – and “quotes” \U0001f600   end\r\nnext"),
+]
+SCHEMA = "doc_id long, text string"
+
+
+def frame(spark, rows, extra=False):
+    df = spark.createDataFrame(rows, SCHEMA)
+    if extra:
+        from pyspark.sql import functions as F
+
+        for c in ("n_lines", "spans", "key", "f", "id", "kept", "shard", "rep", "row", "n_entities", "h"):
+            df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+def fold(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+
+
+def synthetic(n, seed=0):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("aeioubcdrst") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    out = []
+    for i in range(n):
+        if i and rng.random() < 0.4:
+            w = out[rng.randrange(len(out))][1].split(" ")
+            for _ in range(rng.choice([0, 0, 1, 2, 6])):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            out.append((i, " ".join(w)))
+        else:
+            w = [rng.choice(words) for _ in range(rng.choice([3, 30, 60, 90, 200]))]
+            out.append((i, "".join(x + ("\n" if rng.random() < 0.1 else " ") for x in w).strip()))
+    return out
+
+
+def test_words_and_hashes():
+    import pyarrow as pa
+
+    texts = [t for _, t in AWKWARD] + ["a b", "ab", " a\x0bb\x1cc "]
+    buf, off = K.text_bytes(pa.array(texts))
+    s, e, first = K.words(buf, off)
+    raw = buf.tobytes()
+    assert [raw[a:b] for a, b in zip(s, e, strict=True)] == [w for t in texts for w in (t or "").encode().split()]
+    assert np.diff(first).tolist() == [len((t or "").encode().split()) for t in texts]
+    seen = {}
+    for h, a, b in zip(K.hashes(buf, s, e).tolist(), s, e, strict=True):
+        assert seen.setdefault(raw[a:b], h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+# ---------------------------------------------------------------- quality
+
+
+def plain_stats(text):
+    t = text or ""
+    w = t.encode().split()
+    lines = [x for x in t.split("\n") if x.encode().split()]
+    wins = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    n = collections.Counter(wins)
+    cover = {i + k for i, x in enumerate(wins) if n[x] > 1 for k in range(8)}
+    return (len(w), sum(len(x.decode()) for x in w), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover))
+
+
+def test_quality(spark):
+    rng = random.Random(3)
+    clean = [(100 + i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) + rng.choice(["", "", ","]) for _ in range(60))) for i in range(60)]
+    junk = [(200 + i, " ".join(rng.choice(["alpha", "beta", "gamma"]) + rng.choice(["%%%", "&&&", "!!"]) for _ in range(60))) for i in range(20)]
+    rows = AWKWARD + clean + junk
+    labels = spark.createDataFrame([(100 + i, 1, 0) for i in range(30)] + [(None, 1, 0), (200, 0, 0)], "doc_id long, quality int, toxic int")
+    got = quality_llr.score(frame(spark, rows, True), labels).collect()
+    assert len(got) == len(rows)
+    want = collections.defaultdict(list)
+    for i, t in rows:
+        want[i].append(plain_stats(t))
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) in want[r.doc_id]
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+        assert not (r.kept and r.base_failed)
+    assert all(r.kept for r in got if r.doc_id and 100 <= r.doc_id < 200 and not r.base_failed)
+    assert not any(r.kept for r in got if r.doc_id and r.doc_id >= 200)
+    docs = frame(spark, rows, True)
+    stays = quality_llr.filter_documents(docs, labels)
+    assert stays.columns == docs.columns and sorted(r.doc_id or 0 for r in stays.collect()) == sorted(r.doc_id or 0 for r in got if r.kept)
+    empty = spark.createDataFrame([], SCHEMA)
+    assert quality_llr.score(empty, labels).count() == 0 and quality_llr.score(frame(spark, clean), labels.limit(0)).count() == 60
+
+
+# ---------------------------------------------------------------- language model
+
+
+def test_gradients():
+    shape, rng = gru.Shape(4, 2, 3, 2), np.random.default_rng(1)
+    symbols, lengths = rng.integers(0, shape.symbols, 60), np.array([20, 25, 15])
+    m = gru.Model.born(shape, np.ones(6), np.ones(2))
+    m.flat[:] = rng.normal(0, 0.5, shape.total)
+    at, fresh = gru.lanes(lengths, 2)
+    y = np.where(at >= 0, symbols[at], 0)
+    x = np.zeros_like(y)
+    x[1:] = y[:-1]
+    x[fresh == 0] = 0
+    g = gru.Model(shape, np.zeros(shape.total, np.float32))
+    states, kept = m.steps(x, fresh, np.zeros((2, 4), np.float32), True)
+    ok = at.ravel() >= 0
+    _, dh = m.losses(states.reshape(-1, 4)[ok], y.ravel()[ok], g)
+    full = np.zeros((states.shape[0] * 2, 4), np.float32)
+    full[ok] = dh
+    m.backward(x, fresh, kept, full.reshape(states.shape), g)
+    for i in rng.integers(0, shape.total, 30):
+        a, out = m.flat[i], []
+        for d in (1e-2, -1e-2):
+            m.flat[i] = a + d
+            out.append(-gru.score(m, symbols, lengths, 0, most=2, window=100).sum())
+        m.flat[i] = a
+        assert abs((out[0] - out[1]) / 2e-2 - g.flat[i]) < 2e-3
+
+
+def test_state_is_carried():
+    shape, rng = gru.Shape(4, 2, 3, 2), np.random.default_rng(2)
+    m = gru.Model.born(shape, np.ones(6), np.ones(2))
+    symbols, lengths = rng.integers(0, shape.symbols, 300), np.array([1, 250, 40, 9])
+    whole = gru.score(m, symbols, lengths, 0, most=1, window=1000)
+    assert np.allclose(whole, gru.score(m, symbols, lengths, 0, most=3, window=7), atol=1e-4)
+    total = np.exp([gru.score(m, np.append(symbols[:5], k), np.array([6]), 0)[5] for k in range(shape.symbols)]).sum()
+    assert abs(total - 1) < 1e-4
+
+
+def test_lm_scores(spark):
+    rows = AWKWARD + [(1000 + i, t) for i, t in synthetic(150, 5)]
+    got = lm_gru.score(frame(spark, rows, True), lm_gru.LmParams(heavy=50, share=2, shape=gru.Shape(8, 4, 8, 8))).collect()
+    assert len(got) == len(rows)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = [(i, [*fold(t), 1]) for i, t in rows]
+    c = collections.Counter(w for i, ws in tokens if not held(i) for w in ws)
+    n, v = sum(c.values()), len(c)
+    want = collections.defaultdict(list)
+    for i, ws in tokens:
+        want[i].append((held(i), len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)))
+    for r in got:
+        assert any((r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4] and math.isclose(r.base_score, w[4], rel_tol=1e-9) for w in want[r.doc_id]), r
+        assert r.score < 0
+    per = sum(r.score for r in got if r.held_out) / sum(r.base_score for r in got if r.held_out)
+    assert per < 1.1
+    assert lm_gru.score(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+# ---------------------------------------------------------------- packing
+
+
+def test_encoder_equals_tokenizer():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, enc = Tokenizer.from_file(path), packing_gga.Encoder(path, 40)
+    texts = [t or "" for _, t in AWKWARD] + ["it's ISN'T we'll. a.b,c!! <|endoftext|> x<|startoftext|>y", "éclair. ẛ̣. K ǅabc ß", "a≠ ≠ x y ١٢ 12,5kg (a) \"b\". İstanbul ﬁn \x1c a\x00b 日本語。!!", "Word."]
+    for part, buf, off in K.chunks(iter([pa.record_batch([pa.array(texts)], ["text"])]), "text", 1000):
+        for t, ids in zip(part.column(0).to_pylist(), enc.encode(buf, off), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t[:80]
+
+
+def test_packing(spark):
+    rows = AWKWARD + [(1000 + i, t * (1 + i % 5)) for i, t in synthetic(150, 7)]
+    p = packing_gga.PackParams(length=256, block=60)
+    got = packing_gga.pack(frame(spark, rows, True), p).toPandas()
+    assert got.groupby("sequence_id").length.sum().max() <= 256
+    g = got.sort_values(["sequence_id", "offset"])
+    assert (g.offset == g.groupby("sequence_id").length.cumsum() - g.length).all()
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = collections.Counter()
+    for i, t in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 256):
+            want[i, k // 256, k, len(ids[k : k + 256]), zlib.crc32(np.array(ids[k : k + 256], "<u4").tobytes())] += 1
+    have = collections.Counter((None if x != x else int(x), *map(int, rest)) for x, *rest in got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False))
+    assert have == want
+    assert got.sequence_id.nunique() <= 1.03 * -(-got.length.sum() // 256) + 4
+    assert packing_gga.pack(spark.createDataFrame([], SCHEMA), p).count() == 0
+
+
+def test_evolution_keeps_every_piece():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 100, 200).astype(np.int32)
+    island = packing_gga.Island(sizes, 128, 1, packing_gga.PackParams(length=128, generations=10))
+    population = island.evolve([island.born(0.2) for _ in range(4)])
+    for bins in population:
+        assert sorted(i for b in bins for i in b) == list(range(200)) and min(island.free(bins)) >= 0
+    child = island.cross(population[0], population[1])
+    assert sorted(i for b in child for i in b) == list(range(200)) and min(island.free(child)) >= 0
+    assert packing_gga._unpack(packing_gga._pack(population[0], 200)) == [sorted(b) for b in population[0]]
+
+
+# ---------------------------------------------------------------- near duplicates
+
+
+def plain_components(rows, percent=85):
+    sets = {}
+    for i, t in rows:
+        w = fold(t)
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_near_duplicates(spark, block):
+    rows = [r for r in AWKWARD if r[0]] + [(1000 + i, t) for i, t in synthetic(260, 11)]
+    got = minhash_bayes.near_classes(frame(spark, rows + [AWKWARD[3]], True), minhash_bayes.NearParams(block=block)).collect()
+    assert len(got) == len(rows) + 1
+    want = plain_components(rows)
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
+    kept = minhash_bayes.drop_near_duplicates(frame(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(i for i, (_, c) in want.items() if i == c)
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert minhash_bayes.near_classes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_fewest_matches():
+    steps = minhash_bayes.fewest_matches(minhash_bayes.NearParams())
+    assert [n for n, _ in steps] == [24, 48, 72, 96, 120] and all(m < 0.85 * n for n, m in steps)
+
+
+# ---------------------------------------------------------------- lines
+
+
+def plain_lines(rows):
+    seen, out = {}, {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines = (t or "").split("\n")
+        at = [k for k, x in enumerate(lines) if x.encode().split()]
+        gone = set()
+        for a, b, c in zip(at, at[1:], at[2:], strict=False):
+            if seen.setdefault((lines[a], lines[b], lines[c]), (i, a)) != (i, a):
+                gone |= set(range(a, c + 1))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t
+    return out
+
+
+def test_line_windows(spark):
+    rng = random.Random(6)
+    pool = [f"line {k} of the pool" for k in range(12)]
+    docs = [(100 + i, "\n".join(rng.choice(["", *pool]) for _ in range(rng.randint(0, 14)))) for i in range(80)]
+    rows = AWKWARD + docs + [(300, "a\nb\nc\nd"), (301, "x\na\nb\nc\n\nd\ny"), (302, "b\nc\nd\nb\nc\nd")]
+    got = line_windows.remove_repeats(frame(spark, rows, True)).collect()
+    want = plain_lines(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.text == want[r.doc_id], r.doc_id
+        assert r.n_removed == len(r.removed_lines) and r.spans == "clash"
+    assert line_windows.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+# ---------------------------------------------------------------- shards
+
+
+def test_shards(spark):
+    rows = AWKWARD + [(1000 + i, "t") for i in range(3000)]
+    got = hash_tree.shard_documents(frame(spark, rows, True)).toPandas()
+    assert len(got) == len(rows) and set(got.law) == {"key"} and got.shard.between(0, 15).all()
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    moved = got[got.shard != got.grown_shard]
+    assert set(moved.grown_shard) == {16} and 0.03 < len(moved) / len(got) < 0.09
+    assert got.groupby("shard").size().max() < 1.4 * len(got) / 16
+    by_id = {i: t for i, t in rows if i}
+    for i, size, crc in got[["doc_id", "size", "text_crc32"]].dropna().itertuples(index=False):
+        raw = (by_id[int(i)] or "").encode()
+        assert (size, crc) == (len(raw) + 1, zlib.crc32(raw))
+    assert hash_tree.shard_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_weight_changes_stay_in_their_subtree(spark):
+    from pyspark.sql import functions as F
+
+    before, after = hash_tree.tree(16), hash_tree.tree(16, hash_tree.TreeParams(weights={5: 3.0}))
+    df = spark.range(4000).select(hash_tree.descend(F.col("id"), before).alias("a"), hash_tree.descend(F.col("id"), after).alias("b")).toPandas()
+    moved = df[df.a != df.b]
+    rack, region = set(range(4, 8)), set(range(8))
+    assert len(moved) and moved.b.isin(region).all()
+    inside = moved[moved.a.isin(rack)]
+    assert (inside.b == 5).all()
+    share = (df.b == 5).mean()
+    assert 2.3 / 18 < share < 3.7 / 18
+
+
+# ---------------------------------------------------------------- PII
+
+
+def test_permutations():
+    p = surrogates.Permuter(b"k")
+    for n in (1, 2, 3, 10, 37, 100):
+        assert sorted(p.permute(i, n, "x") for i in range(n)) == list(range(n))
+    s = surrogates.Surrogates(b"k")
+    for kind, values in {"national": [f"{i:09d}" for i in range(500)], "ip": [f"8.{i // 256}.{i % 256}.7" for i in range(500)], "card": [f"4{i:015d}" for i in range(500)], "phone": [f"1{i:010d}" for i in range(500)]}.items():
+        assert len({s.draw(kind, v, 0) for v in values}) == 500
+    valid = "4111111111111111"
+    other = s.draw("card", valid, 0)
+    assert int(other[-1]) == surrogates.luhn(other[:-1]) and other[0] == "4" and other != valid
+    iban = s.draw("iban", "gb82west12345698765432", 0)
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+TEXT = "Mail ann.34@mail7.example.com or ANN.34@MAIL7.EXAMPLE.COM, call +1 (017) 555-7713, card 4516744854574821, host 192.168.3.4 and 157.212.123.28, token = \"e51a5499e3950eabef3742d6cf40b27b4e61a74a\". Mr. John Smith met Mary Smith; Frau Müller. Dr. Иван Петров."
+
+
+def test_surrogates(spark):
+    rows = AWKWARD + [(100, TEXT), (101, TEXT + " " + TEXT)]
+    got = surrogates.replace_entities(frame(spark, rows, True)).collect()
+    assert len(got) == len(rows)
+    plain = {i: t for i, t in rows if i and i < 100}
+    for r in got:
+        if r.doc_id in plain:
+            assert (r.text, r.n_entities) == (plain[r.doc_id], 0)
+    a, b = (next(r.text for r in got if r.doc_id == i) for i in (100, 101))
+    assert b == a + " " + a
+    for private in ("ann.34", "mail7", "555-7713", "4516744854574821", "157.212.123.28", "e51a5499", "Smith", "Müller", "Петров"):
+        assert private not in a
+    import re
+
+    words = re.search(r"Mr\. (\w+) (\w+) met (\w+) (\w+);", a)
+    assert words[2] == words[4] and words[1] in surrogates.GIVEN["m", "latin"] and words[3] in surrogates.GIVEN["f", "latin"]
+    mails = re.findall(r"[\w.]+@[\w.]+", a)
+    assert mails[0].lower() == mails[1].lower().rstrip(".") and mails[1].isupper() or mails[0].lower() == mails[1].lower()
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", a) and "192.168." in a
+    again = surrogates.replace_entities(frame(spark, rows)).where("doc_id = 100").first().text
+    other = surrogates.replace_entities(frame(spark, rows), surrogates.PiiParams(key=b"other")).where("doc_id = 100").first().text
+    assert again == a != other
+
+
+def test_collisions_are_redrawn(spark):
+    s = surrogates.Surrogates(surrogates.PiiParams.key)
+    first = "078-05-1120"
+    norm = s.draw("national", "078051120", 0)
+    second = f"{norm[:3]}-{norm[3:5]}-{norm[5:]}"
+    rows = [(1, f"id {first}"), (2, f"id {second}"), (3, f"ids {first} {second}")]
+    for most in (100_000, 0):
+        got = {r.doc_id: r.text for r in surrogates.replace_entities(frame(spark, rows), surrogates.PiiParams(broadcast_rows=most)).collect()}
+        a, b = got[1][3:], got[2][3:]
+        assert got[3] == f"ids {a} {b}" and len({a, b, first, second}) == 4
