@@ -8,7 +8,8 @@ lines is removed from each text.
 
 Occurrences are 40-byte rows. The first occurrence is found by a partial aggregation, so a window that
 a third of all documents share arrives as one row a task; the join back is split by the adaptive
-planner. A document's covered spans are as many as its own lines at most.
+planner. A document's covered spans are as many as its own lines at most. Texts that surely have none (told
+by a bitmap of fixed size) do not move; the others are joined to their spans.
 
 Defined results: null text is empty and stays as it is; a text with fewer than ``window`` counting lines
 never changes; rows with equal doc_id and equal text are one document and change alike; a null doc_id is
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import kernels as K
-from siltstone.llm.tables import stored
+from siltstone.llm.tables import key_bitmap, rows_by_bitmap, stored
 
 WINDOW = 3
 
@@ -99,7 +100,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     results = ["n_lines", "n_removed", "removed_lines"]
     rest = [F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(docs.columns)]
     own = docs.select(*rest, F.col("doc_id").cast("long").alias("id"), fingerprint().alias("f"), F.col("text").cast("string").alias("old"))
+    own = own.withColumn("key", F.xxhash64("id", "f"))
     spans = stored(covered_spans(docs, window), "spans").select(F.col("doc_id").alias("sid"), F.col("f").alias("sf"), "spans")
-    cut = own.join(spans, F.col("id").eqNullSafe(F.col("sid")) & (F.col("f") == F.col("sf")), "left").withColumn("cut", F.pandas_udf(_cut, CUT)("old", "spans"))
+    bitmap = key_bitmap(spans.select(F.xxhash64("sid", "sf").alias("key")), "key")
+    same = F.col("id").eqNullSafe(F.col("sid")) & (F.col("f") == F.col("sf"))
+    cut = rows_by_bitmap(own, "key", bitmap, True).join(spans, same, "left").withColumn("cut", F.pandas_udf(_cut, CUT)("old", "spans"))
+    whole = F.struct(F.col("old").alias("text"), F.size(F.split(F.coalesce("old", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("removed_lines"))
+    rest = rows_by_bitmap(own, "key", bitmap, False).withColumn("cut", whole)
     kept = [(F.col("cut.text") if c == "text" else F.col(f"in_{k}")).alias(c) for k, c in enumerate(docs.columns) if c not in results]
-    return cut.select(*kept, *[F.col(f"cut.{c}").alias(c) for c in results])
+    done = [*kept, *[F.col(f"cut.{c}").alias(c) for c in results]]
+    return cut.select(*done).unionByName(rest.select(*done))

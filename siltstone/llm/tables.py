@@ -34,3 +34,42 @@ def with_text(df: DataFrame) -> DataFrame:
 def parts(spark: SparkSession, rows: int, most: int) -> int:
     """How many groups of about ``most`` rows; at least one."""
     return max(1, -(-int(rows) // most))
+
+
+BITS = 1 << 24
+
+
+def key_bitmap(keys: DataFrame, column: str):
+    """A broadcast bitmap of ``BITS`` bits (2 MB at any size) in which the long keys' bits are set.
+
+    It tells rows that surely have no partner from those that may have one, so that only the latter move in a
+    join. With far more keys than bits it tells nothing and costs nothing but its 2 MB.
+    """
+    import numpy as np
+
+    place = F.pmod(F.col(column), F.lit(BITS))
+    words = keys.select(F.shiftright(place, 6).cast("int").alias("word"), place.alias("place")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(BITS >> 6, np.uint64)
+    if words.num_rows:
+        out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def may_hold(bitmap, keys):
+    """For each long key, whether its bit is set."""
+    import numpy as np
+
+    place = np.mod(keys, BITS)
+    return (bitmap[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def rows_by_bitmap(df: DataFrame, column: str, bitmap, wanted: bool) -> DataFrame:
+    """The rows of ``df`` whose key may be in the bitmap (or surely is not), without a shuffle."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            m = may_hold(bitmap.value, b.column(b.schema.get_field_index(column)).to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array(m == wanted))
+
+    return df.mapInArrow(run, df.schema)
