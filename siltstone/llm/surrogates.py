@@ -1,7 +1,7 @@
 """Operator 1, PII surrogates: keyed, type-consistent replacements.
 
 *Detection* finds e-mail addresses, telephone numbers, payment cards, IPv4 addresses, national ids
-(ddd-dd-dddd), IBANs, secrets (long hexadecimal strings, and quoted values of token/key/secret/password)
+(ddd-dd-dddd), IBANs, secrets (long hexadecimal strings, access keys of known prefixes, and values of token/key/secret/password)
 and personal names (after a form of address, or a known given name before a capitalised word).
 
 *Replacement* is a keyed permutation of the set of strings of the same form: a Feistel network over the
@@ -68,7 +68,8 @@ _WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][a-zß-öø-ÿа-яёα-ωά
 PATTERNS: list[tuple[str, re.Pattern]] = [
     ("email", re.compile(r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])")),
-    ("quoted", re.compile(r"(?i)(?:token|api_?key|secret|password|passwd)\s*[=:]\s*[\"']([^\"'\s]{6,})[\"']")),
+    ("access", re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp|gho|ghs|glpat|sk|pk|xox[abprs])[-_][A-Za-z0-9_-]{16,})(?![A-Za-z0-9])")),
+    ("quoted", re.compile(r"(?i)(?:token|api_?key|secret|password|passwd|pwd)\s*[=:]\s*(?:[\"'](?P<q>[^\"'\s]{6,})[\"']|(?P<v>(?=[^\s\"']*\d)[^\s\"',;]{8,}))")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("phone", re.compile(rf"(?<![\w.])\+\d{{1,3}}{_GAP}\(?\d{{2,4}}\)?{_GAP}\d{{3,4}}{_GAP}\d{{3,4}}(?!\d)|(?<![\w.])\(\d{{3}}\) ?\d{{3}}[- ]\d{{4}}(?!\d)|(?<![\w.-])\d{{3}}-\d{{3}}-\d{{4}}(?![\d-])")),
     ("card", re.compile(r"(?<![\d.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\d])")),
@@ -180,6 +181,8 @@ class Surrogates:
                 if _private(out) == bits:
                     break
             return ".".join(str(out >> s & 255) for s in (24, 16, 8, 0))
+        if kind == "access":
+            return norm[:4] + p.spell(norm[4:], f"{label}|{norm[:4]}")
         if kind == "secret":
             return p.spell(norm, label, dict.fromkeys(_HEX, _HEX))
         return p.spell(norm, label)
@@ -209,7 +212,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "email" and "@" not in text:
                 continue
             for m in pattern.finditer(text):
-                a, b = m.span(1) if kind == "quoted" else m.span()
+                a, b = m.span() if kind != "quoted" else m.span("q") if m["q"] else m.span("v")
                 if kind == "iban" and not any(c.isdigit() for c in text[a + 4 : b]):
                     continue
                 if all(b <= x or a >= y for x, y, _, _ in out):
