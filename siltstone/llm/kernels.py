@@ -34,6 +34,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Tables that an operator keeps in a Python worker between its tasks; another operator's first task drops them.
+KEPT: dict = {}
+_owner: list[str] = [""]
+
+
+def enter(owner: str = "") -> None:
+    """Called at the start of a task: workers are used again, so what other operators kept goes, and freed pages
+    go back to the system."""
+    if _owner[0] != owner:
+        KEPT.clear()
+        _owner[0] = owner
+    release()
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def small_batches(spark) -> None:
     """Keep the batches that reach Python workers small: whole texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
@@ -74,8 +99,9 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with about ``most`` bytes of ``column``: (slice, bytes, offsets)."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK, owner: str = "") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with about ``most`` bytes of ``column``: (slice, bytes, offsets). Frames a task's work."""
+    enter(owner)
     for batch in batches:
         buf, off = text_bytes(batch.column(batch.schema.get_field_index(column)))
         i, n = 0, batch.num_rows
@@ -84,6 +110,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK) ->
             j = min(n, max(j, i + 1))
             yield batch.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
+        del batch, buf, off
+    release()
 
 
 def runs(same: np.ndarray, keep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
