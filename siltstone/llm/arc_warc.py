@@ -49,7 +49,7 @@ class ArchiveParams:
     date: str = "20260101000000"
     ip: str = "0.0.0.0"
     least: int = 0
-    level: str = "BEST_SPEED"
+    level: str = "DEFAULT_COMPRESSION"
     rows: int = 256
 
 
@@ -228,7 +228,7 @@ ARC = "archive string, offset long, source_id long, url string, date string, typ
 
 
 def read_arc(spark: SparkSession, path: str, blocks: bool, params: ArchiveParams | None = None) -> DataFrame:
-    """The records of the archives below ``path``, with their blocks if asked."""
+    """The records of the archives below ``path``, with their blocks (deflated: they are about to be shuffled) if asked."""
     p = params or ArchiveParams()
     names = [x.split()[0] for x in ARC.split(", ")] + ["block"] * blocks
 
@@ -245,7 +245,7 @@ def read_arc(spark: SparkSession, path: str, blocks: bool, params: ArchiveParams
                     kind = "warcinfo" if offset == 0 else "response" if http else "resource"
                     body = http[1] if http else block
                     ident = http[0].get(SOURCE_ID.lower()) if http else None
-                    rows.append((archive, offset, None if ident is None else int(ident), f["URL"], f["Archive-date"], kind, f["Content-type"], version, len(body), digest(body), record_uuid(f"{archive}|{offset}|{f['URL']}|{f['Archive-date']}"), *([block] if blocks else [])))
+                    rows.append((archive, offset, None if ident is None else int(ident), f["URL"], f["Archive-date"], kind, f["Content-type"], version, len(body), digest(body), record_uuid(f"{archive}|{offset}|{f['URL']}|{f['Archive-date']}"), *([zlib.compress(block, 1)] if blocks else [])))
                     size += len(block) * blocks + 200
                     if size > 1 << 20:
                         yield _batch(rows, ARC + ", block binary" * blocks, names)
@@ -281,7 +281,7 @@ def convert(spark: SparkSession, arc: str, warc: str, params: ArchiveParams | No
         for b in batches:
             for one in range(0, b.num_rows, p.rows):
                 for r in b.slice(one, p.rows).to_pylist():
-                    block, f = r["block"], {"WARC-Type": r["type"], "WARC-Record-ID": f"<{r['record_id']}>", "WARC-Target-URI": r["url"], "WARC-Date": iso_date(r["date"]), "WARC-Payload-Digest": f"sha1:{r['payload_digest']}"}
+                    block, f = zlib.decompress(r["block"]), {"WARC-Type": r["type"], "WARC-Record-ID": f"<{r['record_id']}>", "WARC-Target-URI": r["url"], "WARC-Date": iso_date(r["date"]), "WARC-Payload-Digest": f"sha1:{r['payload_digest']}"}
                     http = r["type"] != "resource"
                     if r["type"] == "revisit":
                         cut = block.find(b"\r\n\r\n") + 4
