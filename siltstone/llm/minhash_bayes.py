@@ -19,8 +19,8 @@ Chance of missing a link of similarity s: banding ``(1 - s**rows) ** bands`` (ab
 5 x 24) plus ``miss`` for the sequential test. Nothing is capped or sampled.
 
 Defined results: null or empty text has an empty set and is linked with nothing; repeated rows with one
-doc_id give one row each and are one document when their texts agree (when texts differ, the links of
-either count for the id); a null doc_id gives a row without a component, kept only by itself.
+doc_id give one row each and are one document when their texts agree (an id with differing texts is compared
+by one of them, and its rows share one component); a null doc_id gives a row without a component, and is kept.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import kernels as K
 from siltstone.llm.components import components
-from siltstone.llm.tables import stored, with_text
+from siltstone.llm.tables import key_bitmap, may_hold, parts, stored, with_text
 
 
 @dataclass(frozen=True)
@@ -202,6 +202,22 @@ def in_blocks(rows: DataFrame, key: str, p: NearParams) -> DataFrame:
     return r.select(*rows.columns, F.least("b", "o").alias("t1"), F.greatest("b", "o").alias("t2"), side.alias("side"))
 
 
+def _in_bins(rows: DataFrame, keys: list[str], n_rows: int, p: NearParams) -> DataFrame:
+    """Adds ``bin``: tasks of ``in_blocks`` dealt by hash into bins of about ``4 * block`` rows, so that small
+    groups share one call of the Python function."""
+    bins = parts(rows.sparkSession, n_rows, 4 * p.block)
+    return rows.withColumn("bin", F.pmod(F.xxhash64(*keys), F.lit(bins).cast("long")))
+
+
+def _each(pdf: pd.DataFrame, keys: list[str], link) -> pd.DataFrame:
+    """``link`` applied to the rows of each group of ``keys``."""
+    out: list[tuple[int, int]] = []
+    for at in pdf.groupby(keys, sort=False).indices.values():
+        if len(at) > 1:
+            out += link(at)
+    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+
 def near_classes(docs: DataFrame, params: NearParams | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
     p = params or NearParams()
@@ -214,9 +230,9 @@ def near_classes(docs: DataFrame, params: NearParams | None = None) -> DataFrame
     classes = prints.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     member = stored(prints.join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
 
-    # One text for each class: rows whose id is the class's own. (A repeated id may bring its rows twice: harmless.)
-    reps = d.join(member.where("n_shingles > 0 and doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    signs = stored(signed_rows(reps, p), "signatures")
+    # One signature for each class: that of the row whose id is the class's own. (A repeated id may bring its rows twice: harmless.)
+    own_id = member.where("n_shingles > 0 and doc_id = rep").select("rep").distinct()
+    signs = stored(signed_rows(d, p).join(own_id, "rep", "left_semi"), "signatures")
     bands = signs.select("rep", F.explode("keys").alias("band")).distinct()
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     pairs = stored(bands.join(shared, "band"), "bands")
@@ -225,21 +241,29 @@ def near_classes(docs: DataFrame, params: NearParams | None = None) -> DataFrame
     sigs = stored(sigs, "active")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        K.enter()
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
-        return pd.DataFrame(_link(pdf["rep"].to_numpy(), sig, pdf["side"].to_numpy(), steps), columns=["u", "v"]).astype("int64")
+        rep, side = pdf["rep"].to_numpy(), pdf["side"].to_numpy()
+        return _each(pdf, keys, lambda at: _link(rep[at], sig[at], side[at], steps))
 
-    rows = in_blocks(pairs, "band", p).join(sigs, "rep")
-    likely = components(rows.groupBy("band", "t1", "t2").applyInPandas(compare, "u long, v long"))
+    keys = ["band", "t1", "t2"]
+    rows = _in_bins(in_blocks(pairs, "band", p), keys, pairs.count(), p).join(sigs, "rep")
+    likely = components(rows.groupBy("bin").applyInPandas(compare, "u long, v long"))
     likely = stored(likely.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")
 
+    bitmap = key_bitmap(likely.select(F.xxhash64("rep").alias("key")), "key")
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, off in K.chunks(batches, "text"):
+        some = (b.filter(pa.array(may_hold(bitmap.value, b.column(2).to_numpy(zero_copy_only=False)))) for b in batches)
+        for part, buf, off in K.chunks(some, "text"):
             got = shingle_sets(buf, off, p.shingle)
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array([x.tobytes() for x in got], pa.binary())], ["rep", "shingles"])
 
-    full = reps.join(likely.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sets, "rep long, shingles binary").dropDuplicates(["rep"])
+    full = d.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id")).mapInArrow(sets, "rep long, shingles binary")
+    full = full.join(likely.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        K.enter()
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
         own = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
 
@@ -250,10 +274,12 @@ def near_classes(docs: DataFrame, params: NearParams | None = None) -> DataFrame
             common = len(np.intersect1d(a, b, assume_unique=True))
             return 100 * common >= p.percent * (len(a) + len(b) - common)
 
-        return pd.DataFrame(_link(pdf["rep"].to_numpy(), sig, pdf["side"].to_numpy(), steps, same), columns=["u", "v"]).astype("int64")
+        rep, side = pdf["rep"].to_numpy(), pdf["side"].to_numpy()
+        return _each(pdf, cluster, lambda at: _link(rep[at], sig[at], side[at], steps, lambda i, k: same(at[i], at[k])))
 
-    rows = in_blocks(likely.join(sigs, "rep").join(full, "rep"), "cluster", p)
-    links = rows.groupBy("cluster", "t1", "t2").applyInPandas(confirm, "u long, v long")
+    cluster = ["cluster", "t1", "t2"]
+    rows = _in_bins(in_blocks(likely, "cluster", p), cluster, likely.count(), p).join(sigs, "rep").join(full, "rep")
+    links = rows.groupBy("bin").applyInPandas(confirm, "u long, v long")
     # A repeated id with differing texts belongs to several classes: its classes are linked through it.
     own = member.where("rep <> doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     twice = prints.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("u"))
