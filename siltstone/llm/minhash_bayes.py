@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import kernels as K
 from siltstone.llm.components import components
-from siltstone.llm.tables import key_bitmap, may_hold, parts, stored, with_text
+from siltstone.llm.tables import key_bitmap, may_hold, parts, rows_by_bitmap, stored, with_text
 
 
 @dataclass(frozen=True)
@@ -289,11 +289,18 @@ def near_classes(docs: DataFrame, params: NearParams | None = None) -> DataFrame
 
 
 def drop_near_duplicates(docs: DataFrame, params: NearParams | None = None) -> DataFrame:
-    """The documents whose doc_id names their component, with all their columns; one row for each doc_id."""
-    classes = stored(near_classes(docs, params), "classes")
-    keep = classes.where("kept").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id"]) if _repeats(classes) else docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-
+    """The documents whose doc_id names their component, with all their columns; one row for each doc_id.
 
-def _repeats(classes: DataFrame) -> bool:
-    return bool(classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+    Only rows that may have to go move (told by a bitmap of fixed size): those of dropped ids and of ids with
+    several rows. Rows with a null doc_id stay.
+    """
+    classes = stored(near_classes(docs, params), "classes")
+    gone = classes.where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
+    twice = classes.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    bitmap = key_bitmap(gone.select(F.xxhash64("gone").alias("key")).unionByName(twice.select(F.xxhash64("doc_id").alias("key"))), "key")
+    fields = [F.col(f"in_{k}").alias(c) for k, c in enumerate(docs.columns)]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"in_{k}") for k, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long")).alias("key"))
+    named = rows.where("id is not null")
+    some = rows_by_bitmap(named, "key", bitmap, True)
+    some = some.join(gone, some["id"] == gone["gone"], "left_anti").dropDuplicates(["id"])
+    return some.select(*fields).unionByName(rows_by_bitmap(named, "key", bitmap, False).select(*fields)).unionByName(rows.where("id is null").select(*fields))

@@ -249,8 +249,10 @@ def test_near_duplicates(spark, block):
     for r in got:
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
-    kept = minhash_bayes.drop_near_duplicates(frame(spark, rows)).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(i for i, (_, c) in want.items() if i == c)
+    docs = frame(spark, [*rows, AWKWARD[3], AWKWARD[3]], True)
+    kept = minhash_bayes.drop_near_duplicates(docs, minhash_bayes.NearParams(block=block))
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted([0, 0, *(i for i, (_, c) in want.items() if i == c)])
 
 
 def test_near_duplicates_of_nothing(spark):
