@@ -255,6 +255,15 @@ def test_near_duplicates(spark, block):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted([0, 0, *(i for i, (_, c) in want.items() if i == c)])
 
 
+def test_near_dedup_stage(spark):
+    import corpus_pipeline as C
+
+    rows = [r for r in AWKWARD if r[0]] + [(1000 + i, t) for i, t in synthetic(260, 12)]
+    want = sorted(i for i, (_, c) in plain_components(rows, 80).items() if i == c)
+    assert len(want) < sum(i == c for i, (_, c) in plain_components(rows, 85).items())
+    assert sorted(r.doc_id for r in C.near_dedup(spark, frame(spark, rows, True), "").collect()) == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_bayes.near_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
