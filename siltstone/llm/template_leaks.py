@@ -2,8 +2,9 @@
 
 Texts become tokens (runs of letters, numbers; punctuation is dropped) and tokens become templates:
 numbers, units after a number and names (a capitalised word that does not start a sentence) turn into
-typed placeholders, all else is lower-cased. Windows of ``window`` template tokens are hash-joined with
-those of the benchmark items. Every match is then checked on the tokens themselves and its slots are
+typed placeholders, all else is case-folded. A second, folded template has no names: its words are all plain,
+so that copies in upper, lower or title case match too. Windows of ``window`` tokens of both templates are
+hash-joined with those of the benchmark items. Every match is then checked on the tokens themselves and its slots are
 read: along one alignment of document and item, each value of the item must stand for one value of the
 document, and the other way round. An item with other numbers or names but one consistent substitution
 is a re-parameterised copy; slots that contradict each other are not.
@@ -11,7 +12,9 @@ is a re-parameterised copy; slots that contradict each other are not.
 A document is contaminated by an item if one alignment has at least ``least`` matching windows (all of
 them, where the item has fewer) and consistent slots. With 8 and 6 that is 13 template tokens in a row, or
 as many windows apart. Items shorter than a window, but of at least ``shortest`` tokens, are matched whole.
-Windows with fewer than ``plain`` plain tokens say nothing and are left out.
+Windows with fewer than ``plain`` plain tokens say nothing and are left out; an item of which some windows
+have too many names is also matched by the others alone. A copy in another case whose names are also changed
+is found only by windows without names.
 
 The benchmark side of the join is broadcast if it has been counted to be at most ``broadcast_rows`` rows,
 else it is shuffled like any join; so are the ids of matched documents in the second pass.
@@ -22,6 +25,7 @@ and text are one document; a null doc_id is reported as null; an empty table giv
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -45,22 +49,34 @@ _NAME, _UNIT = "\u0001", "\u0002"
 
 
 def raw_tokens(text: Column) -> Column:
-    """Tokens in their own spelling; names and units carry a mark in front."""
-    t = F.regexp_replace(text, r"(?<=[\p{L}\p{N},;:)'-]\s)(?=\p{Lu})", _NAME)
-    t = F.regexp_replace(t, r"(?i)(?<=\d)(\s?)(" + "|".join(UNITS) + r")(?![\p{L}\p{N}])", f"$1 {_UNIT}$2")
+    """Case-folded tokens; names and units carry a mark in front."""
+    t = F.lower(F.upper(F.regexp_replace(text, r"([\p{L}\p{N},;:)'-]\s+)(?=\p{Lu})", f"$1{_NAME}")))
+    t = F.regexp_replace(t, rf"(?i)(?<=\d)(\s*){_NAME}?(" + "|".join(UNITS) + r")(?![\p{L}\p{N}])", f"$1 {_UNIT}$2")
     return F.regexp_extract_all(t, F.lit(rf"[{_NAME}{_UNIT}]?\p{{L}}+|\d+(?:[.,:]\d+)*"), F.lit(0))
 
 
 def template(tokens: Column) -> Column:
-    """Placeholders for marked tokens and numbers; lower case for the rest."""
+    """Placeholders for marked tokens and numbers; the rest as it is."""
+    return _typed(tokens, lambda x: F.lit(_NAME))
 
+
+def folded(tokens: Column) -> Column:
+    """The template without names: they are words like others."""
+    return _typed(tokens, lambda x: F.substring(x, 2, 1 << 30))
+
+
+def _typed(tokens: Column, name: Callable[[Column], Column]) -> Column:
     def one(x: Column) -> Column:
         first = F.substring(x, 1, 1)
-        return F.when(first == _NAME, F.lit(_NAME)).when(first == _UNIT, F.lit(_UNIT)).when((first >= "0") & (first <= "9"), F.lit("0")).otherwise(F.lower(x))
+        return F.when(first == _NAME, name(x)).when(first == _UNIT, F.lit(_UNIT)).when((first >= "0") & (first <= "9"), F.lit("0")).otherwise(x)
 
     return F.transform(tokens, one)
 
 
+def _bare(x: Column) -> Column:
+    return F.translate(x, _NAME + _UNIT, "")
+
+
 def _is_slot(x: Column) -> Column:
     return x.isin(_NAME, _UNIT, "0")
 
@@ -72,14 +88,17 @@ def window_hashes(tokens: Column, size: int) -> Column:
 
 
 def item_windows(items: DataFrame, p: LeakParams) -> DataFrame:
-    """(item_id, size, at, h, item, n_windows): windows of the items; ``item`` has the raw tokens of the window."""
+    """(item_id, size, named, at, h, item, n_windows, n_named): windows of the items by both templates (``named``: by
+    that with names); ``item`` has the raw tokens of the window, the counts are those of the item's windows by each."""
     b = items.select(F.col("item_id").cast("long").alias("item_id"), raw_tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("raw")).distinct()
-    b = b.withColumn("t", template("raw")).withColumn("size", F.least(F.size("raw"), F.lit(p.window))).where(F.col("size") >= p.shortest)
+    b = b.withColumn("size", F.least(F.size("raw"), F.lit(p.window))).where(F.col("size") >= p.shortest)
     at = F.explode(F.sequence(F.lit(1), F.size("raw") - F.col("size") + 1))
-    b = b.select("item_id", "size", "raw", "t", at.alias("at")).select("item_id", "size", "at", F.xxhash64(F.slice("t", F.col("at"), F.col("size"))).alias("h"), F.slice("raw", F.col("at"), F.col("size")).alias("item"), F.slice("t", F.col("at"), F.col("size")).alias("t"))
+    b = b.select("item_id", "size", "raw", at.alias("at")).select("item_id", "size", "at", F.slice("raw", F.col("at"), F.col("size")).alias("item"))
+    b = b.withColumn("t", template(F.col("item"))).withColumn("named", F.lit(True)).unionByName(b.withColumn("t", folded(F.col("item"))).withColumn("named", F.lit(False)))
     b = b.where(F.size(F.filter("t", lambda x: ~_is_slot(x))) >= p.plain)
-    total = b.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return b.drop("t").join(total, "item_id")
+    # a window that tells enough by the template with names also does by the folded one
+    total = b.groupBy("item_id").agg(F.count_if(~F.col("named")).alias("n_windows"), F.count_if("named").alias("n_named"))
+    return b.withColumn("h", F.xxhash64("t")).drop("t").join(total, "item_id")
 
 
 def _bounded(df: DataFrame, most: int) -> DataFrame:
@@ -94,10 +113,11 @@ def leaks(docs: DataFrame, items: DataFrame, params: LeakParams | None = None) -
     b = stored(item_windows(items, p), "item-windows")
     sizes = sorted(r["size"] for r in b.select("size").distinct().collect())  # at most window values
     probes = _bounded(b.select("size", "h").distinct(), p.broadcast_rows)
-    tokens = d.select("doc_id", "key", template(raw_tokens(F.col("text"))).alias("t"))
+    tokens = d.select("doc_id", "key", raw_tokens(F.col("text")).alias("raw"))
+    tokens = tokens.select("doc_id", "key", template(F.col("raw")).alias("t"), folded(F.col("raw")).alias("f"))
     hits = None
     for size in sizes or [p.window]:
-        one = tokens.select("doc_id", "key", F.explode(window_hashes(F.col("t"), size)).alias("w")).select("doc_id", "key", F.lit(size).alias("size"), "w.at", "w.h")
+        one = tokens.select("doc_id", "key", F.explode(F.concat(window_hashes(F.col("t"), size), window_hashes(F.col("f"), size))).alias("w")).select("doc_id", "key", F.lit(size).alias("size"), "w.at", "w.h")
         hits = one if hits is None else hits.unionByName(one)
     hits = stored(hits.join(probes, ["size", "h"], "left_semi").distinct(), "hits")
 
@@ -107,19 +127,22 @@ def leaks(docs: DataFrame, items: DataFrame, params: LeakParams | None = None) -
     own = hits.select("key", "doc_id", "size", F.col("at").alias("d_at"), "h").join(some, "key")
     own = own.select("key", "doc_id", "size", "d_at", "h", F.slice("raw", F.col("d_at"), F.col("size")).alias("doc"))
     pairs = own.join(_bounded(b, p.broadcast_rows), ["size", "h"])
-    pairs = pairs.where(template(F.col("doc")) == template(F.col("item"))).withColumn("shift", F.col("d_at") - F.col("at"))
+    equal = F.when(F.col("named"), template(F.col("doc")) == template(F.col("item"))).otherwise(folded(F.col("doc")) == folded(F.col("item")))
+    pairs = pairs.where(equal).withColumn("shift", F.col("d_at") - F.col("at"))
     pairs = stored(pairs, "pairs")
     group = ["key", "doc_id", "item_id", "shift"]
     slots = F.filter(F.arrays_zip(F.col("item").alias("i"), F.col("doc").alias("d")), lambda x: _is_slot(template(F.array(x["i"]))[0]))
-    seen = pairs.select(*group, F.explode(slots).alias("s")).select(*group, F.lower("s.i").alias("i"), F.lower("s.d").alias("d"), F.lower(F.col("s.i")).substr(1, 1).alias("kind")).distinct()
+    seen = pairs.select(*group, F.explode(slots).alias("s")).select(*group, _bare(F.col("s.i")).alias("i"), _bare(F.col("s.d")).alias("d"), F.col("s.i").substr(1, 1).alias("kind")).distinct()
     kind = F.when(F.col("kind").isin(_NAME, _UNIT), F.col("kind")).otherwise("0")
     seen = seen.withColumn("kind", kind)
     clash = seen.groupBy(*group, "kind", "i").agg(F.count("*").alias("n")).unionByName(seen.groupBy(*group, "kind", "d").agg(F.count("*").alias("n")).withColumnRenamed("d", "i"))
     slot_stats = clash.groupBy(*group).agg(F.max("n").alias("most"), F.count("*").alias("n_slots"))
-    counts = pairs.groupBy(*group).agg(F.countDistinct("at").alias("n_windows"), F.first("n_windows").alias("item_windows"))
+    counts = pairs.groupBy(*group).agg(F.countDistinct("at").alias("n_windows"), F.countDistinct(F.when(F.col("named"), F.col("at"))).alias("own_named"), F.first("n_windows").alias("item_windows"), F.first("n_named").alias("item_named"))
     s, c = slot_stats.alias("s"), counts.alias("c")
     same = [F.col(f"c.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
-    ok = c.join(s, same[0] & same[1] & same[2] & same[3], "left").where((F.col("c.n_windows") >= F.least(F.lit(p.least), F.col("c.item_windows"))) & (F.coalesce("s.most", F.lit(1)) <= 1))
+    enough = F.col("c.n_windows") >= F.least(F.lit(p.least), F.col("c.item_windows"))
+    enough |= (F.col("c.item_named") > 0) & (F.col("c.own_named") >= F.least(F.lit(p.least), F.col("c.item_named")))
+    ok = c.join(s, same[0] & same[1] & same[2] & same[3], "left").where(enough & (F.coalesce("s.most", F.lit(1)) <= 1))
     return ok.groupBy(F.col("c.doc_id").alias("doc_id"), F.col("c.key").alias("key"), F.col("c.item_id").alias("item_id")).agg(F.max("c.n_windows").alias("n_windows"), F.max("c.item_windows").alias("item_windows"), F.max(F.coalesce("s.n_slots", F.lit(0))).alias("n_slots"))
 
 

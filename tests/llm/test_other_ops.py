@@ -116,6 +116,18 @@ def test_leaks(spark):
     assert template_leaks.leaks(df.limit(0), items).count() == template_leaks.leaks(df, items.limit(0)).count() == 0
 
 
+def test_leaks_in_another_case(spark):
+    copies = [QUESTION.upper(), QUESTION.lower(), QUESTION.title(), QUESTION.replace(" ", "  "), QUESTION.lower().replace("12", "15"), QUESTION.replace("Jonas", "Peter").replace("Maria", "Ida").replace(" ", "  ")]
+    street = "In der großen Straße von Köln wohnt seit vielen Jahren der alte Lehrer Jonas Weber mit seiner Familie"
+    docs = [(k, f"Lorem ipsum. {t} dolor.") for k, t in enumerate([*copies, street.upper()])] + [(9, "LOREM IPSUM DOLOR SIT AMET " * 20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for item in (QUESTION, QUESTION.upper()):
+        items = spark.createDataFrame([(0, item), (1, street)], "item_id long, text string")
+        got = {(r.doc_id, r.item_id) for r in template_leaks.leaks(df, items).collect()}
+        assert got >= {(k, 0) for k in range(5)} | {(6, 1)} and ((5, 0) in got or item != QUESTION)
+        assert not any(i == 9 or (i == 6) != (k == 1) for i, k in got)
+
+
 # ---------------------------------------------------------------- components and pipeline
 
 
