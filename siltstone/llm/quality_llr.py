@@ -1,7 +1,7 @@
 """Operator 2, quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Tokens are runs of word bytes (letters, digits, any non-ASCII byte) and runs of other visible
-bytes, case kept; features are token unigrams and bigrams, hashed into ``buckets`` buckets.
+bytes, case kept; features are token unigrams and bigrams, each hashed into ``buckets`` buckets.
 Two multinomials are estimated: ``raw`` from every document, ``target`` from the trusted ones.
 A document's ratio is the mean over its features of ``log(p_target / p_raw)``, and every
 document is kept if, and only if, that mean is at least ``threshold`` - one fixed number, no
@@ -9,11 +9,13 @@ quantile, so a document's verdict does not depend on its neighbours.
 
 The trusted sample is bounded: the ``trusted`` labelled documents (quality 1) with the smallest
 ``xxhash64(doc_id)``; only their ids reach the executors. Bucket counts are a fixed-size table
-(``buckets`` rows at any corpus size), so it can be collected and broadcast; the counting runs
+(two times ``buckets`` rows at any corpus size), so it can be collected and broadcast; the counting runs
 over all rows of all documents, pre-aggregated per task.
 
-Smoothing: the target is backed by the raw distribution with ``backing`` pseudo-counts, so a
-bucket unseen in the target costs at most ``log((T + backing) / backing)``.
+Smoothing: a bucket with raw count r is expected e = r * T / R times in the target. Its ratio is
+``(t + backing * prior) / (e + backing)``: for a unigram the prior is 1, for a bigram the geometric
+mean of the ratios of its two words. So what is rare in a small corpus says little by itself and a
+bigram falls back on its words, while a feature that is expected often and never seen costs much.
 
 Defined results: null text counts as empty; a text without features has ratio 0 and is judged by
 the base rules alone; null doc_id never is trusted; repeated rows are each judged alike; an empty
@@ -36,10 +38,10 @@ from siltstone.llm import tables
 
 @dataclass(frozen=True)
 class QualityParams:
-    buckets: int = 1 << 13
+    buckets: int = 1 << 18
     trusted: int = 8192
-    backing: float = 500.0
-    threshold: float = -0.3
+    backing: float = 4.0
+    threshold: float = -0.2
     min_words: int = 20
     repeat_percent: int = 30
     window: int = 8
@@ -54,14 +56,15 @@ _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
 
 
-def features(buf: np.ndarray, off: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, row) of each unigram and bigram."""
+def features(buf: np.ndarray, off: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, row) of each unigram and then of each bigram, whose buckets follow those of unigrams; and the place of
+    each bigram's first word among the unigrams."""
     kind = _CLASS[buf]
     s, e, first = K.runs(kind, kind > 0, off)
     h = K.hashes(buf, s, e)
     two, at = K.windows(h, first, 2)
-    bucket = (np.concatenate([h, two]) % np.uint64(buckets)).astype(np.int64)
-    return bucket, np.concatenate([K.row_of(np.arange(len(h)), first), K.row_of(at, first)])
+    bucket = np.concatenate([h % np.uint64(buckets), two % np.uint64(buckets) + np.uint64(buckets)]).astype(np.int64)
+    return bucket, np.concatenate([K.row_of(np.arange(len(h)), first), K.row_of(at, first)]), at
 
 
 def ngram_counts(docs: DataFrame, trusted_ids: list[int], p: QualityParams) -> tuple[np.ndarray, np.ndarray]:
@@ -69,33 +72,46 @@ def ngram_counts(docs: DataFrame, trusted_ids: list[int], p: QualityParams) -> t
     ids = np.array(sorted(trusted_ids), np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(p.buckets, np.int64), np.zeros(p.buckets, np.int64)
+        raw, target = np.zeros(2 * p.buckets, np.int64), np.zeros(2 * p.buckets, np.int64)
         for part, buf, off in K.chunks(batches, "text"):
-            bucket, row = features(buf, off, p.buckets)
-            raw += np.bincount(bucket, minlength=p.buckets)
+            bucket, row, _ = features(buf, off, p.buckets)
+            raw += np.bincount(bucket, minlength=2 * p.buckets)
             mine = part.column(part.schema.get_field_index("doc_id")).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
             good = np.isin(mine, ids)
             if good.any():
-                target += np.bincount(bucket[good[row]], minlength=p.buckets)
+                target += np.bincount(bucket[good[row]], minlength=2 * p.buckets)
         at = np.flatnonzero(raw)
         for k in range(0, len(at), 50_000):
             i = at[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(raw[i]), pa.array(target[i])], ["bucket", "raw", "target"])
 
     got = tables.with_text(docs).mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(p.buckets), np.zeros(p.buckets)
+    raw, target = np.zeros(2 * p.buckets), np.zeros(2 * p.buckets)
     at = got.column("bucket").to_numpy()
     raw[at], target[at] = got.column("raw").to_numpy(), got.column("target").to_numpy()
     return raw, target
 
 
-def ratios(raw: np.ndarray, target: np.ndarray, p: QualityParams) -> np.ndarray:
-    """log(p_target / p_raw) per bucket; 0 where the raw corpus has nothing."""
-    if not target.sum() or not raw.sum():
-        return np.zeros(p.buckets, np.float32)
-    base = raw / raw.sum()
-    mixed = (target + p.backing * base) / (target.sum() + p.backing)
-    return np.where(raw > 0, np.log(np.where(raw > 0, mixed, 1) / np.where(raw > 0, base, 1)), 0).astype(np.float32)
+def ratios(raw: np.ndarray, target: np.ndarray, p: QualityParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log(p_target / p_raw) of unigram buckets; target counts and expected ones of bigram buckets."""
+    n = p.buckets
+    if not target[:n].sum():
+        return np.zeros(n, np.float32), np.zeros(n, np.float32), np.zeros(n, np.float32)
+    expected = np.concatenate([x * (t.sum() / max(x.sum(), 1)) for x, t in ((raw[:n], target[:n]), (raw[n:], target[n:]))])
+    one = np.log((target[:n] + p.backing) / (expected[:n] + p.backing))
+    return one.astype(np.float32), target[n:].astype(np.float32), expected[n:].astype(np.float32)
+
+
+def mean_ratios(buf: np.ndarray, off: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray], p: QualityParams) -> tuple[np.ndarray, np.ndarray]:
+    """The mean log ratio and the number of features of each row."""
+    one, target, expected = tables
+    bucket, row, at = features(buf, off, p.buckets)
+    words, pairs = np.split(bucket, [len(bucket) - len(at)])
+    word, pair = one[words], pairs - p.buckets
+    prior = np.exp((word[at] + word[at + 1]) / 2)
+    value = np.concatenate([word, np.log((target[pair] + p.backing * prior) / (expected[pair] + p.backing))])
+    count = np.bincount(row, minlength=len(off) - 1)
+    return np.bincount(row, weights=value, minlength=len(off) - 1) / np.maximum(count, 1), count
 
 
 def base_stats(buf: np.ndarray, off: np.ndarray, window: int) -> dict[str, np.ndarray]:
@@ -167,11 +183,8 @@ def score(docs: DataFrame, labels: DataFrame, params: QualityParams | None = Non
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ratio.value
         for part, buf, off in K.chunks(batches, "text"):
-            n = part.num_rows
             st = base_stats(buf, off, p.window)
-            bucket, row = features(buf, off, p.buckets)
-            count = np.bincount(row, minlength=n)
-            mean = np.bincount(row, weights=table[bucket], minlength=n) / np.maximum(count, 1)
+            mean, count = mean_ratios(buf, off, table, p)
             failed = (st["n_words"] < p.min_words) | (100 * st["n_repeat_words"] > p.repeat_percent * st["n_words"])
             cols = [part.column(part.schema.get_field_index("doc_id")), *(pa.array(st[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(~failed & (mean >= p.threshold)), pa.array(mean.astype(np.float64)), pa.array(count.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in RESULT.split(", ")])
@@ -193,10 +206,8 @@ def filter_documents(docs: DataFrame, labels: DataFrame, params: QualityParams |
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ratio.value
         for part, buf, off in K.chunks(batches, "text"):
-            n = part.num_rows
             st = base_stats(buf, off, p.window)
-            bucket, row = features(buf, off, p.buckets)
-            mean = np.bincount(row, weights=table[bucket], minlength=n) / np.maximum(np.bincount(row, minlength=n), 1)
+            mean, _ = mean_ratios(buf, off, table, p)
             failed = (st["n_words"] < p.min_words) | (100 * st["n_repeat_words"] > p.repeat_percent * st["n_words"])
             yield part.filter(pa.array(~failed & (mean >= p.threshold)))
 

@@ -108,6 +108,17 @@ def test_quality(spark):
     assert quality_llr.score(empty, labels).count() == 0 and quality_llr.score(frame(spark, clean), labels.limit(0)).count() == 60
 
 
+@pytest.mark.parametrize("n", [60, 1500])
+def test_quality_of_rare_words(spark, n):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(20 * n)]
+    clean = [(i, " ".join(words[int(len(words) * rng.random() ** 3)] for _ in range(100))) for i in range(n)]
+    junk = [(10_000 + i, " ".join(f"{rng.choice('vwxyz')}{rng.randrange(60)}q" for _ in range(100))) for i in range(max(10, n // 40))]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, n, 2)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality_llr.score(frame(spark, clean + junk), labels).collect() if r.kept}
+    assert kept == {i for i, _ in clean}
+
+
 # ---------------------------------------------------------------- language model
 
 
