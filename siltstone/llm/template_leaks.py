@@ -6,11 +6,12 @@ typed placeholders, all else is case-folded. A second, folded template has no na
 so that copies in upper, lower or title case match too. Windows of ``window`` tokens of both templates are
 hash-joined with those of the benchmark items. Every match is then checked on the tokens themselves and its slots are
 read: along one alignment of document and item, each value of the item must stand for one value of the
-document, and the other way round. An item with other numbers or names but one consistent substitution
-is a re-parameterised copy; slots that contradict each other are not.
+document, and for names and units the other way round; different numbers may become equal. An item with other
+numbers or names but one consistent substitution is a re-parameterised copy; slots that contradict each other
+are not, unless enough windows are verbatim (case apart): a copy with one edited value stays a copy.
 
 A document is contaminated by an item if one alignment has at least ``least`` matching windows (all of
-them, where the item has fewer) and consistent slots. With 8 and 6 that is 13 template tokens in a row, or
+them, where the item has fewer) and consistent slots, or as many verbatim ones. With 8 and 6 that is 13 template tokens in a row, or
 as many windows apart. Items shorter than a window, but of at least ``shortest`` tokens, are matched whole.
 Windows with fewer than ``plain`` plain tokens say nothing and are left out; an item of which some windows
 have too many names is also matched by the others alone. A copy in another case whose names are also changed
@@ -135,14 +136,16 @@ def leaks(docs: DataFrame, items: DataFrame, params: LeakParams | None = None) -
     seen = pairs.select(*group, F.explode(slots).alias("s")).select(*group, _bare(F.col("s.i")).alias("i"), _bare(F.col("s.d")).alias("d"), F.col("s.i").substr(1, 1).alias("kind")).distinct()
     kind = F.when(F.col("kind").isin(_NAME, _UNIT), F.col("kind")).otherwise("0")
     seen = seen.withColumn("kind", kind)
-    clash = seen.groupBy(*group, "kind", "i").agg(F.count("*").alias("n")).unionByName(seen.groupBy(*group, "kind", "d").agg(F.count("*").alias("n")).withColumnRenamed("d", "i"))
+    clash = seen.groupBy(*group, "kind", "i").agg(F.count("*").alias("n")).unionByName(seen.groupBy(*group, "kind", "d").agg(F.when(F.col("kind") == "0", 1).otherwise(F.count("*")).alias("n")).withColumnRenamed("d", "i"))
     slot_stats = clash.groupBy(*group).agg(F.max("n").alias("most"), F.count("*").alias("n_slots"))
-    counts = pairs.groupBy(*group).agg(F.countDistinct("at").alias("n_windows"), F.countDistinct(F.when(F.col("named"), F.col("at"))).alias("own_named"), F.first("n_windows").alias("item_windows"), F.first("n_named").alias("item_named"))
+    verbatim = F.transform("doc", _bare) == F.transform("item", _bare)
+    counts = pairs.groupBy(*group).agg(F.countDistinct("at").alias("n_windows"), F.countDistinct(F.when(F.col("named"), F.col("at"))).alias("own_named"), F.countDistinct(F.when(verbatim, F.col("at"))).alias("own_verbatim"), F.first("n_windows").alias("item_windows"), F.first("n_named").alias("item_named"))
     s, c = slot_stats.alias("s"), counts.alias("c")
     same = [F.col(f"c.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
     enough = F.col("c.n_windows") >= F.least(F.lit(p.least), F.col("c.item_windows"))
     enough |= (F.col("c.item_named") > 0) & (F.col("c.own_named") >= F.least(F.lit(p.least), F.col("c.item_named")))
-    ok = c.join(s, same[0] & same[1] & same[2] & same[3], "left").where(enough & (F.coalesce("s.most", F.lit(1)) <= 1))
+    agree = (F.coalesce("s.most", F.lit(1)) <= 1) | (F.col("c.own_verbatim") >= F.least(F.lit(p.least), F.col("c.item_windows")))
+    ok = c.join(s, same[0] & same[1] & same[2] & same[3], "left").where(enough & agree)
     return ok.groupBy(F.col("c.doc_id").alias("doc_id"), F.col("c.key").alias("key"), F.col("c.item_id").alias("item_id")).agg(F.max("c.n_windows").alias("n_windows"), F.max("c.item_windows").alias("item_windows"), F.max(F.coalesce("s.n_slots", F.lit(0))).alias("n_slots"))
 
 

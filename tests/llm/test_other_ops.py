@@ -128,6 +128,16 @@ def test_leaks_in_another_case(spark):
         assert not any(i == 9 or (i == 6) != (k == 1) for i, k in got)
 
 
+def test_leaks_with_edited_values(spark):
+    item = QUESTION + " He keeps the rest of the harvest in a cold cellar below the old barn until spring comes."
+    edited, equal = item.replace("12 kg more", "16 kg more"), QUESTION.replace("12", "5").replace("7", "5")
+    apart = QUESTION.replace("Jonas", "Ida").replace("Maria", "Ida").replace("12", "15").replace("30", "99").replace("7", "5")
+    df = spark.createDataFrame([(1, edited), (2, equal), (3, apart)], "doc_id long, text string")
+    items = spark.createDataFrame([(0, item), (1, QUESTION)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in template_leaks.leaks(df, items).collect()}
+    assert got >= {(1, 0), (2, 0), (2, 1)} and (3, 1) not in got
+
+
 # ---------------------------------------------------------------- components and pipeline
 
 
