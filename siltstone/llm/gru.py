@@ -75,91 +75,131 @@ class Model:
         t, b = x.shape
         n = self.shape.hidden
         out = np.empty((t, b, n), F32)
-        gates = np.empty((t, b, 3 * n), F32) if keep else None
         before = np.empty((t, b, n), F32) if keep else None
         inner = np.empty((t, b, n), F32) if keep else None
-        given = self.u[x]
-        for k in range(t):
-            h = h * fresh[k][:, None]
-            a = h @ self.w
-            g = given[k]
-            zr = np.tanh(0.5 * (a[:, : 2 * n] + g[:, : 2 * n]))
-            zr *= 0.5
-            zr += 0.5
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(g[:, 2 * n :] + r * a[:, 2 * n :])
-            if keep:
-                before[k], inner[k] = h, a[:, 2 * n :]
-                gates[k, :, : 2 * n], gates[k, :, 2 * n :] = zr, c
-            h = c + z * (h - c)
-            out[k] = h
+        gates = self.u[x]  # input parts, turned into z, r and c in place
+        gates[:, :, : 2 * n] *= F32(-1)
+        gates[:, :, 2 * n :] *= F32(2)
+        w = self.w * np.repeat(np.array([-1, -1, 1], F32), n)
+        starts = (fresh == 0).any(axis=1)
+        a = np.empty((b, 3 * n), F32)
+        with np.errstate(over="ignore"):
+            for k in range(t):
+                if starts[k]:
+                    h = h * fresh[k][:, None]
+                np.matmul(h, w, out=a)
+                zr, c = gates[k, :, : 2 * n], gates[k, :, 2 * n :]
+                zr += a[:, : 2 * n]
+                _logistic(zr)
+                part = a[:, 2 * n :]
+                if keep:
+                    before[k], inner[k] = h, part
+                part = part * zr[:, n:]
+                part *= F32(2)
+                c += part
+                np.negative(c, out=c)  # tanh(v) = 2 / (1 + exp(-2 v)) - 1
+                _logistic(c)
+                c *= F32(2)
+                c -= F32(1)
+                h = np.subtract(h, c, out=out[k])
+                h *= zr[:, :n]
+                h += c
         return out, (gates, before, inner)
 
     def losses(self, h: np.ndarray, y: np.ndarray, grad: Model | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each target; with ``grad``, also d(-sum)/dh, weight gradients added to it."""
-        sh = self.shape
+        sh, per = self.shape, self.shape.per_class
         freq = y < sh.frequent
-        cls = np.where(freq, y // sh.per_class, y - sh.frequent + sh.classes)
-        logit = h @ self.cw + self.cb
-        logit -= logit.max(axis=1, keepdims=True)
-        rows = np.arange(len(y))
-        own = logit[rows, cls]
-        np.exp(logit, out=logit)
-        total = logit.sum(axis=1)
-        score = own - np.log(total)
+        cls = np.where(freq, y // per, y - sh.frequent + sh.classes).astype(np.int16)
+        score, logit = _softmax(h, self.cw, self.cb, cls)
         dh = None
         if grad is not None:
-            logit /= total[:, None]
-            logit[rows, cls] -= 1
+            logit[np.arange(len(y)), cls] -= 1
             grad.cw += h.T @ logit
-            grad.cb += logit.sum(axis=0)
+            grad.cb += np.ones(len(y), F32) @ logit
             dh = logit @ self.cw.T
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(sh.classes + 1))
+        at = np.flatnonzero(freq)
+        at = at[np.argsort(cls[at], kind="stable")]
+        cut = np.searchsorted(cls[at], np.arange(sh.classes + 1))
+        hs, ys = h[at], y[at] % per
+        got = np.empty(len(at), F32)
+        back = np.empty_like(hs) if grad is not None else None
         for c in range(sh.classes):
-            i = order[cut[c] : cut[c + 1]]
-            if not len(i):
+            i, j = cut[c], cut[c + 1]
+            if i == j:
                 continue
-            hc, yc, rc = h[i], y[i] - c * sh.per_class, np.arange(len(i))
-            lo = hc @ self.ow[c] + self.ob[c]
-            lo -= lo.max(axis=1, keepdims=True)
-            own = lo[rc, yc]
-            np.exp(lo, out=lo)
-            total = lo.sum(axis=1)
-            score[i] += own - np.log(total)
+            got[i:j], lo = _softmax(hs[i:j], self.ow[c], self.ob[c], ys[i:j])
             if grad is not None:
-                lo /= total[:, None]
-                lo[rc, yc] -= 1
-                grad.ow[c] += hc.T @ lo
-                grad.ob[c] += lo.sum(axis=0)
-                dh[i] += lo @ self.ow[c].T
+                lo[np.arange(j - i), ys[i:j]] -= 1
+                grad.ow[c] += hs[i:j].T @ lo
+                grad.ob[c] += np.ones(j - i, F32) @ lo
+                np.matmul(lo, self.ow[c].T, out=back[i:j])
+        score[at] += got
+        if grad is not None:
+            dh[at] += back
         return score, dh
 
     def backward(self, x: np.ndarray, fresh: np.ndarray, kept: tuple, dout: np.ndarray, grad: Model) -> None:
         """Gradients through the window's steps; none goes to before the window."""
         gates, before, inner = kept
         t, b, n = dout.shape
-        da = np.empty((t, b, 3 * n), F32)
-        dg = np.empty((t, b, 3 * n), F32)
+        z, r, c = gates[:, :, :n], gates[:, :, n : 2 * n], gates[:, :, 2 * n :]
+        dg = np.empty((t, b, 3 * n), F32)  # first what dh is to be multiplied with, then the gradients
+        np.multiply(1 - z, 1 - c * c, out=dg[:, :, 2 * n :])
+        np.multiply((before - c) * z, 1 - z, out=dg[:, :, :n])
+        np.multiply(inner * r, 1 - r, out=dg[:, :, n : 2 * n])
+        da = np.empty((b, 3 * n), F32)
+        all_da = np.empty((t, b, 3 * n), F32)
+        starts = (fresh == 0).any(axis=1)
         dh = np.zeros((b, n), F32)
         wt = np.ascontiguousarray(self.w.T)
         for k in range(t - 1, -1, -1):
             dh += dout[k]
-            z, r, c = gates[k, :, :n], gates[k, :, n : 2 * n], gates[k, :, 2 * n :]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before[k] - c) * z * (1 - z)
-            dr = dc * inner[k] * r * (1 - r)
-            dg[k, :, :n], dg[k, :, n : 2 * n], dg[k, :, 2 * n :] = dz, dr, dc
-            da[k, :, : 2 * n], da[k, :, 2 * n :] = dg[k, :, : 2 * n], dc * r
-            dh = (dh * z + da[k] @ wt) * fresh[k][:, None]
-        grad.w += before.reshape(-1, n).T @ da.reshape(-1, 3 * n)
-        sym, flat = x.ravel(), dg.reshape(-1, 3 * n)
+            g, da = dg[k], all_da[k]
+            g[:, 2 * n :] *= dh
+            g[:, :n] *= dh
+            g[:, n : 2 * n] *= g[:, 2 * n :]
+            da[:, : 2 * n] = g[:, : 2 * n]
+            np.multiply(g[:, 2 * n :], r[k], out=da[:, 2 * n :])
+            dh *= z[k]
+            dh += da @ wt
+            if starts[k]:
+                dh *= fresh[k][:, None]
+        grad.w += before.reshape(-1, n).T @ all_da.reshape(-1, 3 * n)
+        sym, flat = x.ravel().astype(np.int16 if self.shape.symbols < 1 << 15 else np.int64), dg.reshape(-1, 3 * n)
         order = np.argsort(sym, kind="stable")
         s = sym[order]
         first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
         grad.u[s[first]] += np.add.reduceat(flat[order], first, axis=0)
 
 
+def _logistic(x: np.ndarray) -> None:
+    """1 / (1 + exp(x)), in place."""
+    np.exp(x, out=x)
+    x += F32(1)
+    np.reciprocal(x, out=x)
+
+
+def _softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each target, and all probabilities. States are within (-1, 1), which bounds the logits from
+    above; a row that is far below the bound is shifted by its own largest one."""
+    top = F32((bias + np.abs(w).sum(axis=0)).max())
+    p = h @ w
+    p += bias - top
+    own = p[np.arange(len(y)), y]
+    np.exp(p, out=p)
+    total = p @ np.ones(p.shape[1], F32)
+    low = np.flatnonzero(total < 1e-25)
+    if len(low):
+        q = h[low] @ w + bias
+        q -= q.max(axis=1, keepdims=True)
+        own[low] = q[np.arange(len(low)), y[low]]
+        p[low] = np.exp(q)
+        total[low] = p[low].sum(axis=1)
+    p *= (1 / total)[:, None]
+    return own - np.log(total), p
+
+
 # ---------------------------------------------------------------- lanes
 
 
@@ -221,7 +261,7 @@ def train(model: Model, symbols: np.ndarray, lengths: np.ndarray, end: int, memo
     x[fresh == 0] = end
     h = np.zeros((y.shape[1], model.shape.hidden), F32)
     total = 0.0
-    grad = Model(model.shape, np.zeros_like(model.flat))
+    grad, step = Model(model.shape, np.zeros_like(model.flat)), np.empty_like(model.flat)
     for k in range(0, len(y), window):
         some = np.flatnonzero(at[k] >= 0)
         yk, xk, fk, ak = y[k : k + window, some], x[k : k + window, some], fresh[k : k + window, some], at[k : k + window, some]
@@ -235,8 +275,13 @@ def train(model: Model, symbols: np.ndarray, lengths: np.ndarray, end: int, memo
         full[ok] = dh
         model.backward(xk, fk, kept, full.reshape(states.shape), grad)
         g = grad.flat
-        g /= max(1, int(ok.sum()))
-        memory += g * g
-        model.flat -= F32(rate) * g / (np.sqrt(memory) + F32(1e-6))
+        g *= F32(1 / max(1, int(ok.sum())))
+        np.multiply(g, g, out=step)
+        memory += step
+        np.sqrt(memory, out=step)
+        step += F32(1e-6)
+        g /= step
+        g *= F32(rate)
+        model.flat -= g
         g[:] = 0
     return total

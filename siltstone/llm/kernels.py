@@ -16,9 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 BLOCK = 1 << 18
-ROWS_PER_BATCH = "1000"
+ROWS_PER_BATCH = 1000
+BYTES_PER_BATCH = 2 << 20
 
 _ODD = 0x9E3779B97F4A7C15
 _INV = pow(_ODD, -1, 1 << 64)
@@ -34,25 +35,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Tables that an operator keeps in a Python worker between its tasks; another operator's first task drops them.
-KEPT: dict = {}
-_owner: list[str] = [""]
-
-
-def enter(owner: str = "") -> None:
-    """Called at the start of a task: workers are used again, so what other operators kept goes, and freed pages
-    go back to the system."""
-    if _owner[0] != owner:
-        KEPT.clear()
-        _owner[0] = owner
-    release()
-
-
 def release() -> None:
+    """Freed memory goes back to the system: workers are used again by tasks of other operators, and idle ones stay."""
     import ctypes
     import gc
 
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -60,8 +49,15 @@ def release() -> None:
 
 
 def small_batches(spark) -> None:
-    """Keep the batches that reach Python workers small: whole texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    """Bound the batches that reach Python workers, in rows and in bytes: whole texts can be long.
+
+    The settings are the session's and hold when a plan runs, so they stay; they are only ever lowered.
+    """
+    for name, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
@@ -99,9 +95,8 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK, owner: str = "") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with about ``most`` bytes of ``column``: (slice, bytes, offsets). Frames a task's work."""
-    enter(owner)
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with about ``most`` bytes of ``column``: (slice, bytes, offsets). Ends a task's work."""
     for batch in batches:
         buf, off = text_bytes(batch.column(batch.schema.get_field_index(column)))
         i, n = 0, batch.num_rows

@@ -5,10 +5,10 @@ pre-aggregated in each task, summed by word hash. From them come N, V, the frequ
 of the network, a table of at most ``heavy`` counts that is broadcast (bounded by its threshold, which is
 read from a histogram of counts), and the totals of the rare classes.
 
-*Training.* In each round every task of the training scan starts from the common weights, makes a truncated
-backpropagation pass over the round's documents in its split, and the weights are averaged by tokens: a sum
-over (parameter, task) rows, fixed in size for each task. A round uses the training documents whose hash
-falls to it, one in ``share * rounds``, so what is trained on grows with the corpus.
+*Training.* Every training document is learned from, whole, in one of the ``rounds`` (told by a hash of its id).
+In a round every task of the training scan starts from the common weights, makes a truncated
+backpropagation pass over the round's documents in its split, and the weights are averaged by tokens: each task
+sends its weights as packed blocks of fixed size, which are summed as they arrive.
 
 *Scoring.* All documents, whole: state is carried over windows. A word outside the symbols costs its rare
 class given the state, then its share of that class, ``(c + 1) / (N_class + V_class + 1)``, which leaves the
@@ -16,7 +16,7 @@ mass of one unseen word; so the score is a normalised probability over words, li
 add up outside the network: counts of words beyond the broadcast table are joined to (row, word) pairs.
 
 Words are known by 64-bit hashes (see ``kernels``). Defined results: null text is empty (one token, the end);
-a null doc_id is a training document; repeated rows count and are scored each; an empty table gives an empty
+a null doc_id is a training document; repeated rows count, are learned from and are scored each; an empty table gives an empty
 result; without training documents every count is 0.
 """
 
@@ -41,10 +41,11 @@ class LmParams:
     modulus: int = 7
     held: int = 2
     heavy: int = 1 << 18
-    share: int = 8
     rounds: int = 2
     rate: float = 0.15
+    lanes: int = 256
     chunk: int = 4 << 20
+    packed: int = 4096
     shape: gru.Shape = field(default_factory=gru.Shape)
 
 
@@ -162,20 +163,31 @@ def fit(docs: DataFrame, lex, freq: np.ndarray, rare: np.ndarray, p: LmParams) -
         def run(batches: Iterator[pa.RecordBatch], start=start, k=k) -> Iterator[pa.RecordBatch]:
             model = gru.Model(shape, start.value.copy())
             memory, seen = np.full(shape.total, 1e-6, np.float32), 0
-            for _, buf, off in K.chunks(batches, "text", p.chunk // 8):
+            for _, buf, off in K.chunks(batches, "text", p.chunk // 2):
                 h, r, n = tokens(buf, off, shape.rare)
                 sym, _, _ = lex.value.symbols(h, r, shape.frequent)
-                gru.train(model, sym, n, 0, memory, p.rate / (1 + k), most=64)
+                gru.train(model, sym, n, 0, memory, p.rate / (1 + k), most=p.lanes)
                 seen += len(h)
-            for i in range(0, shape.total if seen else 0, 50_000):
-                w = model.flat[i : i + 50_000].astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(w), dtype=np.int32)), pa.array(w * seen), pa.array(np.full(len(w), seen, np.int64))], ["i", "w", "n"])
-
-        part = docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(p.share * p.rounds)) == k))
-        got = part.select("text").mapInArrow(run, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
-        if got.num_rows:
-            flat = np.zeros(shape.total, np.float32)
-            flat[got.column("i").to_numpy()] = got.column("w").to_numpy()
+            if seen:
+                parts = [model.flat[i : i + p.packed].tobytes() for i in range(0, shape.total, p.packed)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary()), pa.array(np.full(len(parts), seen, np.int64))], ["block", "w", "n"])
+
+        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            count: dict[int, int] = {}
+            for b in batches:
+                for block, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    add = np.frombuffer(w, np.float32).astype(np.float64) * n
+                    total[block] = total[block] + add if block in total else add
+                    count[block] = count.get(block, 0) + n
+            at = sorted(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([(total[i] / count[i]).astype(np.float32).tobytes() for i in at], pa.binary()), pa.array([count[i] for i in at], pa.int64())], ["block", "w", "n"])
+
+        part = docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(p.rounds)) == k))
+        sent, form = part.select("text").mapInArrow(run, "block int, w binary, n long"), "block int, w binary, n long"
+        got = sent.repartition(-(-shape.total // p.packed), "block").mapInArrow(mean, form).collect()  # one model
+        if got:
+            flat = np.concatenate([np.frombuffer(r.w, np.float32) for r in sorted(got, key=lambda r: r.block)])
     return flat
 
 

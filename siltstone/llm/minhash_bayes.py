@@ -241,7 +241,6 @@ def near_classes(docs: DataFrame, params: NearParams | None = None) -> DataFrame
     sigs = stored(sigs, "active")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        K.enter()
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
         rep, side = pdf["rep"].to_numpy(), pdf["side"].to_numpy()
         return _each(pdf, keys, lambda at: _link(rep[at], sig[at], side[at], steps))
@@ -263,7 +262,6 @@ def near_classes(docs: DataFrame, params: NearParams | None = None) -> DataFrame
     full = full.join(likely.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        K.enter()
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
         own = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
 

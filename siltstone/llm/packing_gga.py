@@ -1,25 +1,29 @@
 """Operator 6, best-fit packing by a grouping genetic algorithm on islands.
 
 Documents become pieces (ids of a public tokenizer, then id 0; only documents longer than a
-sequence are cut, at multiples of the sequence length). Full pieces are sequences of their own.
-The other pieces are dealt by hash into blocks of about ``block`` pieces. A block's packing is
+sequence are cut, at multiples of the sequence length), and every piece gets a number of its own. Full
+pieces are sequences of their own. The others are dealt by a hash of their number into blocks of about
+``block`` pieces, so equal rows and null ids spread like any others. Each block starts with best-fit
+decreasing; a block that meets the lower bound ``ceil(total / length)`` with it is done. The others are
 evolved by ``islands`` islands, each a task with its own population; after every epoch each
 island's elite migrates to the next island of the ring. The best individual of a block is used.
 
 Individuals are groupings: the genes are bins. Crossover injects whole well-filled bins of the
 second parent into the first, removes the bins that hold a duplicate of an injected piece, and
-puts the displaced pieces back by best fit, largest first. Mutation empties the worst bins.
-Evolution of a block ends early where it meets the lower bound ``ceil(total / length)``.
+puts the displaced pieces back: first by swaps that fill a bin better (a piece of a bin for a larger displaced
+one), then by best fit, largest first. Mutation empties the worst bins. Evolution of a block ends early where it
+meets the lower bound, and an epoch after ``patience`` generations without a better child.
 
 Blocks are independent, so work and memory are proportional to the pieces, whatever their keys;
 what a block loses against one global packing is at most one sequence in about ``block / 2``.
 
 Defined results: null text is empty, an empty document is the single id 0; repeated rows and null
-ids are packed like any other rows; an empty table gives an empty result.
+ids are packed like any other rows; other columns are left behind; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import os
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -44,11 +48,12 @@ class PackParams:
     length: int = 2048
     block: int = 4096
     islands: int = 3
-    epochs: int = 2
-    generations: int = 4
-    population: int = 4
+    epochs: int = 3
+    generations: int = 40
+    patience: int = 12
+    population: int = 8
     well_filled: float = 0.97
-    cache_words: int = 300_000
+    cache_words: int = 60_000
 
 
 # ---------------------------------------------------------------- tokens
@@ -121,15 +126,6 @@ class Encoder:
         return [b"".join(map(get, ws)) for ws in split]
 
 
-def encoder(path: str, most: int) -> Encoder:
-    if (path, most) not in K.KEPT:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        K.KEPT[path, most] = Encoder(path, most)
-    return K.KEPT[path, most]
-
-
 def tokenizer_path(p: PackParams) -> str:
     """A bare name is one of the public tokenizers installed on each executor; anything else is a path there."""
     if "/" in p.tokenizer:
@@ -144,8 +140,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, p: PackParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, off in K.chunks(batches, "text", owner="packing"):
-            enc = encoder(tokenizer_path(p), p.cache_words)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        enc = Encoder(tokenizer_path(p), p.cache_words)
+        for part, buf, off in K.chunks(batches, "text"):
             ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
             rows: list[tuple] = []
             for doc, got in zip(ids, enc.encode(buf, off), strict=True):
@@ -155,6 +152,8 @@ def pieces(docs: DataFrame, p: PackParams) -> DataFrame:
                     rows.append((doc, k, at // 4, len(one) // 4, crc32(one)))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+        del enc
+        K.release()
 
     return docs.mapInArrow(run, PIECES)
 
@@ -193,8 +192,6 @@ class Island:
         self.rng = np.random.default_rng(seed)
         self.bound = -(-sum(self.sizes) // cap)
         self.order = np.argsort(-sizes, kind="stable")
-        self.rank = np.empty(len(sizes), np.int64)
-        self.rank[self.order] = np.arange(len(sizes))
 
     def born(self, noise: float) -> list[list[int]]:
         """Best-fit decreasing of sizes with a little noise in the order."""
@@ -210,7 +207,22 @@ class Island:
         return [self.cap - sum(map(self.sizes.__getitem__, b)) for b in bins]
 
     def put_back(self, bins: list[list[int]], loose: list[int]) -> list[list[int]]:
-        best_fit(bins, self.free(bins), sorted(loose, key=self.rank.__getitem__), self.sizes, self.cap)
+        """Loose pieces into the bins: swaps first, then best fit. A swap puts the largest loose piece that fits in
+        place of a smaller one of the bin, where that fills the bin best; fullest bins first."""
+        sizes, free = self.sizes, self.free(bins)
+        pool = sorted((sizes[x], x) for x in loose)
+        for k in sorted(range(len(bins)), key=free.__getitem__):
+            gain, pick = 0, None
+            for j, x in enumerate(bins[k]) if free[k] else ():
+                at = bisect_left(pool, (sizes[x] + free[k] + 1, -1)) - 1
+                if at >= 0 and pool[at][0] - sizes[x] > gain:
+                    gain, pick = pool[at][0] - sizes[x], (j, at)
+            if pick:
+                j, at = pick
+                x, bins[k][j] = bins[k][j], pool.pop(at)[1]
+                insort(pool, (sizes[x], x))
+                free[k] -= gain
+        best_fit(bins, free, [x for _, x in reversed(pool)], sizes, self.cap)
         return bins
 
     def cross(self, a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
@@ -236,17 +248,19 @@ class Island:
     def evolve(self, population: list[list[list[int]]]) -> list[list[list[int]]]:
         score = lambda x: fitness(self.free(x), self.cap)
         ranked = sorted(((score(x), k, x) for k, x in enumerate(population)), key=lambda y: (y[0], -y[1]), reverse=True)
+        idle = 0
         for _ in range(self.p.generations):
-            if -ranked[0][0][0] <= self.bound:
+            if -ranked[0][0][0] <= self.bound or idle >= self.p.patience:
                 break
             a, b = self.rng.integers(0, len(ranked), 2)
             child = self.cross(ranked[min(a, b)][2], ranked[max(a, b) if a != b else 0][2])
             child = self.mutate(child)
             s = score(child)
+            idle = 0 if s > ranked[0][0] else idle + 1
             if s > ranked[-1][0]:
                 ranked[-1] = (s, -1, child)
                 ranked.sort(key=lambda y: y[0], reverse=True)
-        return [x for _, _, x in ranked]
+        return [x for _, _, x in ranked[: self.p.population]]
 
 
 def _pack(bins: list[list[int]], n: int) -> bytes:
@@ -263,10 +277,11 @@ def _unpack(blob: bytes) -> list[list[int]]:
 
 
 STATE = "block long, island int, sizes binary, population array<binary>, elite binary, bins long, fill double"
+FIELDS = [x.split()[0] for x in STATE.split(", ")]
 
 
 def evolve(state: DataFrame, epoch: int, p: PackParams) -> DataFrame:
-    """One epoch on each island: a row in, a row out."""
+    """One epoch on each island: a row in, a row out. A population of one is filled up first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -274,58 +289,59 @@ def evolve(state: DataFrame, epoch: int, p: PackParams) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 sizes = np.frombuffer(r.sizes, np.int32)
                 island = Island(sizes, p.length, hash((int(r.block), int(r.island), epoch)) & 0x7FFFFFFF, p)
-                if r.population is None or len(r.population) == 0:
-                    first = island.born(0.0 if r.island == 0 else 0.02)
-                    done = len(first) <= island.bound
-                    pop = [first] + [island.born(0.01 * (1 + r.island + k)) for k in range(0 if done else p.population - 1)]
-                else:
-                    pop = [_unpack(x) for x in r.population]
+                pop = [_unpack(x) for x in r.population]
+                pop += [island.born(0.01 * (1 + r.island + k)) for k in range(len(pop), p.population)]
                 pop = island.evolve(pop)
                 bins, fill = fitness(island.free(pop[0]), p.length)
                 blobs = [_pack(x, len(sizes)) for x in pop]
                 out.append((r.block, r.island, r.sizes, blobs, blobs[0], -bins, fill))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in STATE.split(", ")])
+            yield pd.DataFrame(out, columns=FIELDS)
 
     return state.mapInPandas(run, STATE)
 
 
+def groupings(items: DataFrame, blocks: int, p: PackParams) -> DataFrame:
+    """(block, elite, bins, first_bins): the packing of each block's items (block, num, length) in the order of num."""
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf.sort_values("num")["length"].to_numpy(np.int32)
+        island = Island(sizes, p.length, 0, p)
+        bins = island.born(0.0)
+        n, fill = fitness(island.free(bins), p.length)
+        return pd.DataFrame([(pdf["block"].iloc[0], sizes.tobytes(), _pack(bins, len(sizes)), -n, fill, island.bound)], columns=["block", "sizes", "elite", "bins", "fill", "bound"])
+
+    begun = stored(items.groupBy("block").applyInPandas(first, "block long, sizes binary, elite binary, bins long, fill double, bound long"), "groupings")
+    state = begun.where("bins > bound").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(p.islands - 1)))).withColumn("population", F.array("elite")).select(*FIELDS)
+    for epoch in range(p.epochs):
+        if epoch:
+            guest = state.select("block", F.pmod(F.col("island") + 1, F.lit(p.islands)).alias("island"), F.col("elite").alias("guest"))
+            state = state.join(guest, ["block", "island"]).withColumn("population", F.concat(F.array("guest"), "population")).select(*FIELDS)
+        state = stored(evolve(state.repartition(max(1, min(p.islands * blocks, 100_000)), "block", "island"), epoch, p), "islands")
+        if not state.limit(1).count():
+            break
+    every = begun.select("block", "bins", "fill", F.lit(-1).alias("island"), "elite").unionByName(state.select("block", "bins", "fill", "island", "elite"))
+    best = every.groupBy("block").agg(F.min(F.struct("bins", (-F.col("fill")).alias("f"), "island", "elite")).alias("b"))
+    return best.select("block", "b.elite", "b.bins").join(begun.select("block", F.col("bins").alias("first_bins")), "block")
+
+
 def pack(docs: DataFrame, params: PackParams | None = None) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     p = params or PackParams()
     spark = docs.sparkSession
     K.small_batches(spark)
-    cut = stored(pieces(with_text(docs), p), "pieces")
-    n = cut.where(F.col("length") < p.length).count()
-    blocks = parts(spark, n, p.block)
-    items = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks).cast("long")))
-
-    def instance(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", na_position="first")["length"].to_numpy(np.int32)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "sizes": [s.tobytes()]})
-
-    loose = items.where(F.col("length") < p.length)
-    state = loose.groupBy("block").applyInPandas(instance, "block long, sizes binary").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(p.islands - 1))))
-    state = state.select("block", "island", "sizes", F.lit(None).cast("array<binary>").alias("population"), F.lit(None).cast("binary").alias("elite"), F.lit(0).cast("long").alias("bins"), F.lit(0.0).alias("fill"))
-    for epoch in range(p.epochs):
-        if epoch:
-            guest = state.select("block", F.pmod(F.col("island") + 1, F.lit(p.islands)).alias("island"), F.col("elite").alias("guest"))
-            state = state.join(guest, ["block", "island"]).withColumn("population", F.concat(F.array("guest"), "population")).drop("guest").select(*[x.split()[0] for x in STATE.split(", ")])
-        state = stored(evolve(state.repartition(max(1, min(3 * blocks, 100_000)), "block", "island"), epoch, p), "islands")
-    best = state.groupBy("block").agg(F.min(F.struct("bins", (-F.col("fill")).alias("f"), "island", "elite")).alias("b")).select("block", "b.elite")
+    cut = stored(pieces(with_text(docs), p).withColumn("num", F.monotonically_increasing_id()), "pieces")  # from here on a number is fixed
+    loose = cut.where(F.col("length") < p.length)
+    blocks = parts(spark, loose.count(), p.block)
+    items = loose.withColumn("block", F.pmod(F.xxhash64("num"), F.lit(blocks).cast("long")))
+    best = groupings(items.select("block", "num", "length"), blocks, p).select("block", "elite")
 
     def place(pdf: pd.DataFrame, winner: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", na_position="first").reset_index(drop=True)
-        full = (pdf["length"] == p.length).to_numpy()
-        where = np.zeros(len(pdf), np.int64)
-        used = 0
-        if len(winner):
-            where[~full] = np.frombuffer(winner["elite"].iloc[0], np.int32)
-            used = int(where[~full].max()) + 1
-        where[full] = used + np.arange(full.sum())
-        pdf["sequence_id"] = (pdf["block"].to_numpy() << 32) + where
+        pdf = pdf.sort_values("num").reset_index(drop=True)
+        pdf["sequence_id"] = (pdf["block"].to_numpy() << 32) + np.frombuffer(winner["elite"].iloc[0], np.int32)
         before = pdf.groupby("sequence_id", sort=False)["length"]
         pdf["offset"] = before.cumsum() - pdf["length"]
-        return pdf.drop(columns="block")
+        return pdf.drop(columns=["block", "num"])
 
     out = items.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(place, PIECES + ", sequence_id long, offset long")
-    return out
+    full = cut.where(F.col("length") >= p.length).withColumn("sequence_id", -1 - F.col("num")).withColumn("offset", F.lit(0).cast("long")).drop("num")
+    return out.unionByName(full)

@@ -65,8 +65,7 @@ OP9_SQL = r"""
 WITH t AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM t),
 c AS (SELECT doc_id, line, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM l
-      WHERE regexp_matches(line, '[^ 	-
-]')),
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 w AS (SELECT a.doc_id, a.pos AS a, e.pos AS b, a.line AS l1, m.line AS l2, e.line AS l3
       FROM c a JOIN c m ON a.doc_id = m.doc_id AND m.k = a.k + 1 JOIN c e ON a.doc_id = e.doc_id AND e.k = a.k + 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, a) AS nth FROM w),
@@ -79,32 +78,44 @@ SELECT * FROM x
 """
 
 OP4_SQL = r"""
-WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text,
-                            concat(conv_id, ':', turn) AS own, concat(conv_id, ':', turn - 1) AS prev,
-                            concat(conv_id, ':', turn - 2) AS needs FROM conversations),
-c AS (SELECT conv_id, own AS call_id, turn, CASE WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS name,
-             CASE WHEN role = 'user' AND turn > 1 THEN needs END AS needs,
-             CASE WHEN role = 'user' THEN
-               concat('{', CASE WHEN turn > 1 THEN concat('"after":"$call:', needs, '",') ELSE '' END,
-                      '"position":', turn, ',"prompt":', CAST(to_json(text) AS VARCHAR), '}')
-             ELSE concat('{"instructions":', CAST(to_json(text) AS VARCHAR), '}') END AS args
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, turn IN (2, 3) AS two FROM conversations),
+c AS (SELECT conv_id, turn, concat(conv_id, ':', CASE WHEN role = 'user' AND conv_id % 11 = 5 AND turn IN (4, 5) THEN turn - 2 ELSE turn END) AS call_id,
+             CASE WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS name,
+             CASE WHEN role = 'user' AND turn > 1 THEN concat(conv_id, ':', turn - 2) END AS a,
+             CASE WHEN role = 'user' AND turn > 3 AND conv_id % 5 = 1 THEN concat(conv_id, ':', turn - 4) END AS f,
+             CASE WHEN role = 'user' AND two AND conv_id % 11 = 6 THEN concat(conv_id, ':', turn + 2) END AS u,
+             CASE WHEN role <> 'user' THEN '' WHEN two AND conv_id % 7 = 2 THEN 'type:position' WHEN two AND conv_id % 7 = 3 THEN 'unknown:retry' WHEN two AND conv_id % 7 = 4 THEN 'missing:prompt' ELSE '' END AS bad, text
       FROM t WHERE role IN ('user', 'system')),
-r AS (SELECT conv_id, prev AS call_id, min(struct_pack(turn := turn, content := text)) AS r
-      FROM t WHERE role NOT IN ('user', 'system') GROUP BY ALL),
-e AS (SELECT c.conv_id, c.call_id, c.needs FROM c WHERE EXISTS (SELECT 1 FROM c d WHERE d.conv_id = c.conv_id AND d.call_id = c.needs)),
-lv(conv_id, call_id, level) AS (
-  SELECT conv_id, call_id, 0 FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.conv_id = c.conv_id AND e.call_id = c.call_id)
-  UNION ALL SELECT e.conv_id, e.call_id, lv.level + 1 FROM lv JOIN e ON e.conv_id = lv.conv_id AND e.needs = lv.call_id)
-SELECT c.conv_id, c.call_id, c.turn, c.name, r.r.turn AS result_turn, CAST(lv.level AS BIGINT) AS level,
-       CASE WHEN r.r IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-       CASE WHEN c.needs IS NOT NULL AND e.needs IS NULL THEN concat('dangling:', c.needs) ELSE '' END AS errors,
-       md5(concat('{"arguments":', c.args, ',"call_id":"', c.call_id, '","content":', coalesce(CAST(to_json(r.r.content) AS VARCHAR), 'null'), ',"name":"', c.name, '"}')) AS canonical_md5
-FROM c LEFT JOIN r USING (conv_id, call_id) LEFT JOIN e USING (conv_id, call_id) LEFT JOIN lv USING (conv_id, call_id)
+j AS (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn) AS nth,
+             CASE WHEN name = 'configure' THEN concat('{"instructions":', CAST(to_json(text) AS VARCHAR), '}')
+             ELSE concat('{', CASE WHEN a IS NOT NULL THEN concat('"after":"$call:', a, '",') ELSE '' END,
+                         CASE WHEN f IS NOT NULL THEN concat('"first":"$call:', f, '",') ELSE '' END,
+                         '"position":', CASE WHEN bad = 'type:position' THEN concat('"', turn, '"') ELSE CAST(turn AS VARCHAR) END,
+                         CASE WHEN bad = 'missing:prompt' THEN '' ELSE concat(',"prompt":', CAST(to_json(text) AS VARCHAR)) END,
+                         CASE WHEN bad = 'unknown:retry' THEN ',"retry":true' ELSE '' END,
+                         CASE WHEN u IS NOT NULL THEN concat(',"until":"$call:', u, '"') ELSE '' END, '}') END AS args
+      FROM c),
+k AS (SELECT * FROM j WHERE nth = 1),
+r AS (SELECT conv_id, concat(conv_id, ':', CASE WHEN conv_id % 13 = 7 THEN turn + 1 ELSE turn - 1 END) AS call_id, turn, text
+      FROM t WHERE role NOT IN ('user', 'system')),
+ra AS (SELECT conv_id, call_id, min(struct_pack(turn := turn, content := text)) AS r FROM r GROUP BY ALL),
+x AS (SELECT DISTINCT conv_id, call_id, unnest([a, f, u]) AS needs FROM k),
+y AS (SELECT x.*, d.call_id IS NOT NULL AS there FROM x LEFT JOIN k d ON d.conv_id = x.conv_id AND d.call_id = x.needs WHERE needs IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n FROM k GROUP BY conv_id),
+w(conv_id, call_id, cur, level) AS (
+  SELECT conv_id, call_id, call_id, 0 FROM k
+  UNION SELECT w.conv_id, w.call_id, y.needs, w.level + 1 FROM w JOIN y ON y.conv_id = w.conv_id AND y.call_id = w.cur AND y.there JOIN n ON n.conv_id = w.conv_id WHERE w.level < n.n),
+lv AS (SELECT w.conv_id, call_id, CASE WHEN max(level) < max(n.n) THEN max(level) END AS level FROM w JOIN n USING (conv_id) GROUP BY ALL),
+lo AS (SELECT conv_id, call_id, string_agg(concat('dangling:', needs), ',' ORDER BY concat('dangling:', needs)) AS loose FROM y WHERE NOT there GROUP BY ALL)
+SELECT j.conv_id, j.call_id, j.turn, j.name, CASE WHEN nth = 1 THEN ra.r.turn END AS result_turn, CAST(CASE WHEN nth = 1 THEN lv.level END AS BIGINT) AS level,
+       CASE WHEN nth > 1 THEN 'duplicate' WHEN lv.level IS NULL THEN 'cycle' WHEN ra.r IS NULL THEN 'unanswered' WHEN ra.r.turn < j.turn THEN 'early' ELSE 'linked' END AS status,
+       concat_ws(',', nullif(j.bad, ''), CASE WHEN nth = 1 THEN lo.loose END) AS errors,
+       md5(concat('{"arguments":', j.args, ',"call_id":"', j.call_id, '","content":', CASE WHEN nth = 1 THEN coalesce(CAST(to_json(ra.r.content) AS VARCHAR), 'null') ELSE 'null' END, ',"name":"', j.name, '"}')) AS canonical_md5
+FROM j LEFT JOIN ra USING (conv_id, call_id) LEFT JOIN lv USING (conv_id, call_id) LEFT JOIN lo USING (conv_id, call_id)
 UNION ALL
-SELECT t.conv_id, t.prev, NULL, NULL, t.turn, NULL, 'orphan', '',
-       md5(concat('{"arguments":null,"call_id":"', t.prev, '","content":', CAST(to_json(t.text) AS VARCHAR), ',"name":null}'))
-FROM t WHERE role NOT IN ('user', 'system')
-         AND NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = t.conv_id AND c.call_id = t.prev)
+SELECT r.conv_id, r.call_id, NULL, NULL, r.turn, NULL, 'orphan', '',
+       md5(concat('{"arguments":null,"call_id":"', r.call_id, '","content":', CAST(to_json(r.text) AS VARCHAR), ',"name":null}'))
+FROM r WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.conv_id = r.conv_id AND k.call_id = r.call_id)
 """
 
 

@@ -158,9 +158,65 @@ def test_state_is_carried():
     assert abs(total - 1) < 1e-4
 
 
+def scalar_scores(m, symbols, end):
+    """One document, symbol by symbol, in plain Python floats."""
+    sh, h, x, out = m.shape, [0.0] * m.shape.hidden, end, []
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    n = sh.hidden
+    for y in symbols:
+        a = [sum(h[i] * float(m.w[i, j]) for i in range(n)) for j in range(3 * n)]
+        u = m.u[x].tolist()
+        new = []
+        for j in range(n):
+            z, r = sig(u[j] + a[j]), sig(u[n + j] + a[n + j])
+            c = math.tanh(u[2 * n + j] + r * a[2 * n + j])
+            new.append(c + z * (h[j] - c))
+        h = new
+
+        def share(w, b, k):
+            v = [sum(h[i] * float(w[i, j]) for i in range(n)) + float(b[j]) for j in range(len(b))]
+            return v[k] - math.log(sum(map(math.exp, v)))
+
+        if y < sh.frequent:
+            c, k = divmod(y, sh.per_class)
+            out.append(share(m.cw, m.cb, c) + share(m.ow[c], m.ob[c], k))
+        else:
+            out.append(share(m.cw, m.cb, y - sh.frequent + sh.classes))
+        x = y
+    return out
+
+
+def test_scores_equal_a_scalar_network():
+    shape, rng = gru.Shape(5, 3, 4, 3), np.random.default_rng(7)
+    m = gru.Model.born(shape, np.ones(12), np.ones(3))
+    m.flat[:] = rng.normal(0, 0.7, shape.total)
+    m.cb[1] = 60.0  # far below this bound, rows are shifted by their own largest logit
+    m.cw[:, 1] = -40.0
+    lengths = np.array([1, 30, 7])
+    symbols = rng.integers(0, shape.symbols, lengths.sum())
+    want = [v for d in np.split(symbols, np.cumsum(lengths)[:-1]) for v in scalar_scores(m, d.tolist(), 0)]
+    assert np.allclose(gru.score(m, symbols, lengths, 0, most=2, window=5), want, rtol=1e-3, atol=1e-3)
+
+
+def test_held_out_texts_are_better_than_by_counts(spark):
+    rng = random.Random(4)
+    follow = {w: rng.sample(range(60), 3) for w in range(60)}
+
+    def text():
+        w, out = rng.randrange(60), []
+        for _ in range(120):
+            out.append(f"w{w}")
+            w = rng.choice(follow[w])
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(1500)], SCHEMA).repartition(2)
+    got = lm_gru.score(docs, lm_gru.LmParams(lanes=64, chunk=1 << 17, rate=0.3, shape=gru.Shape(16, 8, 16, 8))).where("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
+    assert got.s > 0.93 * got.b
+
+
 def test_lm_scores(spark):
     rows = AWKWARD + [(1000 + i, t) for i, t in synthetic(150, 5)]
-    got = lm_gru.score(frame(spark, rows, True), lm_gru.LmParams(heavy=50, share=2, shape=gru.Shape(8, 4, 8, 8))).collect()
+    got = lm_gru.score(frame(spark, rows, True), lm_gru.LmParams(heavy=50, packed=100, shape=gru.Shape(8, 4, 8, 8))).collect()
     assert len(got) == len(rows)
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     tokens = [(i, [*fold(t), 1]) for i, t in rows]
@@ -215,6 +271,40 @@ def test_packing(spark):
     assert packing_gga.pack(spark.createDataFrame([], SCHEMA), p).count() == 0
 
 
+def test_equal_rows_spread_over_blocks(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same few words").alias("text"))
+    got = packing_gga.pack(docs, packing_gga.PackParams(block=4096))
+    by = got.groupBy(F.shiftright("sequence_id", 32).alias("b")).count().toPandas()["count"]
+    assert by.sum() == 100_000 and len(by) == 25 and by.max() < 1.2 * by.mean()
+    used = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m"))
+    assert used.where("n > 2048 or m <> n").count() == 0
+
+
+def test_rows_with_one_id_and_different_lengths(spark):
+    rows = [(None, "word " * n) for n in (1, 5, 90, 255, 256, 254, 30)] * 40
+    got = packing_gga.pack(spark.createDataFrame(rows, SCHEMA), packing_gga.PackParams(length=256, block=50)).toPandas()
+    assert len(got) == len(rows) + 40 and got.groupby("sequence_id").length.sum().max() <= 256
+    g = got.sort_values(["sequence_id", "offset"])
+    assert (g.offset == g.groupby("sequence_id").length.cumsum() - g.length).all()
+
+
+def test_islands_improve_on_best_fit(spark):
+    """Three pieces fill each of 100 bins: best fit needs several more, the islands at most one."""
+    rng, sizes = np.random.default_rng(0), []
+    while len(sizes) < 300:
+        a, b = sorted(rng.integers(200, 801, 2).tolist())
+        if 200 <= b - a and b <= 800:
+            sizes += [a, b - a, 1000 - b]
+    items = spark.createDataFrame([(0, i, n) for i, n in enumerate(sizes)], "block long, num long, length long")
+    p = packing_gga.PackParams(length=1000)
+    r = packing_gga.groupings(items, 1, p).first()
+    assert r.first_bins > 103 and r.bins <= 101
+    where = np.frombuffer(r.elite, np.int32)
+    assert len(where) == 300 and np.bincount(where, weights=sizes).max() <= 1000 and len(set(where.tolist())) == r.bins
+
+
 def test_evolution_keeps_every_piece():
     rng = np.random.default_rng(4)
     sizes = rng.integers(1, 100, 200).astype(np.int32)

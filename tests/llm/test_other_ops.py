@@ -83,6 +83,56 @@ def test_tool_links(spark):
     assert got[1, "o", None].status == "orphan" and json.loads(got[1, "o", None].canonical) == {"arguments": None, "call_id": "o", "content": None, "name": None}
 
 
+def plain_levels(edges, nodes):
+    """Longest path to a node without needs; None in a circle or behind one."""
+    needs = {n: [b for a, b in edges if a == n] for n in nodes}
+    out = {}
+    while ready := [n for n in nodes if n not in out and all(b in out for b in needs[n])]:
+        out |= {n: max((out[b] + 1 for b in needs[n]), default=0) for n in ready}
+    return {n: out.get(n) for n in nodes}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_levels_of_mixed_graphs(spark, seed):
+    rng, edges, nodes = random.Random(seed), set(), set()
+    for conv in range(12):
+        n = rng.randint(1, 40)
+        nodes |= {(conv, f"n{k}") for k in range(n)}
+        for k in range(1, n):
+            for _ in range(rng.choice([0, 1, 1, 1, 1, 2, 3])):
+                edges.add(((conv, f"n{k}"), (conv, f"n{k - rng.randint(1, min(k, 5))}")))
+        if conv % 3 == 2:  # a circle somewhere, or a call that needs itself
+            a = rng.randrange(n)
+            edges.add(((conv, f"n{a}"), (conv, f"n{rng.randrange(a, n)}")))
+    e = spark.createDataFrame([(a[0], a[1], b[1], int(b[1][1:])) for a, b in edges], "conv_id long, call_id string, needs string, turn long")
+    got = {(r.conv_id, r.call_id): r.level for r in tool_links.levels(spark.createDataFrame(sorted(nodes), "conv_id long, call_id string"), e).collect()}
+    assert got == {n: v for n, v in plain_levels(edges, nodes).items() if v is not None}
+
+
+def test_levels_of_long_chains(spark, monkeypatch):
+    n, rounds = 5000, []
+    stored = tool_links.stored
+    monkeypatch.setattr(tool_links, "stored", lambda df, what: rounds.append(what) or stored(df, what))
+    nodes = spark.range(n).selectExpr("1L AS conv_id", "CAST(id AS string) AS call_id")
+    edge = lambda back: spark.range(back, n).selectExpr("1L AS conv_id", "CAST(id AS string) AS call_id", f"CAST(id - {back} AS string) AS needs", f"id - {back} AS turn")
+    for edges in (edge(1), edge(1).unionByName(edge(2))):  # a second reference that the first implies costs no rounds
+        rounds.clear()
+        got = tool_links.levels(nodes, edges).collect()
+        assert len(got) == n and all(r.level == int(r.call_id) for r in got) and len(rounds) < 22
+    circle = edge(1).unionByName(spark.sql("SELECT 1L AS conv_id, '0' AS call_id, '4999' AS needs, 4999L AS turn"))
+    assert tool_links.levels(nodes, circle).count() == 0
+
+
+def test_tool_links_with_clashing_columns(spark):
+    tools = spark.createDataFrame([("add", ["a"], {"a": "integer"})], "name string, required array<string>, properties map<string,string>")
+    c = calls(spark, [(1, "x", 0, "add", '{"a": 1}'), (1, "y", 2, "add", '{"a": "$call:x"}')])
+    r = spark.createDataFrame([(1, "x", 1, "one"), (1, "z", 3, "two")], "conv_id long, call_id string, turn long, content string")
+    want = sorted(map(str, tool_links.link(c, r, tools).collect()))
+    for name in ("level", "r", "first", "required", "loose", "n_calls", "args", "status", "a", "needs", "properties", "to", "n"):
+        c, r, tools = (x if name in x.columns else x.selectExpr("*", f"'clash' AS {name}") for x in (c, r, tools))
+    assert sorted(map(str, tool_links.link(c, r, tools).collect())) == want
+
+
 def test_conversation_turns(spark):
     t = spark.createDataFrame([(1, 0, "system", "be"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", None), (2, 5, "assistant", "x"), (3, 1, None, "y")], "conv_id long, turn long, role string, text string")
     c, r = tool_links.conversation_calls(t)
