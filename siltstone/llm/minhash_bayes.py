@@ -5,22 +5,27 @@
    named by its smallest doc_id; copies are never compared again.
 2. *Bands.* ``bands`` x ``rows`` min-hashes; a class is a candidate where a band equals another
    class's. Bands that only one class has are dropped by an aggregation before anything wider moves.
-3. *Sequential verification.* Within a band's bucket, signatures (16 bits a hash) are compared batch
+3. *Sequential verification.* Signatures (16 bits a hash) are compared batch
    by batch. After each batch of ``batch`` hashes a pair is dropped when the posterior probability
-   (uniform prior, so Beta(m + 1, n - m + 1)) of a similarity of at least the threshold is below
-   ``miss``. Survivors leave a bucket as a spanning forest, never as all pairs.
-4. *Exact verification.* Survivor forests are joined to clusters; inside a cluster, pairs that pass the
-   same sequential test and are not yet in one component are compared on their full sets with integers,
-   ``100 * common >= percent * union``. Large buckets and clusters are cut into blocks, one task for each
-   pair of blocks, so that no task holds more than two blocks.
+   (uniform prior, so Beta(m + 1, n - m + 1)) of a similarity of at least the threshold is below ``miss``.
+4. *Exact verification* of what is left, on full sets with integers, ``100 * common >= percent * union``.
 5. Components of the confirmed links by large-star/small-star.
 
+Candidates are taken in two turns. First each class is compared with one centre only, the smallest class of
+most of its buckets: a dense group of copies with edits costs as many comparisons as it has members, and is one
+component afterwards. Then the buckets that still hold several components are compared across
+components; their survivors leave a bucket as a spanning forest, never as all pairs, forests are joined to clusters, and
+inside a cluster pairs of different components that pass the sequential test are verified. Large
+buckets and clusters are cut into blocks, a task each: members of the largest component stay in their block,
+which all others visit. Work on a group is so its size times what is outside its largest component.
+
 Chance of missing a link of similarity s: banding ``(1 - s**rows) ** bands`` (about 1e-6 at 0.85 with
 5 x 24) plus ``miss`` for the sequential test. Nothing is capped or sampled.
 
 Defined results: null or empty text has an empty set and is linked with nothing; repeated rows with one
 doc_id give one row each and are one document when their texts agree (an id with differing texts is compared
-by one of them, and its rows share one component); a null doc_id gives a row without a component, and is kept.
+by one of them, and its rows share one component); a null doc_id gives a row without a component, and is kept;
+other columns are left behind.
 """
 
 from __future__ import annotations
@@ -173,14 +178,41 @@ def survivors(one: np.ndarray, many: np.ndarray, steps: list[tuple[int, int]]) -
     return left
 
 
-def _link(ids: np.ndarray, sig: np.ndarray, side: np.ndarray, steps: list[tuple[int, int]], exact=None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that pass. side: 0 and 1 are compared across only, 2 with each other."""
-    order = np.argsort(ids, kind="stable")
-    ids, sig, side = ids[order], sig[order], side[order]
+def passing(one: np.ndarray, two: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
+    """Places of the pairs (rows of ``one`` and ``two``) that the sequential test leaves."""
+    left, done, matches = np.arange(len(one)), 0, np.zeros(len(one), np.int32)
+    for n, least in steps:
+        matches = matches + (one[left, done:n] == two[left, done:n]).sum(axis=1, dtype=np.int32)
+        ok = matches >= least
+        left, matches, done = left[ok], matches[ok], n
+    return left
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have the similarity, by their members."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+# What a row is in a task: of the group's largest component, at home; another at home; one from an earlier, from a later block.
+MAJOR, HOME, EARLIER, LATER = range(4)
+
+
+def _link(ids: np.ndarray, sig: np.ndarray, side: np.ndarray, comp: np.ndarray, steps: list[tuple[int, int]], exact=None) -> list[tuple[int, int]]:
+    """A spanning forest, over the given components, of the pairs that pass."""
+    order = np.lexsort((ids, side))
+    ids, sig, side, comp = ids[order], sig[order], side[order], comp[order]
     forest, out = Forest(len(ids)), []
-    for i in range(1, len(ids)):
+    _, first, inverse = np.unique(comp, return_index=True, return_inverse=True)
+    forest.up = first[inverse]
+    home = int(np.searchsorted(side, EARLIER))
+    major = int(np.searchsorted(side, HOME))
+    for i in range(major, len(ids)):
+        most = i if i < home else home if side[i] == EARLIER else major
         roots = forest.roots()
-        other = np.flatnonzero((roots[:i] != roots[i]) & ((side[:i] != side[i]) | (side[i] == 2)))
+        other = np.flatnonzero(roots[:most] != roots[i])
         for k in other[survivors(sig[i], sig[other], steps)] if len(other) else ():
             a, b = forest.root(i), forest.root(int(k))
             if a != b and (exact is None or exact(order[i], order[k])):
@@ -190,39 +222,82 @@ def _link(ids: np.ndarray, sig: np.ndarray, side: np.ndarray, steps: list[tuple[
 
 
 def in_blocks(rows: DataFrame, key: str, p: NearParams) -> DataFrame:
-    """Adds ``task`` columns: a group of up to ``block`` rows is one task; a larger one is a task for each pair of blocks.
+    """The rows (rep, comp) of groups with several components, with their ``task`` (block) and ``side``.
 
-    Group sizes come from a partial aggregation; a row of a group of g blocks goes to g tasks.
+    A group of up to ``block`` rows is one task. In a larger one, rows of its largest component are in their own
+    block's task only, all others in each block's. Sizes come from partial aggregations.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n_group"))
-    r = rows.join(sizes, key).withColumn("g", F.ceil(F.col("n_group") / p.block).cast("int"))
-    r = r.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("g").cast("long")).cast("int"))
-    r = r.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    side = F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
-    return r.select(*rows.columns, F.least("b", "o").alias("t1"), F.greatest("b", "o").alias("t2"), side.alias("side"))
+    sizes = rows.groupBy(key, "comp").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("n_group"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("n_comp"))
+    r = rows.join(sizes.where("n_comp > 1"), key).withColumn("g", F.ceil(F.col("n_group") / p.block).cast("int"))
+    r = r.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("g").cast("long")).cast("int")).withColumn("major", F.col("comp") == F.col("most.comp"))
+    r = r.withColumn("task", F.explode(F.when(F.col("major"), F.array("b")).otherwise(F.sequence(F.lit(0), F.col("g") - 1))))
+    side = F.when(F.col("major"), MAJOR).when(F.col("b") == F.col("task"), HOME).when(F.col("b") < F.col("task"), EARLIER).otherwise(LATER)
+    return r.select(*rows.columns, "task", side.alias("side"))
 
 
-def _in_bins(rows: DataFrame, keys: list[str], n_rows: int, p: NearParams) -> DataFrame:
-    """Adds ``bin``: tasks of ``in_blocks`` dealt by hash into bins of about ``4 * block`` rows, so that small
+def _in_bins(rows: DataFrame, key: str, p: NearParams) -> DataFrame:
+    """Adds ``bin``: tasks of ``in_blocks`` dealt by hash into bins of about ``2 * block`` rows, so that small
     groups share one call of the Python function."""
-    bins = parts(rows.sparkSession, n_rows, 4 * p.block)
-    return rows.withColumn("bin", F.pmod(F.xxhash64(*keys), F.lit(bins).cast("long")))
+    rows = stored(rows, "tasks")
+    bins = parts(rows.sparkSession, rows.count(), 2 * p.block)
+    return rows.withColumn("bin", F.pmod(F.xxhash64(key, "task"), F.lit(bins).cast("long")))
 
 
-def _each(pdf: pd.DataFrame, keys: list[str], link) -> pd.DataFrame:
-    """``link`` applied to the rows of each group of ``keys``."""
+def _each(pdf: pd.DataFrame, key: str, link) -> pd.DataFrame:
+    """``link`` applied to the rows of each task."""
     out: list[tuple[int, int]] = []
-    for at in pdf.groupby(keys, sort=False).indices.values():
+    for at in pdf.groupby([key, "task"], sort=False).indices.values():
         if len(at) > 1:
             out += link(at)
     return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
 
+def _matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
+
+
+def full_sets(d: DataFrame, wanted: DataFrame, p: NearParams) -> DataFrame:
+    """(rep, shingles) of the wanted ids; texts that surely are not wanted are passed over by a bitmap."""
+    bitmap = key_bitmap(wanted.select(F.xxhash64("rep").alias("key")), "key")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = (b.filter(pa.array(may_hold(bitmap.value, b.column(2).to_numpy(zero_copy_only=False)))) for b in batches)
+        for part, buf, off in K.chunks(some, "text"):
+            got = shingle_sets(buf, off, p.shingle)
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array([x.tobytes() for x in got], pa.binary())], ["rep", "shingles"])
+
+    full = d.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id")).mapInArrow(sets, "rep long, shingles binary")
+    return full.join(wanted.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+
+
+def with_centres(pairs: DataFrame, sigs: DataFrame, d: DataFrame, p: NearParams, steps: list[tuple[int, int]]) -> DataFrame:
+    """(u, v): confirmed links between classes and the centre of most of their buckets. pairs: band, rep, centre."""
+    votes = pairs.where("rep <> centre").groupBy("rep", "centre").agg(F.count("*").alias("n"))
+    star = votes.groupBy("rep").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("b")).select("rep", (-F.col("b.c")).alias("centre"))
+    both = star.join(sigs, "rep").join(sigs.select(F.col("rep").alias("centre"), F.col("sig").alias("sig_c")), "centre")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = passing(_matrix(b.column("sig").to_pylist()), _matrix(b.column("sig_c").to_pylist()), steps) if b.num_rows else []
+            yield b.select(["rep", "centre"]).take(pa.array(at, pa.int64()))
+
+    left = stored(both.mapInArrow(test, "rep long, centre long"), "star")
+    sets = stored(full_sets(d, left.select("rep").unionByName(left.select(F.col("centre").alias("rep"))).distinct(), p), "star-sets")
+    both = left.join(sets, "rep").join(sets.select(F.col("rep").alias("centre"), F.col("shingles").alias("shingles_c")), "centre")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            two = zip(b.column("shingles"), b.column("shingles_c"), strict=True)
+            ok = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), p.percent) for x, y in two]
+            yield pa.RecordBatch.from_arrays(b.select(["rep", "centre"]).filter(pa.array(ok, pa.bool_())).columns, ["u", "v"])
+
+    return stored(both.mapInArrow(confirm, "u long, v long"), "star-links")
+
+
 def near_classes(docs: DataFrame, params: NearParams | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
     p = params or NearParams()
-    spark = docs.sparkSession
-    K.small_batches(spark)
+    K.small_batches(docs.sparkSession)
     steps = fewest_matches(p)
     d = with_text(docs)
     prints = stored(fingerprints(d, p), "prints")
@@ -234,54 +309,40 @@ def near_classes(docs: DataFrame, params: NearParams | None = None) -> DataFrame
     own_id = member.where("n_shingles > 0 and doc_id = rep").select("rep").distinct()
     signs = stored(signed_rows(d, p).join(own_id, "rep", "left_semi"), "signatures")
     bands = signs.select("rep", F.explode("keys").alias("band")).distinct()
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("centre")).where("n > 1").drop("n")
     pairs = stored(bands.join(shared, "band"), "bands")
-    active = pairs.select("rep").distinct()
-    sigs = signs.select("rep", "sig").join(active, "rep", "left_semi").dropDuplicates(["rep"])
-    sigs = stored(sigs, "active")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
-        rep, side = pdf["rep"].to_numpy(), pdf["side"].to_numpy()
-        return _each(pdf, keys, lambda at: _link(rep[at], sig[at], side[at], steps))
+    sigs = stored(signs.select("rep", "sig").join(pairs.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "active")
+    star = with_centres(pairs, sigs, d, p, steps)
 
-    keys = ["band", "t1", "t2"]
-    rows = _in_bins(in_blocks(pairs, "band", p), keys, pairs.count(), p).join(sigs, "rep")
-    likely = components(rows.groupBy("bin").applyInPandas(compare, "u long, v long"))
-    likely = stored(likely.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")
+    # Buckets that still hold several components.
+    known = stored(components(star).select(F.col("node").alias("rep"), F.col("component").alias("comp")), "components")
+    placed = pairs.select("band", "rep").join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    rest = _in_bins(in_blocks(placed, "band", p), "band", p)
 
-    bitmap = key_bitmap(likely.select(F.xxhash64("rep").alias("key")), "key")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = (b.filter(pa.array(may_hold(bitmap.value, b.column(2).to_numpy(zero_copy_only=False)))) for b in batches)
-        for part, buf, off in K.chunks(some, "text"):
-            got = shingle_sets(buf, off, p.shingle)
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array([x.tobytes() for x in got], pa.binary())], ["rep", "shingles"])
-
-    full = d.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id")).mapInArrow(sets, "rep long, shingles binary")
-    full = full.join(likely.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sig = _matrix(pdf["sig"])
+        rep, side, comp = (pdf[c].to_numpy() for c in ("rep", "side", "comp"))
+        return _each(pdf, "band", lambda at: _link(rep[at], sig[at], side[at], comp[at], steps))
+
+    likely = rest.join(sigs, "rep").groupBy("bin").applyInPandas(compare, "u long, v long")
+    # Clusters of components; of each component the classes that such a bucket holds.
+    own = rest.select("rep", "comp").distinct()
+    ends = likely.join(own.select(F.col("rep").alias("u"), F.col("comp").alias("a")), "u").join(own.select(F.col("rep").alias("v"), F.col("comp").alias("b")), "v")
+    clusters = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("comp"), F.col("component").alias("cluster"))
+    inside = stored(own.join(clusters, "comp").select("rep", "comp", "cluster"), "clusters")
+    sets = full_sets(d, inside, p)
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
-        own = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-
-        def same(i: int, k: int) -> bool:
-            a, b = own[i], own[k]
-            if 100 * min(len(a), len(b)) < p.percent * max(len(a), len(b)):
-                return False
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            return 100 * common >= p.percent * (len(a) + len(b) - common)
-
-        rep, side = pdf["rep"].to_numpy(), pdf["side"].to_numpy()
-        return _each(pdf, cluster, lambda at: _link(rep[at], sig[at], side[at], steps, lambda i, k: same(at[i], at[k])))
-
-    cluster = ["cluster", "t1", "t2"]
-    rows = _in_bins(in_blocks(likely, "cluster", p), cluster, likely.count(), p).join(sigs, "rep").join(full, "rep")
-    links = rows.groupBy("bin").applyInPandas(confirm, "u long, v long")
+        sig = _matrix(pdf["sig"])
+        full = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        rep, side, comp = (pdf[c].to_numpy() for c in ("rep", "side", "comp"))
+        return _each(pdf, "cluster", lambda at: _link(rep[at], sig[at], side[at], comp[at], steps, lambda i, k: alike(full[at[i]], full[at[k]], p.percent)))
+
+    links = _in_bins(in_blocks(inside, "cluster", p), "cluster", p).join(sigs, "rep").join(sets, "rep").groupBy("bin").applyInPandas(confirm, "u long, v long")
     # A repeated id with differing texts belongs to several classes: its classes are linked through it.
-    own = member.where("rep <> doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    other = member.where("rep <> doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     twice = prints.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("u"))
-    done = components(links.unionByName(own.join(twice, "u", "left_semi")))
+    done = components(known.select(F.col("rep").alias("u"), F.col("comp").alias("v")).unionByName(links).unionByName(other.join(twice, "u", "left_semi")))
     out = member.join(done.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 

@@ -356,6 +356,31 @@ def test_near_duplicates(spark, block):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted([0, 0, *(i for i, (_, c) in want.items() if i == c)])
 
 
+def test_a_dense_group_costs_its_size(spark, monkeypatch):
+    """Thousands of copies with single edits and some strays that resemble them: rows handed to tasks stay linear."""
+    rng, words, n = random.Random(9), [f"w{k}" for k in range(5000)], 3000
+    base = [rng.choice(words) for _ in range(400)]
+
+    def edited(k):
+        w = list(base)
+        for i in rng.sample(range(400), k):
+            w[i] = rng.choice(words)
+        return " ".join(w)
+
+    rows = [(i, edited(rng.choice([0, 1, 2]))) for i in range(n)] + [(n + i, edited(60)) for i in range(20)]
+    counts, stored = {}, minhash_bayes.stored
+
+    def counting(df, what):
+        out = stored(df, what)
+        counts[what] = counts.get(what, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash_bayes, "stored", counting)
+    got = minhash_bayes.near_classes(frame(spark, rows).repartition(4), minhash_bayes.NearParams(block=64)).collect()
+    assert {r.component_id for r in got if r.doc_id < n} == {0} and all(r.kept for r in got if r.doc_id >= n)
+    assert counts["star"] <= n + 20 and counts["tasks"] <= 24 * n + 2 * 24 * 20 * (n // 64)
+
+
 def test_near_dedup_stage(spark):
     import corpus_pipeline as C
 
