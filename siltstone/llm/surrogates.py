@@ -2,21 +2,22 @@
 
 *Detection* finds e-mail addresses, telephone numbers, payment cards, IPv4 addresses, national ids
 (ddd-dd-dddd), IBANs, secrets (long hexadecimal strings, access keys of known prefixes, and values of token/key/secret/password)
-and personal names (after a form of address, or a known given name before a capitalised word).
+and personal names (after a form of address or a cue such as ``Name:``, or a known given name before a capitalised
+word; then each later bare mention in the same text). What no title, cue or listed name tells stays.
 
 *Replacement* is a keyed permutation of the set of strings of the same form: a Feistel network over the
 mixed-radix number that a value's letters and digits spell, walked until it falls into the set. So two
 different values of one form never share a surrogate, and equal values share theirs everywhere, without
-any table. Letters go to letters of the same script, case and kind (vowel or consonant), digits to digits;
-punctuation stays. Cards keep their first digit and whether their check digit is right, IBANs get right
-check digits, addresses stay public or private, e-mail hosts are replaced by themselves (one host, one
-surrogate) under the same top-level domain, given names go to given names of the same gender and script,
-and a surname alone gets the surname it has beside a given name.
+any table. Letters go to letters of the same script, case and kind (vowel or consonant; other letters within their
+Unicode block), digits to digits of their script; punctuation stays. Cards keep their first digit, cards and IBANs how
+far their check digits are from the right ones, addresses stay public or private, e-mail hosts are replaced by themselves (one host, one
+surrogate) under the same top-level domain, listed given names go to other listed ones of the same gender and script
+(no name to itself), others keep their last letter, and a surname alone gets the surname it has beside a given name.
 
 *Collision check.* A surrogate that is itself a real value somewhere in the corpus would merge two people.
 All distinct real values are gathered (deduplicated in each task before the shuffle), surrogates that meet
-one are drawn again with the next round's permutation, and a redrawn one must also miss every surrogate
-in use. The few exceptions are broadcast if counted to be at most ``broadcast_rows``; beyond that they are
+one, or another's surrogate, are drawn again with the next round's permutation, and a redrawn one must also miss every
+surrogate in use. The few exceptions are broadcast if counted to be at most ``broadcast_rows``; beyond that they are
 joined to the documents that hold them.
 
 Defined results: null text stays null and has no entities; rows with equal doc_id are treated alike, each on
@@ -28,7 +29,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -42,7 +44,7 @@ from siltstone.llm.tables import stored
 
 @dataclass(frozen=True)
 class PiiParams:
-    key: bytes = b"a key of the caller's own"
+    key: bytes  # secret: with it, surrogates can be turned back
     broadcast_rows: int = 100_000
     rounds: int = 16
 
@@ -50,13 +52,15 @@ class PiiParams:
 # Forms of address (with gender) and given names, by gender and script.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 GIVEN = {
-    ("m", "latin"): "James John Robert Michael William David Richard Thomas Charles Daniel Matthew Anthony Mark Paul Andrew Peter Hans Klaus Jürgen Stefan Pierre Jean Luc Carlos Juan Miguel".split(),
-    ("f", "latin"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Emily Anna Laura Emma Julia Maria Sabine Ursula Monika Claire Sophie Camille Carmen Lucía Elena Isabel".split(),
+    ("m", "latin"): "James John Robert Michael William David Richard Thomas Charles Daniel Matthew Anthony Mark Paul Andrew Peter Hans Klaus Jürgen Stefan Pierre Jean Luc Carlos Juan Miguel Mohammed Ahmed Ali Omar Hassan Ibrahim Yusuf Wei Ming Jun Hiroshi Kenji Raj Arjun Sanjay Vikram Kwame Piotr Tomasz Lars Sven Erik Marco Luca Mehmet".split(),
+    ("f", "latin"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Emily Anna Laura Emma Julia Maria Sabine Ursula Monika Claire Sophie Camille Carmen Lucía Elena Isabel Aisha Fatima Zainab Leila Amina Mei Ling Xiu Yuki Sakura Keiko Priya Ananya Lakshmi Amara Agnieszka Ingrid Astrid Giulia Chiara Ayşe Zeynep".split(),
     ("m", "cyrillic"): "Иван Пётр Сергей Дмитрий Алексей Николай Михаил Андрей".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана".split(),
     ("m", "greek"): "Γιώργος Δημήτρης Νίκος Κώστας Γιάννης".split(),
     ("f", "greek"): "Μαρία Ελένη Κατερίνα Σοφία Άννα".split(),
 }
+#: Words before a name.
+CUES = ("Name:", "Author:", "Contact:", "Attn:", "Dear", "Sincerely,", "Regards,", "Signed,", "my name is", "My name is")
 #: Sets of letters that are exchanged among themselves.
 LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäöüëï", "çñß", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρσφχψ", "0123456789")
 _SET = {c: s for s in LETTERS for c in s}
@@ -64,10 +68,11 @@ _KNOWN = {n: (g, s) for (g, s), names in GIVEN.items() for n in names}
 _HEX = "0123456789abcdef"
 
 _GAP = r"[ .\-*%$&#!|]{0,8}"
-_WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][a-zß-öø-ÿа-яёα-ωάέήίόύώς'-]+"
+_UPPER, _SMALL = ("".join(c for c in map(chr, range(0x41, 0x590)) if unicodedata.category(c) == k) for k in ("Lu", "Ll"))
+_WORD = rf"(?:[{_UPPER}][{_SMALL}]+|[{_UPPER}](?=['’]))(?:['’-][{_UPPER}]?[{_SMALL}]+)*"
 PATTERNS: list[tuple[str, re.Pattern]] = [
     ("email", re.compile(r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])")),
     ("access", re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:ghp|gho|ghs|glpat|sk|pk|xox[abprs])[-_][A-Za-z0-9_-]{16,})(?![A-Za-z0-9])")),
     ("quoted", re.compile(r"(?i)(?:token|api_?key|secret|password|passwd|pwd)\s*[=:]\s*(?:[\"'](?P<q>[^\"'\s]{6,})[\"']|(?P<v>(?=[^\s\"']*\d)[^\s\"',;]{8,}))")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
@@ -76,7 +81,30 @@ PATTERNS: list[tuple[str, re.Pattern]] = [
     ("national", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)")),
 ]
-NAMES = re.compile(rf"\b(?:({'|'.join(TITLES)})\.?[ \t]+({_WORD})(?:[ \t]+({_WORD}))?|({'|'.join(sorted(_KNOWN, key=len, reverse=True))})[ \t]+({_WORD}))")
+NAMES = re.compile(rf"\b(?:({'|'.join(TITLES)})\.?[ \t]+({_WORD})(?:[ \t]+({_WORD}))?|(?:{'|'.join(CUES)})\s+({_WORD})(?:[ \t]+({_WORD}))?|({'|'.join(sorted(_KNOWN, key=len, reverse=True))})[ \t]+({_WORD}))")
+BARE = re.compile(rf"(?<![\w'’-]){_WORD}")
+
+
+@lru_cache(100_000)
+def alphabet(c: str) -> str:
+    """The letters that ``c`` is exchanged with: one of LETTERS, or those of its script and category in its Unicode
+    block of 256; empty for all else. Alphabets do not overlap."""
+    if c in _SET:
+        return _SET[c]
+    if not c.isalpha() or not _plain(c):
+        return ""
+    like = (unicodedata.category(c), unicodedata.name(c, "").split(" ")[0])
+    block = map(chr, range(ord(c) >> 8 << 8, (ord(c) >> 8) + 1 << 8))
+    return "".join(x for x in block if x not in _SET and _plain(x) and (unicodedata.category(x), unicodedata.name(x, "").split(" ")[0]) == like)
+
+
+def _plain(c: str) -> bool:
+    """Whether case goes there and back, letter for letter."""
+    return c.lower() == c and len(c.upper()) == 1 and c.upper().lower() == c
+
+
+def ascii_digits(value: str) -> str:
+    return value if value.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in value)
 
 
 class Permuter:
@@ -102,9 +130,9 @@ class Permuter:
             if x < size:
                 return x
 
-    def spell(self, text: str, label: str, sets: dict[str, str] = _SET) -> str:
+    def spell(self, text: str, label: str, sets: Callable[[str], str] = alphabet) -> str:
         """The permuted string of the same form; ``text`` in lower case."""
-        used = [sets.get(c, "") for c in text]
+        used = [sets(c) for c in text]
         n, size = 0, 1
         for c, s in zip(text, used, strict=True):
             if s:
@@ -139,9 +167,10 @@ def _private(n: int) -> int:
 
 
 def normal(kind: str, value: str) -> str:
-    """What makes two spellings the same entity."""
+    """What makes two spellings the same entity: lower case, digits 0-9, and for numbers nothing but them."""
+    value = ascii_digits(value)
     if kind in ("phone", "card", "national"):
-        return "".join(c for c in value if c.isdigit())
+        return "".join(c for c in value if c.isdecimal())
     if kind == "iban":
         return value.replace(" ", "").lower()
     return value.lower()
@@ -151,6 +180,7 @@ class Surrogates:
     def __init__(self, key: bytes):
         self.p = Permuter(key)
         self.draw = lru_cache(100_000)(self._draw)
+        self.names: dict[str, str] = {}
 
     def _draw(self, kind: str, norm: str, rnd: int) -> str:
         """The surrogate of a normal form, in normal form."""
@@ -167,7 +197,8 @@ class Surrogates:
             return norm[:keep] + p.spell(norm[keep:], f"{label}|{norm[:keep]}")
         if kind == "iban":
             rest = p.spell(norm[4:], label)
-            return norm[:2] + _iban_check(norm[:2], rest) + rest
+            away = int(norm[2:4]) - int(_iban_check(norm[:2], norm[4:]))
+            return f"{norm[:2]}{(int(_iban_check(norm[:2], rest)) + away) % 100:02d}{rest}"
         if kind == "ip":
             n = 0
             for o in norm.split("."):
@@ -184,59 +215,84 @@ class Surrogates:
         if kind == "access":
             return norm[:4] + p.spell(norm[4:], f"{label}|{norm[:4]}")
         if kind == "secret":
-            return p.spell(norm, label, dict.fromkeys(_HEX, _HEX))
+            return p.spell(norm, label, lambda c: _HEX if c in _HEX else "")
+        if kind == "given":
+            return p.spell(norm[:-1], label) + norm[-1]
         return p.spell(norm, label)
 
-    def given(self, name: str, gender: str) -> str:
-        """A given name of the same gender and script; an unknown one is spelled anew, its last letter kept."""
-        g, script = _KNOWN.get(name, (gender, ""))
-        if script:
-            names = GIVEN[g, script]
-            return names[self.p.permute(names.index(name), len(names), f"given|{g}|{script}")]
-        return _dress(self.p.spell(name[:-1].lower(), "given|" + gender) + name[-1].lower(), name)
+    def listed(self, name: str) -> str:
+        """Another given name of the same gender and script: a keyed order of them, moved on by one."""
+        if name not in self.names:
+            names = GIVEN[_KNOWN[name]]
+            order = [names[self.p.permute(i, len(names), "given|" + "|".join(_KNOWN[name]))] for i in range(len(names))]
+            self.names |= dict(zip(order, order[1:] + order[:1], strict=True))
+        return self.names[name]
+
+    def replaced(self, kind: str, value: str, exceptions: dict[tuple[str, str], int]) -> str:
+        if kind == "given" and value in _KNOWN:
+            return self.listed(value)
+        norm = normal(kind, value)
+        new = self.draw(kind, norm, exceptions.get((kind, norm), 0))
+        if kind != "ip":
+            return _dress(new, value)
+        zero = next(c for c in value if c.isdecimal())
+        return new if zero.isascii() else new.translate({48 + d: chr(ord(zero) - unicodedata.decimal(zero) + d) for d in range(10)})
 
 
 def _dress(norm: str, like: str) -> str:
-    """A normal form in the spelling of ``like``: its case, and its punctuation where the normal form has none."""
+    """A normal form in the spelling of ``like``: its case, its digits' script, and its punctuation where the normal form has none."""
+
+    def one(n: str, c: str) -> str:
+        if c.isdecimal() and not c.isascii() and n.isdecimal():
+            return chr(ord(c) - unicodedata.decimal(c) + int(n))
+        return n.upper() if c.isupper() and len(n.upper()) == 1 else n
+
     if len(norm) == len(like):
-        return "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for n, c in zip(norm, like, strict=True))
+        return "".join(map(one, norm, like))
     it = iter(norm)
-    return "".join((x.upper() if (x := next(it)) and c.isupper() else x) if c.isalnum() else c for c in like)
+    return "".join(one(next(it), c) if c.isalnum() else c for c in like)
 
 
-def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, gender) of the entities, in order and without overlap; earlier patterns win."""
-    out: list[tuple[int, int, str, str]] = []
+def find(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the entities, in order and without overlap; earlier patterns win."""
+    out: list[tuple[int, int, str]] = []
+    taken: list[bytearray] = []
+
+    def add(a: int, b: int, kind: str) -> None:
+        if not taken:
+            taken.append(bytearray(len(text)))
+        if taken[0].find(1, a, b) < 0:
+            taken[0][a:b] = b"\1" * (b - a)
+            out.append((a, b, kind))
+
     if "@" in text or re.search(r"\d", text) or "=" in text or ":" in text:
         for kind, pattern in PATTERNS:
             if kind == "email" and "@" not in text:
                 continue
             for m in pattern.finditer(text):
                 a, b = m.span() if kind != "quoted" else m.span("q") if m["q"] else m.span("v")
-                if kind == "iban" and not any(c.isdigit() for c in text[a + 4 : b]):
-                    continue
-                if all(b <= x or a >= y for x, y, _, _ in out):
-                    out.append((a, b, kind, ""))
+                if kind != "iban" or any(c.isdigit() for c in text[a + 4 : b]):
+                    add(a, b, kind)
+    names: dict[str, str] = {}
     for m in NAMES.finditer(text):
-        spans = [(m.span(2), TITLES.get(m[1] or "", "")), (m.span(3), "")] if m[1] else [(m.span(4), ""), (m.span(5), "")]
-        spans = [(s, g) for s, g in spans if s[0] >= 0]
-        for k, ((a, b), g) in enumerate(spans):
-            first = k == 0 and (len(spans) == 2 or text[a:b] in _KNOWN)
-            if all(b <= x or a >= y for x, y, _, _ in out):
-                out.append((a, b, "given" if first else "surname", g))
+        k = next(k for k in (2, 4, 6) if m[k])
+        first, last = m[k], m[k + 1]
+        kind = "given" if last or first in _KNOWN else "surname"
+        add(*m.span(k), kind)
+        names.setdefault(first, kind)
+        if last:
+            add(*m.span(k + 1), "surname")
+            names[last] = "surname"
+    for m in BARE.finditer(text) if names else ():
+        if m[0] in names:
+            add(*m.span(), names[m[0]])
     return sorted(out)
 
 
 def rewrite(text: str, s: Surrogates, exceptions: dict[tuple[str, str], int]) -> tuple[str, list[str]]:
     out, at, kinds = [], 0, []
-    for a, b, kind, gender in find(text):
-        value = text[a:b]
-        if kind == "given":
-            new = s.given(value, gender)
-        else:
-            norm = normal(kind, value)
-            new = _dress(s.draw(kind, norm, exceptions.get((kind, norm), 0)), value) if kind != "ip" else s.draw(kind, norm, exceptions.get((kind, norm), 0))
-        out += [text[at:a], new]
+    for a, b, kind in find(text):
+        out += [text[at:a], s.replaced(kind, text[a:b], exceptions)]
         at = b
         kinds.append(kind)
     return "".join([*out, text[at:]]), kinds
@@ -250,8 +306,8 @@ def real_values(docs: DataFrame, p: PiiParams) -> DataFrame:
         for b in batches:
             new = set()
             for text in b.column(0).to_pylist():
-                for a, e, kind, _ in find(text or ""):
-                    if kind != "given" and (v := (kind, normal(kind, text[a:e]))) not in seen:
+                for a, e, kind in find(text or ""):
+                    if (kind != "given" or text[a:e] not in _KNOWN) and (v := (kind, normal(kind, text[a:e]))) not in seen:
                         new.add(v)
             seen |= new
             if len(seen) > 500_000:
@@ -267,7 +323,10 @@ def collisions(docs: DataFrame, p: PiiParams) -> DataFrame:
     """(kind, norm, round): the values whose surrogate of round 0 is not theirs to use, and the round that is."""
     real = stored(real_values(docs, p), "entities")
     taken = real.select("kind", F.col("norm").alias("surrogate")).unionByName(real.select("kind", "surrogate"))
-    left = stored(real.join(real.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "norm"), "collisions")
+    met = real.join(real.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "norm")
+    twice = real.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("norm").alias("keeps")).where("n > 1")
+    met = met.unionByName(real.join(twice, ["kind", "surrogate"]).where("norm <> keeps").select("kind", "norm")).distinct()
+    left = stored(met, "collisions")
     settled = None
     for rnd in range(1, p.rounds + 1):
         if not left.limit(1).count():
@@ -295,9 +354,8 @@ def collisions(docs: DataFrame, p: PiiParams) -> DataFrame:
 RESULTS = ("n_entities", "entity_kinds")
 
 
-def replace_entities(docs: DataFrame, params: PiiParams | None = None) -> DataFrame:
+def replace_entities(docs: DataFrame, p: PiiParams) -> DataFrame:
     """``docs`` with ``text`` rewritten, n_entities and entity_kinds (in order of place) added; columns with those names are replaced."""
-    p = params or PiiParams()
     spark = docs.sparkSession
     K.small_batches(spark)
     found = collisions(docs.select(F.col("text").cast("string").alias("text")), p)
@@ -335,7 +393,7 @@ def _with_exceptions(rows: DataFrame, found: DataFrame) -> DataFrame:
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(h, k, normal(k, t[a:e])) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for a, e, k, _ in find(t or "")]
+            out = [(h, k, normal(k, t[a:e])) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for a, e, k in find(t or "")]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], ["h", "kind", "norm"])
 
