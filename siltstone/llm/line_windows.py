@@ -8,8 +8,8 @@ lines is removed from each text.
 
 Occurrences are 40-byte rows. The first occurrence is found by a partial aggregation, so a window that
 a third of all documents share arrives as one row a task; the join back is split by the adaptive
-planner. A document's covered spans are as many as its own lines at most. Texts that surely have none (told
-by a bitmap of fixed size) do not move; the others are joined to their spans.
+planner. A document's covered spans are as many as its own lines at most. Spans of a few megabytes in all are broadcast;
+beyond that, texts that surely have none (told by a bitmap of fixed size) do not move, the others are joined to theirs.
 
 Defined results: null text is empty and stays as it is; a text with fewer than ``window`` counting lines
 never changes; rows with equal doc_id and equal text are one document and change alike; a null doc_id is
@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +29,8 @@ from siltstone.llm import kernels as K
 from siltstone.llm.tables import key_bitmap, rows_by_bitmap, stored
 
 WINDOW = 3
+#: Spans up to this size are broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def lines_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,16 +80,18 @@ def covered_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 CUT = "text string, n_lines long, n_removed long, removed_lines array<int>"
 
 
-def _cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    out = []
-    for t, own in zip(text, spans, strict=True):
+def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+    out: tuple[list, list, list] = ([], [], [])
+    for t, own in zip(text.to_pylist(), spans.to_pylist(), strict=True):
         lines = (t or "").split("\n")
         gone = np.zeros(len(lines), bool)
-        for s in own if own is not None else ():
+        for s in own or ():
             gone[s["a"] : s["b"] + 1] = True
         at = np.flatnonzero(gone)
-        out.append(("\n".join(x for x, g in zip(lines, gone, strict=True) if not g) if len(at) else t, len(lines), len(at), at.astype(np.int32)))
-    return pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "removed_lines"])
+        for o, v in zip(out, ("\n".join(x for x, g in zip(lines, gone, strict=True) if not g) if len(at) else t, len(lines), at.tolist()), strict=True):
+            o.append(v)
+    n = [len(x) for x in out[2]]
+    return pa.StructArray.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(n, pa.int64()), pa.array(out[2], pa.list_(pa.int32()))], ["text", "n_lines", "n_removed", "removed_lines"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -102,11 +105,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     own = docs.select(*rest, F.col("doc_id").cast("long").alias("id"), fingerprint().alias("f"), F.col("text").cast("string").alias("old"))
     own = own.withColumn("key", F.xxhash64("id", "f"))
     spans = stored(covered_spans(docs, window), "spans").select(F.col("doc_id").alias("sid"), F.col("f").alias("sf"), "spans")
-    bitmap = key_bitmap(spans.select(F.xxhash64("sid", "sf").alias("key")), "key")
     same = F.col("id").eqNullSafe(F.col("sid")) & (F.col("f") == F.col("sf"))
-    cut = rows_by_bitmap(own, "key", bitmap, True).join(spans, same, "left").withColumn("cut", F.pandas_udf(_cut, CUT)("old", "spans"))
+    size = spans.agg(F.sum(F.size("spans") * 16 + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # few spans go to the texts
+        spans = F.broadcast(spans)
+        hit, rest = own.join(spans, same), own.join(spans, same, "left_anti")
+    else:
+        bitmap = key_bitmap(spans.select(F.xxhash64("sid", "sf").alias("key")), "key")
+        hit, rest = rows_by_bitmap(own, "key", bitmap, True).join(spans, same, "left"), rows_by_bitmap(own, "key", bitmap, False)
+    cut = hit.withColumn("cut", F.arrow_udf(_cut, CUT)("old", "spans"))
     whole = F.struct(F.col("old").alias("text"), F.size(F.split(F.coalesce("old", F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<int>").alias("removed_lines"))
-    rest = rows_by_bitmap(own, "key", bitmap, False).withColumn("cut", whole)
+    rest = rest.withColumn("cut", whole)
     kept = [(F.col("cut.text") if c == "text" else F.col(f"in_{k}")).alias(c) for k, c in enumerate(docs.columns) if c not in results]
     done = [*kept, *[F.col(f"cut.{c}").alias(c) for c in results]]
     return cut.select(*done).unionByName(rest.select(*done))

@@ -35,7 +35,6 @@ from dataclasses import dataclass
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -243,19 +242,26 @@ def _in_bins(rows: DataFrame, key: str, p: NearParams) -> DataFrame:
     return rows.withColumn("bin", F.pmod(F.xxhash64(key, "task"), F.lit(bins).cast("long")))
 
 
-def _each(pdf: pd.DataFrame, key: str, link) -> pd.DataFrame:
+def _each(t: pa.Table, key: str, link) -> pa.Table:
     """``link`` applied to the rows of each task."""
+    k, task = t.column(key).to_numpy(), t.column("task").to_numpy()
+    order = np.lexsort((task, k))
+    new = (np.diff(k[order]) != 0) | (np.diff(task[order]) != 0)
     out: list[tuple[int, int]] = []
-    for at in pdf.groupby([key, "task"], sort=False).indices.values():
+    for at in np.split(order, np.flatnonzero(new) + 1):
         if len(at) > 1:
             out += link(at)
-    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+    return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
 
 
+def _columns(t: pa.Table) -> tuple[np.ndarray, ...]:
+    return _matrix(t.column("sig").to_pylist()), *(t.column(c).to_numpy() for c in ("rep", "side", "comp"))
+
+
 def full_sets(d: DataFrame, wanted: DataFrame, p: NearParams) -> DataFrame:
     """(rep, shingles) of the wanted ids; texts that surely are not wanted are passed over by a bitmap."""
     bitmap = key_bitmap(wanted.select(F.xxhash64("rep").alias("key")), "key")
@@ -319,12 +325,11 @@ def near_classes(docs: DataFrame, params: NearParams | None = None) -> DataFrame
     placed = pairs.select("band", "rep").join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     rest = _in_bins(in_blocks(placed, "band", p), "band", p)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = _matrix(pdf["sig"])
-        rep, side, comp = (pdf[c].to_numpy() for c in ("rep", "side", "comp"))
-        return _each(pdf, "band", lambda at: _link(rep[at], sig[at], side[at], comp[at], steps))
+    def compare(t: pa.Table) -> pa.Table:
+        sig, rep, side, comp = _columns(t)
+        return _each(t, "band", lambda at: _link(rep[at], sig[at], side[at], comp[at], steps))
 
-    likely = rest.join(sigs, "rep").groupBy("bin").applyInPandas(compare, "u long, v long")
+    likely = rest.join(sigs, "rep").groupBy("bin").applyInArrow(compare, "u long, v long")
     # Clusters of components; of each component the classes that such a bucket holds.
     own = rest.select("rep", "comp").distinct()
     ends = likely.join(own.select(F.col("rep").alias("u"), F.col("comp").alias("a")), "u").join(own.select(F.col("rep").alias("v"), F.col("comp").alias("b")), "v")
@@ -332,13 +337,12 @@ def near_classes(docs: DataFrame, params: NearParams | None = None) -> DataFrame
     inside = stored(own.join(clusters, "comp").select("rep", "comp", "cluster"), "clusters")
     sets = full_sets(d, inside, p)
 
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = _matrix(pdf["sig"])
-        full = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        rep, side, comp = (pdf[c].to_numpy() for c in ("rep", "side", "comp"))
-        return _each(pdf, "cluster", lambda at: _link(rep[at], sig[at], side[at], comp[at], steps, lambda i, k: alike(full[at[i]], full[at[k]], p.percent)))
+    def confirm(t: pa.Table) -> pa.Table:
+        sig, rep, side, comp = _columns(t)
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+        return _each(t, "cluster", lambda at: _link(rep[at], sig[at], side[at], comp[at], steps, lambda i, k: alike(full[at[i]], full[at[k]], p.percent)))
 
-    links = _in_bins(in_blocks(inside, "cluster", p), "cluster", p).join(sigs, "rep").join(sets, "rep").groupBy("bin").applyInPandas(confirm, "u long, v long")
+    links = _in_bins(in_blocks(inside, "cluster", p), "cluster", p).join(sigs, "rep").join(sets, "rep").groupBy("bin").applyInArrow(confirm, "u long, v long")
     # A repeated id with differing texts belongs to several classes: its classes are linked through it.
     other = member.where("rep <> doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     twice = prints.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("u"))

@@ -33,7 +33,6 @@ from unicodedata import is_normalized
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -283,34 +282,32 @@ FIELDS = [x.split()[0] for x in STATE.split(", ")]
 def evolve(state: DataFrame, epoch: int, p: PackParams) -> DataFrame:
     """One epoch on each island: a row in, a row out. A population of one is filled up first."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                sizes = np.frombuffer(r.sizes, np.int32)
-                island = Island(sizes, p.length, hash((int(r.block), int(r.island), epoch)) & 0x7FFFFFFF, p)
-                pop = [_unpack(x) for x in r.population]
-                pop += [island.born(0.01 * (1 + r.island + k)) for k in range(len(pop), p.population)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                sizes = np.frombuffer(r["sizes"], np.int32)
+                island = Island(sizes, p.length, hash((r["block"], r["island"], epoch)) & 0x7FFFFFFF, p)
+                pop = [_unpack(x) for x in r["population"]]
+                pop += [island.born(0.01 * (1 + r["island"] + k)) for k in range(len(pop), p.population)]
                 pop = island.evolve(pop)
                 bins, fill = fitness(island.free(pop[0]), p.length)
                 blobs = [_pack(x, len(sizes)) for x in pop]
-                out.append((r.block, r.island, r.sizes, blobs, blobs[0], -bins, fill))
-            yield pd.DataFrame(out, columns=FIELDS)
+                yield pa.RecordBatch.from_pylist([r | {"population": blobs, "elite": blobs[0], "bins": -bins, "fill": fill}], b.schema)
 
-    return state.mapInPandas(run, STATE)
+    return state.select(*FIELDS).mapInArrow(run, STATE)
 
 
 def groupings(items: DataFrame, blocks: int, p: PackParams) -> DataFrame:
     """(block, elite, bins, first_bins): the packing of each block's items (block, num, length) in the order of num."""
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pdf.sort_values("num")["length"].to_numpy(np.int32)
+    def first(t: pa.Table) -> pa.Table:
+        sizes = t.sort_by("num").column("length").to_numpy().astype(np.int32)
         island = Island(sizes, p.length, 0, p)
         bins = island.born(0.0)
         n, fill = fitness(island.free(bins), p.length)
-        return pd.DataFrame([(pdf["block"].iloc[0], sizes.tobytes(), _pack(bins, len(sizes)), -n, fill, island.bound)], columns=["block", "sizes", "elite", "bins", "fill", "bound"])
+        return pa.table({"block": t.column("block").slice(0, 1), "sizes": pa.array([sizes.tobytes()], pa.binary()), "elite": pa.array([_pack(bins, len(sizes))], pa.binary()), "bins": [-n], "fill": [fill], "bound": [island.bound]})
 
-    begun = stored(items.groupBy("block").applyInPandas(first, "block long, sizes binary, elite binary, bins long, fill double, bound long"), "groupings")
+    begun = stored(items.groupBy("block").applyInArrow(first, "block long, sizes binary, elite binary, bins long, fill double, bound long"), "groupings")
     state = begun.where("bins > bound").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(p.islands - 1)))).withColumn("population", F.array("elite")).select(*FIELDS)
     for epoch in range(p.epochs):
         if epoch:
@@ -335,13 +332,18 @@ def pack(docs: DataFrame, params: PackParams | None = None) -> DataFrame:
     items = loose.withColumn("block", F.pmod(F.xxhash64("num"), F.lit(blocks).cast("long")))
     best = groupings(items.select("block", "num", "length"), blocks, p).select("block", "elite")
 
-    def place(pdf: pd.DataFrame, winner: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("num").reset_index(drop=True)
-        pdf["sequence_id"] = (pdf["block"].to_numpy() << 32) + np.frombuffer(winner["elite"].iloc[0], np.int32)
-        before = pdf.groupby("sequence_id", sort=False)["length"]
-        pdf["offset"] = before.cumsum() - pdf["length"]
-        return pdf.drop(columns=["block", "num"])
-
-    out = items.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(place, PIECES + ", sequence_id long, offset long")
+    def place(t: pa.Table, winner: pa.Table) -> pa.Table:
+        t = t.sort_by("num")
+        where = np.frombuffer(winner.column("elite")[0].as_buffer(), np.int32)
+        size = t.column("length").to_numpy()
+        order = np.argsort(where, kind="stable")
+        before = np.cumsum(size[order]) - size[order]
+        first = np.searchsorted(where[order], where[order])  # of the sequence's pieces
+        offset = np.empty(len(size), np.int64)
+        offset[order] = before - before[first] if len(size) else before
+        sequence = (t.column("block").to_numpy() << 32) + where
+        return t.drop_columns(["block", "num"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    out = items.groupBy("block").cogroup(best.groupBy("block")).applyInArrow(place, PIECES + ", sequence_id long, offset long")
     full = cut.where(F.col("length") >= p.length).withColumn("sequence_id", -1 - F.col("num")).withColumn("offset", F.lit(0).cast("long")).drop("num")
     return out.unionByName(full)
