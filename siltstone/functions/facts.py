@@ -15,7 +15,7 @@ import ast
 import warnings
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -252,12 +252,24 @@ def facts_of(text: str | None) -> dict | None:
         return None
 
 
-def _facts(texts: pd.Series) -> pd.DataFrame:
-    names = [x.split(":")[0] for x in ("events", "sql_safe", "driver_safe", "ssrf_safe", "session_lines", "session_safe", "lxml")]
-    none = dict.fromkeys(names)
-    return pd.DataFrame([facts_of(t) or none for t in texts], columns=names)
+_INT, _TEXT, _FLAG = pa.int32(), pa.string(), pa.bool_()
+_MEMBERS = {"kind": _TEXT, "line": _INT, "name": _TEXT, "bare": _FLAG, "dynamic": _FLAG, "keywords": pa.list_(_TEXT), "true_keywords": pa.list_(_TEXT), "inner": _TEXT, "at": _INT, "flags": pa.list_(_FLAG)}
+_LINES = ("sql_safe", "driver_safe", "ssrf_safe", "session_lines", "session_safe")
+
+
+def _facts(texts: pa.Array) -> pa.Array:
+    """Column by column: the members of all files' events are one array each."""
+    found = [facts_of(t) for t in texts.to_pylist()]
+    each = [e for f in found if f for e in f["events"]]
+    flat = pa.StructArray.from_arrays([pa.array([e[k] for e in each], t) for k, t in _MEMBERS.items()], list(_MEMBERS))
+    offsets, n = [], 0
+    for f in found:
+        offsets.append(n if f else None)
+        n += len(f["events"]) if f else 0
+    rest = [pa.array([f and f[k] for f in found], pa.list_(_INT)) for k in _LINES]
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array([*offsets, n], _INT), flat), *rest, pa.array([f and f["lxml"] for f in found], _TEXT)], ["events", *_LINES, "lxml"])
 
 
 def facts(text: Column, ext: Column) -> Column:
     """Facts of the Python files; members are null for all others."""
-    return F.pandas_udf(_facts, FACTS)(F.when(ext == "py", text))
+    return F.arrow_udf(_facts, FACTS)(F.when(ext == "py", text))

@@ -24,7 +24,7 @@ def trim(text: Column) -> Column:
 
 def live(line: Column) -> Column:
     """Not a comment from its first visible character on."""
-    return ~F.regexp_like(line, F.lit(r"(?U)\A\s*#"))
+    return ~(line.contains("#") & F.regexp_like(line, F.lit(r"(?U)\A\s*#")))
 
 
 def valid_text(content: Column) -> Column:

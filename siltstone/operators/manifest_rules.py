@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators.rules import Variant
+from siltstone.operators.rules import Variant, quote
 
 # Manifest and lock file names; dependencies, the version that mends them, and the advisory.
 MANIFESTS = ("pyproject.toml", "requirements.txt", "setup.py", "Pipfile")
@@ -35,11 +34,10 @@ PIN = Variant("check_unbounded_pins", "CWE-1104", "Supply Chain — Unbounded De
 PIN_LOCKED = Variant("check_unbounded_pins", "CWE-1104", "Supply Chain — Unbounded Dependency Pin", "INFO", "The lock file decides now; the next upgrade has no bound.")
 
 
-def version(text: Column) -> Column:
-    """(major, minor, patch), which compares in order; null where a part is missing or over 32 bits."""
-    parts = [F.try_element_at(F.split(text, r"\."), F.lit(k)).try_cast("bigint") for k in (1, 2, 3)]
-    fits = [p.isNotNull() & (p <= 4294967295) for p in parts]
-    return F.when(fits[0] & fits[1] & fits[2], F.struct(*[p.alias(n) for p, n in zip(parts, ("a", "b", "c"), strict=True)]))
+def version(text: str) -> str:
+    """Expression: (a, b, c) of a version's text, which compares in order; null where a part is missing or over 32 bits."""
+    parts = [f"try_cast(try_element_at(split({text}, {quote(chr(92) + '.')}), {k}) AS BIGINT)" for k in (1, 2, 3)]
+    return f"CASE WHEN {' AND '.join(f'{p} <= 4294967295' for p in parts)} THEN named_struct('a', {parts[0]}, 'b', {parts[1]}, 'c', {parts[2]}) END"
 
 
 def names(dependency: str) -> str:
@@ -47,21 +45,17 @@ def names(dependency: str) -> str:
     return rf"(?:\A|[\"'=,\s]){re.escape(dependency)}(?:[\"':,<>=!\s]|\z)"
 
 
-def _too_low(dep: str, limit: Column) -> Callable[[Column], Column]:
-    pattern = names(dep)
-    return lambda x: F.coalesce(T.hit(F.lower(x["line"]), pattern) & (version(F.regexp_extract(x["line"], "(?Ud)" + VERSION, 1)) < limit), F.lit(False))
-
-
-def vulnerable_lines(lines: Column) -> Column:
-    """array<struct<dep, ord, line>>: for each dependency, its first line with too low a version. No join: the table is in the plan."""
+def vulnerable_lines() -> Column:
+    """array<struct<ord, line, detail>>: for each dependency, its first line (of the column ``rows``) with too low a
+    version. No join: the table is in the plan."""
+    found = f"regexp_extract(x.line, {quote('(?Ud)' + VERSION)}, 1)"
+    lines = f"filter(transform(rows, x -> named_struct('no', x.no, 'lower', x.lower, 'v', {version(found)})), x -> x.v IS NOT NULL)"
     out = []
     for k, (dep, fixed, cve) in enumerate(VULNERABLE):
-        limit = F.struct(*[F.lit(int(x)).cast("bigint").alias(n) for x, n in zip(fixed.split("."), ("a", "b", "c"), strict=True)])
-
-        numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("no"), x.alias("line")))
-        first = F.try_element_at(F.filter(numbered, _too_low(dep, limit)), F.lit(1))
-        out.append(F.when(first.isNotNull(), F.struct(F.lit(k).alias("ord"), first["no"].alias("line"), F.lit(f"{dep} <{fixed}: {cve}").alias("detail"))))
-    return F.array_compact(F.array(*out))
+        a, b, c = fixed.split(".")
+        low = f"contains(x.lower, {quote(dep)}) AND regexp_like(x.lower, {quote('(?Ud)' + names(dep))}) AND x.v < named_struct('a', {a}L, 'b', {b}L, 'c', {c}L)"
+        out.append(f"transform(slice(filter(lines, x -> {low}), 1, 1), x -> named_struct('ord', {k}, 'line', x.no, 'detail', {quote(f'{dep} <{fixed}: {cve}')}))")
+    return F.expr(f"flatten(transform(array({lines}), lines -> concat({', '.join(out)})))")
 
 
 def unbounded(line: Column) -> Column:
@@ -69,3 +63,9 @@ def unbounded(line: Column) -> Column:
     t = T.trim(line)
     dep = F.regexp_extract(t, "(?Ud)" + LOWER_BOUND, 1)
     return T.live(line) & (dep != "") & ~dep.isin("python", "requires-python") & ~t.contains("<")
+
+
+def bound(line: Column) -> Column:
+    """The dependency and its lower bound."""
+    t = T.trim(line)
+    return F.concat(F.regexp_extract(t, "(?Ud)" + LOWER_BOUND, 1), F.lit(">="), F.regexp_extract(t, "(?Ud)" + LOWER_BOUND, 2))

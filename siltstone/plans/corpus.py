@@ -103,10 +103,16 @@ TEMPLATES: tuple[Template, ...] = (
 COUNT = len(TEMPLATES)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in few parts is dealt to all cores; one in many parts stays as it is."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= most else df.repartition(most)
+
+
 def files(documents: DataFrame) -> DataFrame:
     """``schema.FILES`` of the synthetic tree, one file for each row with an id."""
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.col("doc_id"), F.lit(COUNT)) + 1).cast("int"))
-    d = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+    d = spread(documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")))
     number = F.col("doc_id").cast("string")
     package = F.concat(F.lit("pkg"), F.pmod("doc_id", F.lit(5)).cast("string"))
     tests = F.when(F.pmod("doc_id", F.lit(7)) == 0, "tests/").otherwise("")
@@ -115,7 +121,16 @@ def files(documents: DataFrame) -> DataFrame:
     file = F.concat(package, F.lit("/"), tests, F.when(own == "", "").otherwise(F.concat(F.lit("d"), number, F.lit("/"))), name)
     path = F.concat(F.lit("/repo/"), file)
     text = F.concat(pick([t.text for t in TEMPLATES]), F.lit("\n# document "), number, F.lit("\n"))
-    return d.select(path.alias("path"), F.split(path, "/").alias("path_key"), file.alias("file"), package.alias("package"), name.alias("name"), F.substring_index(name, ".", -1).alias("ext"), text.alias("text"), F.lit(False).alias("locked"))
+    return d.select(path.alias("path"), F.split(path, "/").alias("path_key"), file.alias("file"), package.alias("package"), name.alias("name"), F.substring_index(name, ".", -1).alias("ext"), text.alias("text"), (F.pmod("doc_id", F.lit(3)) == 0).alias("locked"))
+
+
+def texts(table: DataFrame, *key: str) -> DataFrame:
+    """``schema.FILES`` of the whole texts of a table, as plain text files named by its key (whole numbers), each followed
+    by a template chosen by its first number."""
+    chosen = F.element_at(F.array(*[F.lit(t.text) for t in TEMPLATES]), (F.pmod(F.col(key[0]), F.lit(COUNT)) + 1).cast("int"))
+    name = F.concat_ws("-", *[F.col(k).cast("string") for k in key])
+    file = F.concat(name, F.lit(".txt"))
+    return table.select(file.alias("path"), F.array(file).alias("path_key"), file.alias("file"), F.lit("texts").alias("package"), file.alias("name"), F.lit("txt").alias("ext"), F.concat_ws("\n", F.col("text").cast("string"), chosen).alias("text"), F.lit(False).alias("locked"))
 
 
 def _q(s: str) -> str:
@@ -129,5 +144,7 @@ tree AS (SELECT doc_id, tmpl, concat('pkg', doc_id % 5) AS package,
          CASE WHEN name = '' THEN concat('mod_', doc_id, '.py') ELSE concat('d', doc_id, '/', name) END) AS file
   FROM documents JOIN names ON tmpl = doc_id % {COUNT})"""
 SQL_LINES = f"""tpl(tmpl, line_no, line) AS (VALUES {', '.join(f'({k}, {n}, {_q(x)})' for k, t in enumerate(TEMPLATES) for n, x in enumerate(t.text.split(chr(10)), 1))})"""
+SQL_TEMPLATES = f"""templates(tmpl, body) AS (VALUES {', '.join(f'({k}, {_q(t.text)})' for k, t in enumerate(TEMPLATES))})"""
 SQL_TRUTH = f"""truth(tmpl, check_id, line, severity, cwe_id, confidence, code, source) AS (VALUES {', '.join(f'({k}, {_q(e.check)}, {e.line}, {_q(e.severity)}, {_q(e.cwe)}, {_q(e.confidence)}, {_q(e.code)}, {_q(t.text.split(chr(10))[e.line - 1])})' for k, t in enumerate(TEMPLATES) for e in t.expected)}),
-found AS (SELECT file, package, CAST(line AS INTEGER) AS line, check_id, severity, cwe_id, confidence, code, source FROM tree JOIN truth USING (tmpl))"""
+found AS (SELECT file, package, CAST(line AS INTEGER) AS line, check_id,
+  CASE WHEN check_id = 'check_unbounded_pins' AND doc_id % 3 = 0 THEN 'INFO' ELSE severity END AS severity, cwe_id, confidence, code, source FROM tree JOIN truth USING (tmpl))"""

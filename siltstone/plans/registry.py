@@ -8,15 +8,64 @@ from siltstone.operators.rules import Variant
 from siltstone.operators.text_rules import CHAIN, PTH_FILE, TEXT_CHECKS
 
 # The order in which a file's findings are listed.
-ORDER = tuple(
-    "check_" + x
-    for x in """pickle eval_exec command_injection sql_injection path_traversal hardcoded_secrets yaml_deserialize xxe ssrf tempfile
-    symlink redos assert_security exec_driver_sql supply_chain debug_mode insufficient_logging timing_attack sensitive_exposure
-    null_byte resource_limits insecure_random ssti crlf ldap weak_hash open_redirect log_injection format_string arbitrary_write
-    insecure_default log_secrets tls_verify zipslip hardcoded_tokens weak_crypto dependency_cve trojan_source request_timeout
-    torch_load ssh_host_key except_pass pandas_eval numpy_load pandas_pickle numpy_load_lib pandas_xml_xxe pth_startup_hooks
-    parquet_arrow_deserialize unbounded_pins model_file_load decode_exec_chains bind_all_interfaces weak_tls_version
-    legacy_pycrypto huggingface_unsafe_download unbounded_pydantic_field""".split()
+ORDER = (
+    "check_pickle",
+    "check_eval_exec",
+    "check_command_injection",
+    "check_sql_injection",
+    "check_path_traversal",
+    "check_hardcoded_secrets",
+    "check_yaml_deserialize",
+    "check_xxe",
+    "check_ssrf",
+    "check_tempfile",
+    "check_symlink",
+    "check_redos",
+    "check_assert_security",
+    "check_exec_driver_sql",
+    "check_supply_chain",
+    "check_debug_mode",
+    "check_insufficient_logging",
+    "check_timing_attack",
+    "check_sensitive_exposure",
+    "check_null_byte",
+    "check_resource_limits",
+    "check_insecure_random",
+    "check_ssti",
+    "check_crlf",
+    "check_ldap",
+    "check_weak_hash",
+    "check_open_redirect",
+    "check_log_injection",
+    "check_format_string",
+    "check_arbitrary_write",
+    "check_insecure_default",
+    "check_log_secrets",
+    "check_tls_verify",
+    "check_zipslip",
+    "check_hardcoded_tokens",
+    "check_weak_crypto",
+    "check_dependency_cve",
+    "check_trojan_source",
+    "check_request_timeout",
+    "check_torch_load",
+    "check_ssh_host_key",
+    "check_except_pass",
+    "check_pandas_eval",
+    "check_numpy_load",
+    "check_pandas_pickle",
+    "check_numpy_load_lib",
+    "check_pandas_xml_xxe",
+    "check_pth_startup_hooks",
+    "check_parquet_arrow_deserialize",
+    "check_unbounded_pins",
+    "check_model_file_load",
+    "check_decode_exec_chains",
+    "check_bind_all_interfaces",
+    "check_weak_tls_version",
+    "check_legacy_pycrypto",
+    "check_huggingface_unsafe_download",
+    "check_unbounded_pydantic_field",
 )
 
 VARIANTS: tuple[Variant, ...] = (

@@ -1,9 +1,8 @@
 """Files to findings, as one plan.
 
-Rows stay files (with their lines as an array) until a branch needs lines or events; there is one branch each
-for line rules, events, decode chains, ``.pth`` files and manifests, and only those that the asked-for checks
-need are planned. No branch shuffles. Syntax facts are a column: branches without a rule that asks for them
-never parse.
+A row is a file all the way: its lines, its syntax facts and the hits of every asked-for check are arrays of that
+row, and one explode at the end makes findings of the hits. So the source is read once, a file is parsed once
+(and not at all where no check asks for its syntax), lines are never copied into rows of their own, and nothing shuffles.
 """
 
 from __future__ import annotations
@@ -20,112 +19,119 @@ from siltstone.functions.facts import facts
 from siltstone.operators import manifest_rules as M
 from siltstone.operators import rules as R
 from siltstone.operators.ast_rules import AST_CHECKS
+from siltstone.operators.relevance import RELEVANCE
 from siltstone.operators.text_rules import CHAIN, CHAIN_LINES, DECODE, EXECUTE, PTH_FILE, TEXT_CHECKS, WEAK_TLS
 from siltstone.plans.registry import ORDER, VARIANTS, number
 
 _FACT_CHECKS = frozenset(("check_sql_injection", "check_xxe", "check_ssrf", "check_exec_driver_sql"))
-_FILE = ("path_key", "file", "package", "name")
+_INSIDE = {"sql_safe": "sql_safe", "driver_safe": "driver_safe", "ssrf_safe": "ssrf_safe", "session_line": "session_lines", "session_safe": "session_safe"}
+_FILE = ("path_key", "file", "package")
+HIT = "array<struct<part:int,at:int,emit:int,line:int,variant:int,code:string,extra:string,source:string>>"
 
 
-def _firing(checks: set[str], c: dict[str, Column]) -> Column:
-    """array<struct<variant, emit>> of a line."""
+def _firing(checks: set[str]) -> Column:
+    """array<struct<row, hits: array<struct<variant, emit>>>>: what fires on each line."""
+    c = {k: f"x.{k}" for k in ("line", "trim", "lower", "live")} | {"is_pth": "(ext = 'pth')"}
+    c |= {k: f"coalesce(array_contains(facts.{n}, x.no), false)" for k, n in _INSIDE.items()}
+    name = f"concat({R.quote(r'(?Ud)\b')}, replace(facts.lxml, '.', {R.quote(r'\.')}), {R.quote(r'\.')})"
+    c["lxml_line"] = f"coalesce(contains(x.line, facts.lxml) AND regexp_like(x.line, {name}), false)"
     out = []
     for check in TEXT_CHECKS:
-        if check.check not in checks:
-            continue
-        for emit, group in enumerate(check.groups):
-            first = F.coalesce(*[F.when(v.when.column(c), F.lit(number(v))) for v in group])
-            if check.live:
-                first = F.when(c["live"], first)
-            out.append(F.when(first.isNotNull(), F.struct(first.alias("variant"), F.lit(emit).alias("emit"))))
-    return F.array_compact(F.array(*out))
-
-
-def _branch(df: DataFrame, part: int, at: Column, line: Column, emit: Column, variant: Column, code: Column, extra: Column | None = None) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return df.select(*_FILE, F.lit(part).alias("part"), at.cast("int").alias("at"), emit.cast("int").alias("emit"), line.cast("int").alias("line"), variant.cast("int").alias("variant"), code.alias("code"), (none if extra is None else extra).alias("extra"), F.element_at("lines", line.cast("int")).alias("source"))
-
-
-def _line_rules(files: DataFrame, checks: set[str]) -> DataFrame:
-    keep = files
-    named: dict[str, Column] = {}
-    if checks & _FACT_CHECKS:
-        keep = keep.withColumn("facts", facts(F.col("text"), F.col("ext")))
-        inside = lambda k: F.coalesce(F.array_contains(F.col(f"facts.{k}"), F.col("line_no")), F.lit(False))
-        alias = F.concat(F.lit(r"(?Ud)\b"), F.replace(F.col("facts.lxml"), F.lit("."), F.lit(r"\.")), F.lit(r"\."))
-        named = {"sql_safe": inside("sql_safe"), "driver_safe": inside("driver_safe"), "ssrf_safe": inside("ssrf_safe"), "session_line": inside("session_lines"), "session_safe": inside("session_safe"), "lxml_line": F.when(F.col("facts.lxml").isNotNull(), F.regexp_like("line", alias)).otherwise(False)}
-    lines = keep.select("*", F.posexplode("lines").alias("pos", "line")).withColumn("line_no", F.col("pos") + 1)
-    c = R.columns(F.col("line")) | named | {"live": T.live(F.col("line")), "is_pth": F.col("ext") == "pth"}
-    hits = lines.withColumn("hit", F.explode(_firing(checks, c)))
+        for emit, group in enumerate(check.groups if check.check in checks else ()):
+            first = "CASE " + " ".join(f"WHEN {v.when.expr(c)} THEN {number(v)}" for v in group) + " END"
+            out.append(f"named_struct('variant', {f'CASE WHEN x.live THEN {first} END' if check.live else first}, 'emit', {emit})")
+    return F.expr(f"transform(rows, x -> named_struct('row', x, 'hits', filter(array({', '.join(out)}), h -> h.variant IS NOT NULL)))")
+
+
+def _hit(part: Column, at: Column, emit: Column, line: Column, variant: Column, code: Column, source: Column, extra: Column | None = None) -> Column:
+    whole = {"part": part, "at": at, "emit": emit, "line": line, "variant": variant}
+    return F.struct(*[v.cast("int").alias(k) for k, v in whole.items()], code.alias("code"), (F.lit(None) if extra is None else extra).cast("string").alias("extra"), source.alias("source"))
+
+
+def _numbered(lines: Column) -> Column:
+    """Lines with what the rules look at, worked out once."""
+    return F.transform(lines, lambda x, i: F.struct((i + 1).alias("no"), x.alias("line"), T.trim(x).alias("trim"), F.lower(x).alias("lower"), T.live(x).alias("live")))
+
+
+def _source(line: Column) -> Column:
+    return F.try_element_at("lines", line.cast("int"))
+
+
+def _line_rules(checks: set[str]) -> Column:
     trojan = [number(v) for k in TEXT_CHECKS if k.check == "check_trojan_source" for g in k.groups for v in g]
     weak = [number(v) for k in TEXT_CHECKS if k.check == "check_weak_tls_version" for g in k.groups for v in g]
-    variant = F.col("hit.variant")
-    code = F.when(variant.isin(trojan), T.quoted(F.col("line"))).otherwise(T.trim(F.col("line")))
-    extra = F.when(variant.isin(weak), F.regexp_extract("line", "(?Ud)" + WEAK_TLS, 0))
-    return _branch(hits, 1, F.col("line_no"), F.col("line_no"), F.col("hit.emit"), variant, code, extra)
 
+    def of(f: Column) -> Column:
+        x = f["row"]
 
-def _event_rules(files: DataFrame, checks: set[str]) -> DataFrame:
+        def one(h: Column) -> Column:
+            code = F.when(h["variant"].isin(trojan), T.quoted(x["line"])).otherwise(x["trim"])
+            extra = F.when(h["variant"].isin(weak), F.regexp_extract(x["line"], "(?Ud)" + WEAK_TLS, 0))
+            return _hit(F.lit(1), x["no"], h["emit"], x["no"], h["variant"], code, x["line"], extra)
+
+        return F.transform(f["hits"], one)
+
+    return F.flatten(F.transform(F.filter(_firing(checks), lambda f: F.size(f["hits"]) > 0), of))
+
+
+def _event_rules(checks: set[str]) -> Column:
     wanted = [(c, vs) for c, vs in AST_CHECKS if c in checks]
-    found = files.withColumn("facts", facts(F.col("text"), F.col("ext"))).where("facts.events is not null")
-    each = found.select("*", F.posexplode("facts.events").alias("pos", "event"))
-    e = F.col("event")
-    fired = [F.coalesce(*[F.when(test(e), F.lit(number(v))) for v, test in vs]) for _, vs in wanted]
-    hits = each.withColumn("variant", F.explode(F.array_compact(F.array(*fired))))
     risky = [number(v) for c, vs in AST_CHECKS if c == "check_insecure_default" for v, _ in vs]
-    line = F.when(F.col("variant").isin(risky), F.coalesce(e["at"], e["line"])).otherwise(e["line"])
-    at = F.when(F.col("variant").isin(risky), line).otherwise(F.col("pos"))
     chains = [number(v) for c, vs in AST_CHECKS if c == "check_decode_exec_chains" for v, _ in vs]
-    field = F.when(e["kind"] == "field", F.concat(e["name"], F.lit(": "), e["inner"]))
-    code = F.coalesce(T.trim(F.try_element_at("lines", line.cast("int"))), F.lit(""))
-    out = _branch(hits, 0, at, line, F.col("pos"), F.col("variant"), code, field)
-    return out.withColumn("part", F.when(F.col("variant").isin(chains), 2).otherwise(0))
+
+    def of(e: Column, pos: Column) -> Column:
+        fired = [F.coalesce(*[F.when(test(e), F.lit(number(v))) for v, test in vs]) for _, vs in wanted]
+
+        def one(v: Column) -> Column:
+            line = F.when(v.isin(risky), F.coalesce(e["at"], e["line"])).otherwise(e["line"])
+            field = F.when(e["kind"] == "field", F.concat(e["name"], F.lit(": "), e["inner"]))
+            return _hit(F.when(v.isin(chains), 2).otherwise(0), F.when(v.isin(risky), line).otherwise(pos), pos, line, v, F.coalesce(T.trim(_source(line)), F.lit("")), _source(line), field)
+
+        return F.transform(F.array_compact(F.array(*fired)), one)
+
+    return F.flatten(F.transform("facts.events", of))
 
 
-def _chains(files: DataFrame) -> DataFrame:
-    """Runs over a file's lines with the decode lines that still wait; an exec takes the nearest within reach."""
-    start = F.struct(F.lit(0).alias("no"), F.array().cast("array<int>").alias("open"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+def _chains() -> Column:
+    """Runs over a file's lines with the decode lines in reach that still wait; an exec takes the nearest."""
+    decode, execute = (lambda x, p=p, n=R.needles(p): reduce(lambda a, b: a | b, [x["trim"].contains(k) for k in n]) & T.hit(x["trim"], p) for p in (DECODE, EXECUTE))
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        no = acc["no"] + 1
-        seen, t = T.live(x), T.trim(x)
-        waiting = F.when(seen & T.hit(t, DECODE), F.concat(acc["open"], F.array(no))).otherwise(acc["open"])
-        near = F.when(seen & T.hit(t, EXECUTE), F.array_max(F.filter(waiting, lambda d: no - d <= CHAIN_LINES)))
+        no = x["no"]
+        reach = F.filter(acc["open"], lambda d: no - d <= CHAIN_LINES)
+        waiting = F.when(x["live"] & decode(x), F.concat(reach, F.array(no))).otherwise(reach)
+        near = F.when(x["live"] & execute(x), F.array_max(waiting))
         left = F.when(near.isNull(), waiting).otherwise(F.array_remove(waiting, near))
         out = F.when(near.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(near.alias("a"), no.alias("b")))))
-        return F.struct(no.alias("no"), left.alias("open"), out.alias("out"))
+        return F.struct(left.alias("open"), out.alias("out"))
 
-    pairs = F.aggregate("lines", start, step, lambda acc: acc["out"])
-    hits = files.withColumn("chain", F.explode(pairs))
-    a, b = F.col("chain.a"), F.col("chain.b")
-    code = F.concat(F.lit("decode at line "), a.cast("string"), F.lit(", exec at line "), b.cast("string"))
-    return _branch(hits, 1, b, b, F.lit(0), F.lit(number(CHAIN)), code)
+    pairs = F.aggregate("rows", start, step, lambda acc: acc["out"])
+    text = lambda c: F.concat(F.lit("decode at line "), c["a"].cast("string"), F.lit(", exec at line "), c["b"].cast("string"))
+    hits = F.transform(pairs, lambda c: _hit(F.lit(1), c["b"], F.lit(0), c["b"], F.lit(number(CHAIN)), text(c), _source(c["b"])))
+    return F.when(F.exists("rows", lambda x: decode(x)), hits)
 
 
-def _pth(files: DataFrame) -> DataFrame:
-    numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("no"), T.trim(x).alias("line")))
-    first = F.try_element_at(F.filter(numbered, lambda x: (x["line"] != "") & ~x["line"].startswith("#")), F.lit(1))
-    hits = files.where("ext = 'pth'").withColumn("first", first).where("first is not null")
-    return _branch(hits, 1, F.col("first.no"), F.col("first.no"), F.lit(0), F.lit(number(PTH_FILE)), F.col("first.line"))
+def _pth() -> Column:
+    code = F.slice(F.filter("rows", lambda x: (x["trim"] != "") & ~x["trim"].startswith("#")), 1, 1)
+    return F.when(F.col("ext") == "pth", F.transform(code, lambda x: _hit(F.lit(1), x["no"], F.lit(0), x["no"], F.lit(number(PTH_FILE)), x["trim"], x["line"])))
 
 
-def _cve(files: DataFrame) -> DataFrame:
-    hits = files.where(F.col("name").isin(*M.MANIFESTS)).withColumn("found", F.explode(M.vulnerable_lines(F.col("lines"))))
-    line = F.col("found.line")
-    return _branch(hits, 1, F.col("found.ord"), line, F.lit(0), F.lit(number(M.CVE)), T.trim(F.element_at("lines", line)), F.col("found.detail"))
+def _cve() -> Column:
+    found = F.transform(M.vulnerable_lines(), lambda x: _hit(F.lit(1), x["ord"], F.lit(0), x["line"], F.lit(number(M.CVE)), T.trim(_source(x["line"])), _source(x["line"]), x["detail"]))
+    return F.when(F.col("name").isin(*M.MANIFESTS), found)
 
 
-def _pins(files: DataFrame) -> DataFrame:
-    lines = files.where(F.col("name").isin(*M.PIN_MANIFESTS)).select("*", F.posexplode("lines").alias("pos", "line"))
-    hits = lines.where(M.unbounded(F.col("line")))
+def _pins() -> Column:
     variant = F.when(F.coalesce("locked", F.lit(False)), number(M.PIN_LOCKED)).otherwise(number(M.PIN))
-    return _branch(hits, 1, F.col("pos") + 1, F.col("pos") + 1, F.lit(0), variant, T.trim(F.col("line")))
+    loose = F.filter("rows", lambda x: M.unbounded(x["line"]))
+    return F.when(F.col("name").isin(*M.PIN_MANIFESTS), F.transform(loose, lambda x: _hit(F.lit(1), x["no"], F.lit(0), x["no"], variant, x["trim"], x["line"], M.bound(x["line"]))))
 
 
 def _variants(df: DataFrame) -> DataFrame:
     """The fixed table of variants, one row each: small by its definition, so it is broadcast."""
     rank = {c: k for k, c in enumerate(ORDER)}
-    rows = [(k, v.check, rank[v.check], v.cwe, v.cwe_name, v.severity, v.confidence, v.detail, v.relevance) for k, v in enumerate(VARIANTS)]
+    rows = [(k, v.check, rank[v.check], v.cwe, v.cwe_name, v.severity, v.confidence, v.detail, RELEVANCE.get(v.check, "")) for k, v in enumerate(VARIANTS)]
     return df.sparkSession.createDataFrame(rows, "variant int, check_id string, check_ord int, cwe_id string, cwe_name string, severity string, confidence string, detail string, zero_day_relevance string")
 
 
@@ -134,21 +140,20 @@ def scan(files: DataFrame, checks: list[str] | None = None) -> DataFrame:
     wanted = set(ORDER if checks is None else checks)
     if unknown := wanted - set(ORDER):
         raise ValueError(f"unknown checks: {', '.join(sorted(unknown))}")
-    f = files.withColumn("lines", T.split_lines(F.col("text")))
     parts = []
     if wanted & {c.check for c in TEXT_CHECKS}:
-        parts.append(_line_rules(f, wanted))
+        parts.append(_line_rules(wanted))
     if wanted & {c for c, _ in AST_CHECKS}:
-        parts.append(_event_rules(f, wanted))
-    if "check_decode_exec_chains" in wanted:
-        parts.append(_chains(f))
-    if "check_pth_startup_hooks" in wanted:
-        parts.append(_pth(f))
-    if "check_dependency_cve" in wanted:
-        parts.append(_cve(f))
-    if "check_unbounded_pins" in wanted:
-        parts.append(_pins(f))
-    found = reduce(DataFrame.unionByName, parts).join(F.broadcast(_variants(files)), "variant")
+        parts.append(_event_rules(wanted))
+    for check, hits in (("check_decode_exec_chains", _chains), ("check_pth_startup_hooks", _pth), ("check_dependency_cve", _cve), ("check_unbounded_pins", _pins)):
+        if check in wanted:
+            parts.append(hits())
+    f = files.withColumn("lines", T.split_lines(F.col("text"))).withColumn("rows", _numbered(F.col("lines")))
+    if wanted & (_FACT_CHECKS | {c for c, _ in AST_CHECKS}):
+        f = f.withColumn("facts", facts(F.col("text"), F.col("ext")))
+    none = F.array().cast(HIT)
+    found = f.select(*_FILE, F.explode(F.concat(*[F.coalesce(x, none) for x in parts])).alias("hit")).select(*_FILE, "hit.*")
+    found = found.join(F.broadcast(_variants(files)), "variant")
     description = F.when(F.col("extra").isNull(), F.col("detail")).otherwise(F.concat_ws(" — ", "extra", "detail"))
     return found.select("cwe_id", "cwe_name", "severity", "confidence", "package", "file", "line", "code", description.alias("description"), "zero_day_relevance", "check_id", "path_key", "check_ord", "part", "at", "emit", "source", rank("severity", schema.SEVERITIES).alias("sev_rank"), rank("confidence", schema.CONFIDENCES).alias("conf_rank"))
 

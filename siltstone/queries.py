@@ -83,8 +83,23 @@ def findings_rollup(spark: SparkSession, d: str) -> DataFrame:
     return post.rollup(pipeline.kept(tree(spark, d)))
 
 
+def document_hits(spark: SparkSession, d: str) -> DataFrame:
+    """What the plain line checks say of every line of every document."""
+    return scan(corpus.texts(spark.read.parquet(f"{d.rstrip('/')}/documents.parquet"), "doc_id"), list(plain_checks())).select("check_id", *COLUMNS)
+
+
+def conversation_hits(spark: SparkSession, d: str) -> DataFrame:
+    """What they say of every line of every turn."""
+    return scan(corpus.texts(spark.read.parquet(f"{d.rstrip('/')}/conversations.parquet"), "conv_id", "turn"), list(plain_checks())).select("check_id", *COLUMNS)
+
+
+def plain_checks() -> dict[str, TextCheck]:
+    """The checks that look at lines alone."""
+    return {c.check: c for c in TEXT_CHECKS if not any(_named(v.when) for g in c.groups for v in g) and c.check != "check_parquet_arrow_deserialize"}
+
+
 def queries() -> dict[str, Query]:
-    steps = (scan_all, suppress_nosec, filter_confidence, suppress_test_paths, baseline_anti_join, baseline_fingerprints, summary_by_severity, summary_by_confidence, file_dedupe, gate_exit_code, report_order, findings_rollup)
+    steps = (document_hits, conversation_hits, scan_all, suppress_nosec, filter_confidence, suppress_test_paths, baseline_anti_join, baseline_fingerprints, summary_by_severity, summary_by_confidence, file_dedupe, gate_exit_code, report_order, findings_rollup)
     return {c: _check(c) for c in ORDER} | {f.__name__: f for f in steps}
 
 
@@ -102,15 +117,27 @@ def _code() -> str:
     return f"concat(chr(34), {out}, chr(34))"
 
 
-def _pattern_sql(check: TextCheck) -> str:
-    """The check's patterns run by the other engine over the tree's lines."""
+def _patterns(check: TextCheck) -> str:
+    """The check's patterns run by the other engine over the lines of ``l``."""
     code = _code() if check.check == "check_trojan_source" else SQL_TRIM
     parts = []
     for group in check.groups:
         pick = lambda f: "CASE " + " ".join(f"WHEN {v.when.sql()} THEN '{f(v)}'" for v in group) + " END"  # noqa: B023, E731
         alive = SQL_LIVE if check.live else "TRUE"
-        parts.append(f"SELECT file, CAST(line_no AS INTEGER) AS line, {pick(lambda v: v.cwe)} AS cwe_id, {pick(lambda v: v.severity)} AS severity, {pick(lambda v: v.confidence)} AS confidence, {code} AS code FROM l WHERE {alive}")
-    return f"WITH {corpus.SQL_TREE}, {corpus.SQL_LINES}, l AS (SELECT file, line_no, line FROM tree JOIN tpl USING (tmpl)) SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE cwe_id IS NOT NULL"
+        parts.append(f"SELECT '{check.check}' AS check_id, file, CAST(line_no AS INTEGER) AS line, {pick(lambda v: v.cwe)} AS cwe_id, {pick(lambda v: v.severity)} AS severity, {pick(lambda v: v.confidence)} AS confidence, {code} AS code FROM l WHERE {alive}")
+    return " UNION ALL ".join(parts)
+
+
+def _pattern_sql(check: TextCheck) -> str:
+    return f"WITH {corpus.SQL_TREE}, {corpus.SQL_LINES}, l AS (SELECT file, line_no, line FROM tree JOIN tpl USING (tmpl)) SELECT * EXCLUDE (check_id) FROM ({_patterns(check)}) WHERE cwe_id IS NOT NULL"
+
+
+def _text_sql(table: str, name: str) -> str:
+    """All plain checks over all lines of a table's texts; a final empty part is no line, and \\r goes with its \\n."""
+    return f"""WITH {corpus.SQL_TEMPLATES}, s AS (SELECT concat({name}, '.txt') AS file, string_split(concat_ws(chr(10), text, body), chr(10)) AS parts FROM {table} JOIN templates ON tmpl = {name.split(',')[0]} % {corpus.COUNT}),
+p AS (SELECT file, len(parts) AS n, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS line_no FROM s),
+l AS (SELECT file, line_no, CASE WHEN line_no < n AND suffix(line, chr(13)) THEN left(line, length(line) - 1) ELSE line END AS line FROM p WHERE line_no < n OR line <> '')
+SELECT * FROM ({' UNION ALL '.join(_patterns(c) for c in plain_checks().values())}) WHERE cwe_id IS NOT NULL"""
 
 
 _TRUTH = f"WITH {corpus.SQL_TREE}, {corpus.SQL_TRUTH}"
@@ -122,14 +149,16 @@ _BASE = "SELECT DISTINCT cwe_id, file, code FROM found WHERE package IN ('pkg0',
 
 
 def oracle_sql() -> dict[str, str]:
-    plain = {c.check: c for c in TEXT_CHECKS if not any(_named(v.when) for g in c.groups for v in g)}
+    plain = plain_checks()
     out = {}
     for name in ORDER:
-        if name in plain and name != "check_parquet_arrow_deserialize":
+        if name in plain:
             out[name] = _pattern_sql(plain[name])
         else:
             out[name] = f"{_TRUTH} SELECT {_ALL} FROM found WHERE check_id = '{name}'"
     return out | {
+        "document_hits": _text_sql("documents", "doc_id"),
+        "conversation_hits": _text_sql("conversations", "conv_id, '-', turn"),
         "scan_all": f"{_TRUTH} SELECT package, check_id, {_ALL} FROM found",
         "suppress_nosec": f"{_TRUTH} SELECT check_id, {_ALL} FROM found WHERE NOT ({_NOSEC})",
         "filter_confidence": f"{_TRUTH} SELECT check_id, {_ALL} FROM found WHERE confidence IN ('HIGH', 'MEDIUM')",
