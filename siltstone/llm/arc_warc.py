@@ -19,7 +19,9 @@ what its input split holds; archives are read as a stream of records from the co
 
 Defined results: null html is an empty payload; a null address is written as ``urn:x-none``, white space in
 an address as %20; a null page_id has no source id and comes back null; repeated rows are records of their
-own; an empty table gives archives without records and an empty result. A truncated record raises.
+own; an empty table gives archives without records and an empty result; other columns are left behind. A broken archive (no
+version block, a bad record line, a record cut short, a line that is no UTF-8) raises; with ``set_aside`` it gives its records
+up to there and one row of type ``broken`` with the reason in ``url``, which ``convert`` passes over.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from __future__ import annotations
 import zlib
 from base64 import b32encode
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from hashlib import sha1
 
 import pyarrow as pa
@@ -51,6 +53,7 @@ class ArchiveParams:
     least: int = 0
     level: str = "DEFAULT_COMPRESSION"
     rows: int = 256
+    set_aside: bool = False
 
 
 def digest(data: bytes) -> str:
@@ -162,6 +165,16 @@ def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         yield offset, fields, s.take(int(fields["Archive-length"]))
 
 
+def _readable(data: bytes, set_aside: bool) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """``arc_records``; where the archive is broken, it ends with (-1, no fields, reason) if it is to be set aside."""
+    try:
+        yield from arc_records(data)
+    except (ValueError, IndexError, zlib.error) as e:
+        if not set_aside:
+            raise
+        yield -1, {}, f"{type(e).__name__}: {e}".encode()
+
+
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     s = Stream(data)
     while (line := s.line()) is not None:
@@ -239,7 +252,10 @@ def read_arc(spark: SparkSession, path: str, blocks: bool, params: ArchiveParams
             for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 archive = file.rsplit("/", 1)[1]
                 version = ""
-                for offset, f, block in arc_records(content.as_buffer()):
+                for offset, f, block in _readable(content.as_buffer(), p.set_aside):
+                    if not f:
+                        rows.append((archive, offset, None, block.decode(), None, "broken", None, version, 0, None, None, *([b""] if blocks else [])))
+                        continue
                     version = f.get("version", version)
                     http = http_parts(block)
                     kind = "warcinfo" if offset == 0 else "response" if http else "resource"
@@ -264,13 +280,18 @@ def _batch(rows: list[tuple], schema: str, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
+def broken_archives(spark: SparkSession, path: str, params: ArchiveParams | None = None) -> DataFrame:
+    """(archive, reason) of the archives that cannot be read to their end."""
+    return read_arc(spark, path, False, replace(params or ArchiveParams(), set_aside=True)).where("type = 'broken'").select("archive", F.col("url").alias("reason"))
+
+
 def convert(spark: SparkSession, arc: str, warc: str, params: ArchiveParams | None = None) -> str:
     """WARC archives below ``warc`` of the ARC archives below ``arc``."""
     p = params or ArchiveParams()
-    light = stored(read_arc(spark, arc, False, p).where("type <> 'warcinfo'"), "arc-index")
+    light = stored(read_arc(spark, arc, False, p).where("type not in ('warcinfo', 'broken')"), "arc-index")
     order = F.struct("source_id", "archive", "offset", "record_id", "url", "date")
     first = light.where((F.col("payload_bytes") >= p.least) & (F.col("type") == "response")).groupBy("payload_digest", "payload_bytes").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    full = read_arc(spark, arc, True, p).where("type <> 'warcinfo'").join(first, ["payload_digest", "payload_bytes"], "left")
+    full = read_arc(spark, arc, True, p).where("type not in ('warcinfo', 'broken')").join(first, ["payload_digest", "payload_bytes"], "left")
     revisit = F.col("first").isNotNull() & (F.col("first.record_id") != F.col("record_id"))
     full = full.select("archive", "offset", "url", "date", "content_type", F.when(revisit, "revisit").otherwise(F.col("type")).alias("type"), "payload_digest", "record_id", F.col("first.record_id").alias("to_id"), F.col("first.url").alias("to_url"), F.col("first.date").alias("to_date"), F.col("first.source_id").alias("to_source"), "block")
 

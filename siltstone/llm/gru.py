@@ -71,38 +71,38 @@ class Model:
     # ------------------------------------------------------------ forward
 
     def steps(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple]:
-        """States of a window. x: (T, B) symbols; fresh: (T, B), 0 where a document starts; h: (B, H)."""
+        """States of a window. x: (T, B) symbols; fresh: (T, B), false where a document starts; h: (B, H).
+
+        Gates lie one after another, (T, 3, B, H), so that every step works on contiguous memory.
+        """
         t, b = x.shape
         n = self.shape.hidden
         out = np.empty((t, b, n), F32)
         before = np.empty((t, b, n), F32) if keep else None
         inner = np.empty((t, b, n), F32) if keep else None
-        gates = self.u[x]  # input parts, turned into z, r and c in place
-        gates[:, :, : 2 * n] *= F32(-1)
-        gates[:, :, 2 * n :] *= F32(2)
-        w = self.w * np.repeat(np.array([-1, -1, 1], F32), n)
+        sign = np.repeat(np.array([-1, -1, 2], F32), n)  # what the logistic function below takes: -z, -r, 2 c
+        gates = np.ascontiguousarray((self.u * sign)[x].reshape(t, b, 3, n).transpose(0, 2, 1, 3))
+        w = np.ascontiguousarray((self.w * sign).reshape(n, 3, n).transpose(1, 0, 2))
         starts = (fresh == 0).any(axis=1)
-        a = np.empty((b, 3 * n), F32)
+        a = np.empty((3, b, n), F32)
         with np.errstate(over="ignore"):
             for k in range(t):
                 if starts[k]:
                     h = h * fresh[k][:, None]
                 np.matmul(h, w, out=a)
-                zr, c = gates[k, :, : 2 * n], gates[k, :, 2 * n :]
-                zr += a[:, : 2 * n]
+                zr, c, part = gates[k, :2], gates[k, 2], a[2]
+                zr += a[:2]
                 _logistic(zr)
-                part = a[:, 2 * n :]
                 if keep:
                     before[k], inner[k] = h, part
-                part = part * zr[:, n:]
-                part *= F32(2)
+                part *= zr[1]
                 c += part
                 np.negative(c, out=c)  # tanh(v) = 2 / (1 + exp(-2 v)) - 1
                 _logistic(c)
                 c *= F32(2)
                 c -= F32(1)
                 h = np.subtract(h, c, out=out[k])
-                h *= zr[:, :n]
+                h *= zr[0]
                 h += c
         return out, (gates, before, inner)
 
@@ -111,29 +111,20 @@ class Model:
         sh, per = self.shape, self.shape.per_class
         freq = y < sh.frequent
         cls = np.where(freq, y // per, y - sh.frequent + sh.classes).astype(np.int16)
-        score, logit = _softmax(h, self.cw, self.cb, cls)
-        dh = None
-        if grad is not None:
-            logit[np.arange(len(y)), cls] -= 1
-            grad.cw += h.T @ logit
-            grad.cb += np.ones(len(y), F32) @ logit
-            dh = logit @ self.cw.T
+        score = np.empty(len(y), F32)
+        dh = np.empty_like(h) if grad is not None else None
+        for i in range(0, len(y), PART):
+            j = min(len(y), i + PART)
+            score[i:j] = _softmax(h[i:j], self.cw, self.cb, cls[i:j], grad and (grad.cw, grad.cb), dh is not None and dh[i:j])
         at = np.flatnonzero(freq)
         at = at[np.argsort(cls[at], kind="stable")]
-        cut = np.searchsorted(cls[at], np.arange(sh.classes + 1))
+        cut = np.searchsorted(cls[at], np.arange(sh.classes + 1)).tolist()
         hs, ys = h[at], y[at] % per
-        got = np.empty(len(at), F32)
-        back = np.empty_like(hs) if grad is not None else None
+        got, back = np.empty(len(at), F32), np.empty_like(hs) if grad is not None else None
         for c in range(sh.classes):
             i, j = cut[c], cut[c + 1]
-            if i == j:
-                continue
-            got[i:j], lo = _softmax(hs[i:j], self.ow[c], self.ob[c], ys[i:j])
-            if grad is not None:
-                lo[np.arange(j - i), ys[i:j]] -= 1
-                grad.ow[c] += hs[i:j].T @ lo
-                grad.ob[c] += np.ones(j - i, F32) @ lo
-                np.matmul(lo, self.ow[c].T, out=back[i:j])
+            if i < j:
+                got[i:j] = _softmax(hs[i:j], self.ow[c], self.ob[c], ys[i:j], grad and (grad.ow[c], grad.ob[c]), back is not None and back[i:j])
         score[at] += got
         if grad is not None:
             dh[at] += back
@@ -143,34 +134,42 @@ class Model:
         """Gradients through the window's steps; none goes to before the window."""
         gates, before, inner = kept
         t, b, n = dout.shape
-        z, r, c = gates[:, :, :n], gates[:, :, n : 2 * n], gates[:, :, 2 * n :]
-        dg = np.empty((t, b, 3 * n), F32)  # first what dh is to be multiplied with, then the gradients
-        np.multiply(1 - z, 1 - c * c, out=dg[:, :, 2 * n :])
-        np.multiply((before - c) * z, 1 - z, out=dg[:, :, :n])
-        np.multiply(inner * r, 1 - r, out=dg[:, :, n : 2 * n])
-        da = np.empty((b, 3 * n), F32)
-        all_da = np.empty((t, b, 3 * n), F32)
+        z, r, c = gates[:, 0], gates[:, 1], gates[:, 2]
+        dg = np.empty_like(gates)  # first what dh is to be multiplied with, then the gradients
+        np.multiply(before - c, z, out=dg[:, 0])
+        dg[:, 0] *= 1 - z
+        np.multiply(inner, r, out=dg[:, 1])
+        dg[:, 1] *= F32(0.5)  # inner is kept doubled
+        dg[:, 1] *= 1 - r
+        np.multiply(1 - z, 1 - c * c, out=dg[:, 2])
+        da = np.empty_like(gates)
         starts = (fresh == 0).any(axis=1)
         dh = np.zeros((b, n), F32)
-        wt = np.ascontiguousarray(self.w.T)
+        wt = np.ascontiguousarray(self.w.reshape(n, 3, n).transpose(1, 2, 0))
         for k in range(t - 1, -1, -1):
             dh += dout[k]
-            g, da = dg[k], all_da[k]
-            g[:, 2 * n :] *= dh
-            g[:, :n] *= dh
-            g[:, n : 2 * n] *= g[:, 2 * n :]
-            da[:, : 2 * n] = g[:, : 2 * n]
-            np.multiply(g[:, 2 * n :], r[k], out=da[:, 2 * n :])
+            g, d = dg[k], da[k]
+            g[2] *= dh
+            g[0] *= dh
+            g[1] *= g[2]
+            d[:2] = g[:2]
+            np.multiply(g[2], r[k], out=d[2])
             dh *= z[k]
-            dh += da @ wt
+            dh += np.matmul(d, wt).sum(axis=0)
             if starts[k]:
                 dh *= fresh[k][:, None]
-        grad.w += before.reshape(-1, n).T @ all_da.reshape(-1, 3 * n)
-        sym, flat = x.ravel().astype(np.int16 if self.shape.symbols < 1 << 15 else np.int64), dg.reshape(-1, 3 * n)
+        flat = before.reshape(-1, n).T
+        for q in range(3):
+            grad.w[:, q * n : (q + 1) * n] += flat @ np.ascontiguousarray(da[:, q]).reshape(-1, n)
+        sym = x.ravel().astype(np.int16 if self.shape.symbols < 1 << 15 else np.int64)
         order = np.argsort(sym, kind="stable")
         s = sym[order]
         first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        grad.u[s[first]] += np.add.reduceat(flat[order], first, axis=0)
+        grad.u[s[first]] += np.add.reduceat(dg.transpose(0, 2, 1, 3).reshape(-1, 3 * n)[order], first, axis=0)
+
+
+#: Rows of a softmax at once: what they need stays in the processor's cache.
+PART = 2048
 
 
 def _logistic(x: np.ndarray) -> None:
@@ -180,13 +179,17 @@ def _logistic(x: np.ndarray) -> None:
     np.reciprocal(x, out=x)
 
 
-def _softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of each target, and all probabilities. States are within (-1, 1), which bounds the logits from
-    above; a row that is far below the bound is shifted by its own largest one."""
+def _softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, y: np.ndarray, grad=None, back=None) -> np.ndarray:
+    """Log probability of each target; with ``grad`` (for w and bias), gradients are added to it and d(-sum)/dh goes to ``back``.
+
+    States are within (-1, 1), which bounds the logits from above; a row that is far below the bound is shifted by its own
+    largest one.
+    """
     top = F32((bias + np.abs(w).sum(axis=0)).max())
     p = h @ w
     p += bias - top
-    own = p[np.arange(len(y)), y]
+    rows = np.arange(len(y))
+    own = p[rows, y]
     np.exp(p, out=p)
     total = p @ np.ones(p.shape[1], F32)
     low = np.flatnonzero(total < 1e-25)
@@ -196,20 +199,26 @@ def _softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, y: np.ndarray) -> t
         own[low] = q[np.arange(len(low)), y[low]]
         p[low] = np.exp(q)
         total[low] = p[low].sum(axis=1)
-    p *= (1 / total)[:, None]
-    return own - np.log(total), p
+    if grad:
+        p *= (1 / total)[:, None]
+        p[rows, y] -= 1
+        grad[0][:] += h.T @ p
+        grad[1][:] += np.ones(len(y), F32) @ p
+        np.matmul(p, w.T, out=back)
+    return own - np.log(total)
 
 
 # ---------------------------------------------------------------- lanes
 
 
 def lanes(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Token places in time-major lanes, (L, B) with -1 past a lane's end, and 0 where a document starts (else 1).
+    """Token places in time-major lanes, (L, B) with -1 past a lane's end, and whether a step goes on with a document (not at its start).
 
-    ``lengths``: tokens of each document; documents lie one after another. Longest first, to the shortest lane.
+    ``lengths``: tokens of each document; documents lie one after another. Longest first, to the shortest lane; no more
+    lanes than ``most``, nor than are filled beside the longest document (but 64).
     """
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    b = max(1, min(most, len(lengths)))
+    b = max(1, min(most, len(lengths), max(64, -(-int(lengths.sum()) // max(1, int(lengths.max()))))))
     own: list[list[int]] = [[] for _ in range(b)]
     heap = [(0, k) for k in range(b)]
     for d in np.argsort(-lengths, kind="stable").tolist():
@@ -217,21 +226,21 @@ def lanes(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         own[k].append(d)
         heapq.heappush(heap, (n + int(lengths[d]), k))
     deep = max(sum(int(lengths[d]) for d in o) for o in own)
-    at = np.full((deep, b), -1, np.int64)
-    fresh = np.ones((deep, b), F32)
+    at = np.full((deep, b), -1, np.int32 if lengths.sum() < 1 << 31 else np.int64)
+    fresh = np.ones((deep, b), bool)
     for k, o in enumerate(own):
         p = 0
         for d in o:
             n = int(lengths[d])
             at[p : p + n, k] = np.arange(starts[d], starts[d] + n)
-            fresh[p, k] = 0
+            fresh[p, k] = False
             p += n
     return at, fresh
 
 
-def score(model: Model, symbols: np.ndarray, lengths: np.ndarray, end: int, most: int = 256, window: int = 64) -> np.ndarray:
+def score(model: Model, symbols: np.ndarray, lengths: np.ndarray, end: int, most: int = 256, window: int = 32) -> np.ndarray:
     """Natural log probability of each token."""
-    out = np.zeros(len(symbols))
+    out = np.zeros(len(symbols), F32)
     if not len(symbols):
         return out
     at, fresh = lanes(lengths, most)

@@ -4,7 +4,8 @@ A text's lines are its ``\\n``-split parts; lines with a word (see ``kernels``)
 passed over. Every ``window`` counting lines in a row are hashed. For each hash found more than once
 anywhere, its first occurrence - smallest doc_id (null first), then text fingerprint, then position -
 stays; all later ones are covered, from their first line to their last, and the union of the covered
-lines is removed from each text.
+lines is removed from each text. A window that overlaps the first occurrence and repeats it is a later one like any
+other: of four equal lines the first stays.
 
 Occurrences are 40-byte rows. The first occurrence is found by a partial aggregation, so a window that
 a third of all documents share arrives as one row a task; the join back is split by the adaptive

@@ -43,8 +43,9 @@ class LmParams:
     heavy: int = 1 << 18
     rounds: int = 2
     rate: float = 0.15
-    lanes: int = 256
-    chunk: int = 4 << 20
+    lanes: int = 512
+    pool: int = 4 << 20
+    chunk: int = 1 << 20
     packed: int = 4096
     shape: gru.Shape = field(default_factory=gru.Shape)
 
@@ -163,11 +164,21 @@ def fit(docs: DataFrame, lex, freq: np.ndarray, rare: np.ndarray, p: LmParams) -
         def run(batches: Iterator[pa.RecordBatch], start=start, k=k) -> Iterator[pa.RecordBatch]:
             model = gru.Model(shape, start.value.copy())
             memory, seen = np.full(shape.total, 1e-6, np.float32), 0
-            for _, buf, off in K.chunks(batches, "text", p.chunk // 2):
-                h, r, n = tokens(buf, off, shape.rare)
-                sym, _, _ = lex.value.symbols(h, r, shape.frequent)
+            pooled: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def learn() -> None:
+                sym, n = (np.concatenate(x) for x in zip(*pooled, strict=True))
                 gru.train(model, sym, n, 0, memory, p.rate / (1 + k), most=p.lanes)
+                pooled.clear()
+
+            for _, buf, off in K.chunks(batches, "text", p.chunk):
+                h, r, n = tokens(buf, off, shape.rare)
+                pooled.append((lex.value.symbols(h, r, shape.frequent)[0].astype(np.int16 if shape.symbols < 1 << 15 else np.int32), n))
                 seen += len(h)
+                if sum(len(x) for x, _ in pooled) > p.pool:
+                    learn()
+            if pooled:
+                learn()
             if seen:
                 parts = [model.flat[i : i + p.packed].tobytes() for i in range(0, shape.total, p.packed)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary()), pa.array(np.full(len(parts), seen, np.int64))], ["block", "w", "n"])
@@ -212,15 +223,28 @@ def score(docs: DataFrame, params: LmParams | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, lx = gru.Model(shape, weights.value), lex.value
+        pooled: list[tuple[np.ndarray, np.ndarray]] = []
+        ready: list[tuple] = []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            """The pooled documents run through the network together, so that its lanes are long and full."""
+            sym, n = (np.concatenate(x) for x in zip(*pooled, strict=True))
+            total = np.bincount(np.repeat(np.arange(len(n)), n), weights=gru.score(model, sym, n, 0, most=p.lanes), minlength=len(n))
+            at = 0
+            for cols, size, known, base, share, tail, times in ready:
+                k = len(size)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(size.astype(np.int64)), pa.array(known), pa.array(base / LN10), pa.array((total[at : at + k] + share) / LN10), tail, times], [x.split()[0] for x in ROW.split(", ")])
+                at += k
+            pooled.clear()
+            ready.clear()
+
         for part, buf, off in K.chunks(batches, "text", p.chunk):
             h, r, n = tokens(buf, off, shape.rare)
             sym, at, there = lx.symbols(h, r, shape.frequent)
-            got = gru.score(model, sym, n, 0)
             logc = np.where(there, lx.logc[at], 0.0) if len(lx.h) else np.zeros(len(h))
-            got += np.where(sym >= shape.frequent, logc - lx.rare_total[r], 0.0)
             doc = np.repeat(np.arange(len(n)), n)
-            out = ~there
-            key = np.flatnonzero(out)
+            share = np.bincount(doc, weights=np.where(sym >= shape.frequent, logc - lx.rare_total[r], 0.0), minlength=len(n))
+            key = np.flatnonzero(~there)
             order = key[np.lexsort((h[key], doc[key]))]
             ho, do = h[order], doc[order]
             new = np.append(True, (ho[1:] != ho[:-1]) | (do[1:] != do[:-1])) if len(ho) else np.zeros(0, bool)
@@ -229,9 +253,13 @@ def score(docs: DataFrame, params: LmParams | None = None) -> DataFrame:
             cut = np.searchsorted(do[first], np.arange(len(n) + 1))
             known = np.bincount(doc, weights=there, minlength=len(n)).astype(np.int64)
             base = np.bincount(doc, weights=logc, minlength=len(n)) - n * log(lx.n + lx.v + 1)
-            total = np.bincount(doc, weights=got, minlength=len(n))
+            pooled.append((sym.astype(np.int16 if shape.symbols < 1 << 15 else np.int32), n))
             cols = [part.column(part.schema.get_field_index(c)) for c in ("row", "doc_id", "held_out")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n.astype(np.int64)), pa.array(known), pa.array(base / LN10), pa.array(total / LN10), _lists(K.signed(ho[first]), cut), _lists(times, cut)], [x.split()[0] for x in ROW.split(", ")])
+            ready.append((cols, n, known, base, share, _lists(K.signed(ho[first]), cut), _lists(times, cut)))
+            if sum(len(x) for x, _ in pooled) > p.pool:
+                yield from give()
+        if pooled:
+            yield from give()
 
     rows = stored(d.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, ROW), "scored")
     light = counts.where(F.floor(F.log2("n") * 8).cast("int") < least).select("h", "n")

@@ -7,7 +7,7 @@ A document's ratio is the mean over its features of ``log(p_target / p_raw)``, a
 document is kept if, and only if, that mean is at least ``threshold`` - one fixed number, no
 quantile, so a document's verdict does not depend on its neighbours.
 
-The trusted sample is bounded: the ``trusted`` labelled documents (quality 1) with the smallest
+The trusted sample is bounded: the ``trusted`` labelled documents (quality 1, and not marked toxic) with the smallest
 ``xxhash64(doc_id)``; only their ids reach the executors. Bucket counts are a fixed-size table
 (two times ``buckets`` rows at any corpus size), so it can be collected and broadcast; the counting runs
 over all rows of all documents, pre-aggregated per task.
@@ -166,30 +166,40 @@ def _covered(marked: np.ndarray, at: np.ndarray, window: int, n: int) -> np.ndar
 
 def trusted_ids(labels: DataFrame, most: int) -> list[int]:
     """Ids of the ``most`` labelled good documents with the smallest hashes: a bounded sample by its parameter."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    clean = F.coalesce(F.col("toxic").cast("int"), F.lit(0)) == 0 if "toxic" in labels.columns else F.lit(True)
+    good = labels.where("quality = 1 and doc_id is not null").where(clean).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     return [r.doc_id for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
 
 
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_features long"
 
 
-def score(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None) -> DataFrame:
-    """One row per document: base statistics, the length-normalised ratio and the verdict."""
-    p = params or QualityParams()
+def _verdicts(docs: DataFrame, labels: DataFrame, p: QualityParams):
+    """A function of a batch's bytes and offsets: statistics, whether the base rules fail, the ratio, features, whether it is kept."""
     spark = docs.sparkSession
     K.small_batches(spark)
     ratio = spark.sparkContext.broadcast(ratios(*ngram_counts(docs, trusted_ids(labels, p.trusted), p), p))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ratio.value
+    def judge(buf: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        st = base_stats(buf, off, p.window)
+        mean, count = mean_ratios(buf, off, ratio.value, p)
+        failed = (st["n_words"] < p.min_words) | (100 * st["n_repeat_words"] > p.repeat_percent * st["n_words"])
+        return st, failed, mean, count, ~failed & (mean >= p.threshold)
+
+    return judge
+
+
+def score(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None) -> DataFrame:
+    """One row per document: base statistics, the length-normalised ratio and the verdict."""
+    judge = _verdicts(docs, labels, params or QualityParams())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, off in K.chunks(batches, "text"):
-            st = base_stats(buf, off, p.window)
-            mean, count = mean_ratios(buf, off, table, p)
-            failed = (st["n_words"] < p.min_words) | (100 * st["n_repeat_words"] > p.repeat_percent * st["n_words"])
-            cols = [part.column(part.schema.get_field_index("doc_id")), *(pa.array(st[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(~failed & (mean >= p.threshold)), pa.array(mean.astype(np.float64)), pa.array(count.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in RESULT.split(", ")])
+            st, failed, mean, count, kept = judge(buf, off)
+            stats = [pa.array(st[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), *stats, pa.array(failed), pa.array(kept), pa.array(mean.astype(np.float64)), pa.array(count.astype(np.int64))], [x.split()[0] for x in RESULT.split(", ")])
 
-    return tables.with_text(docs).mapInArrow(judge, RESULT)
+    return tables.with_text(docs).mapInArrow(run, RESULT)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None) -> DataFrame:
@@ -198,17 +208,10 @@ def filter_documents(docs: DataFrame, labels: DataFrame, params: QualityParams |
     The verdict is taken next to the text in the same pass: rows are not joined back, so repeated
     or null ids need no care.
     """
-    p = params or QualityParams()
-    spark = docs.sparkSession
-    K.small_batches(spark)
-    ratio = spark.sparkContext.broadcast(ratios(*ngram_counts(docs, trusted_ids(labels, p.trusted), p), p))
+    judge = _verdicts(docs, labels, params or QualityParams())
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ratio.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, off in K.chunks(batches, "text"):
-            st = base_stats(buf, off, p.window)
-            mean, _ = mean_ratios(buf, off, table, p)
-            failed = (st["n_words"] < p.min_words) | (100 * st["n_repeat_words"] > p.repeat_percent * st["n_words"])
-            yield part.filter(pa.array(~failed & (mean >= p.threshold)))
+            yield part.filter(pa.array(judge(buf, off)[-1]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -14,8 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where the session names none (as in tests), one below the warehouse."""
+    """The folder of ``spark.checkpoint.dir``; where a local session names none (as in tests), one below the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (found or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "shared")).rstrip("/")
 
 

@@ -17,8 +17,9 @@ Windows with fewer than ``plain`` plain tokens say nothing and are left out; an
 have too many names is also matched by the others alone. A copy in another case whose names are also changed
 is found only by windows without names.
 
-The benchmark side of the join is broadcast if it has been counted to be at most ``broadcast_rows`` rows,
-else it is shuffled like any join; so are the ids of matched documents in the second pass.
+The benchmark side of the join is broadcast if it has been measured to take at most ``broadcast_bytes``,
+else it is shuffled like any join; so are the ids of matched documents in the second pass. Matches are verified once for
+each text of a window, before they meet the items that share it.
 
 Defined results: null or empty texts and items without enough tokens match nothing; rows with equal doc_id
 and text are one document; a null doc_id is reported as null; an empty table gives an empty result.
@@ -41,7 +42,7 @@ class LeakParams:
     least: int = 6
     shortest: int = 5
     plain: int = 4
-    broadcast_rows: int = 1_000_000
+    broadcast_bytes: int = 64 << 20
 
 
 #: Units that count as such after a number.
@@ -102,8 +103,9 @@ def item_windows(items: DataFrame, p: LeakParams) -> DataFrame:
     return b.withColumn("h", F.xxhash64("t")).drop("t").join(total, "item_id")
 
 
-def _bounded(df: DataFrame, most: int) -> DataFrame:
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _bounded(df: DataFrame, most: int, size: Column | int = 64) -> DataFrame:
+    """Marked for broadcast if its rows take at most so many bytes; ``size``: those of a row (64: a few numbers in a hash table)."""
+    return F.broadcast(df) if (df.agg(F.sum(F.lit(size) if isinstance(size, int) else size)).first()[0] or 0) <= most else df
 
 
 def leaks(docs: DataFrame, items: DataFrame, params: LeakParams | None = None) -> DataFrame:
@@ -113,7 +115,7 @@ def leaks(docs: DataFrame, items: DataFrame, params: LeakParams | None = None) -
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("key"), text.alias("text"))
     b = stored(item_windows(items, p), "item-windows")
     sizes = sorted(r["size"] for r in b.select("size").distinct().collect())  # at most window values
-    probes = _bounded(b.select("size", "h").distinct(), p.broadcast_rows)
+    probes = _bounded(b.select("size", "h").distinct(), p.broadcast_bytes)
     tokens = d.select("doc_id", "key", raw_tokens(F.col("text")).alias("raw"))
     tokens = tokens.select("doc_id", "key", template(F.col("raw")).alias("t"), folded(F.col("raw")).alias("f"))
     hits = None
@@ -123,13 +125,16 @@ def leaks(docs: DataFrame, items: DataFrame, params: LeakParams | None = None) -
     hits = stored(hits.join(probes, ["size", "h"], "left_semi").distinct(), "hits")
 
     # second pass: the tokens of matched documents only
-    ids = _bounded(hits.select("key").distinct(), p.broadcast_rows)
+    ids = _bounded(hits.select("key").distinct(), p.broadcast_bytes)
     some = d.join(ids, "key", "left_semi").dropDuplicates(["key"]).select("key", raw_tokens(F.col("text")).alias("raw"))
     own = hits.select("key", "doc_id", "size", F.col("at").alias("d_at"), "h").join(some, "key")
     own = own.select("key", "doc_id", "size", "d_at", "h", F.slice("raw", F.col("d_at"), F.col("size")).alias("doc"))
-    pairs = own.join(_bounded(b, p.broadcast_rows), ["size", "h"])
-    equal = F.when(F.col("named"), template(F.col("doc")) == template(F.col("item"))).otherwise(folded(F.col("doc")) == folded(F.col("item")))
-    pairs = pairs.where(equal).withColumn("shift", F.col("d_at") - F.col("at"))
+    heavy = F.lit(96) + F.aggregate("item", F.lit(0), lambda n, x: n + F.octet_length(x) + 24)
+    form = lambda tokens: F.when(F.col("named"), template(F.col(tokens))).otherwise(folded(F.col(tokens)))
+    each = b.select("size", "h", "named", form("item").alias("t")).distinct()
+    own = own.join(_bounded(each, p.broadcast_bytes, F.lit(96) + F.aggregate("t", F.lit(0), lambda n, x: n + F.octet_length(x) + 24)), ["size", "h"]).where(form("doc") == F.col("t")).drop("t")
+    pairs = own.join(_bounded(b, p.broadcast_bytes, heavy), ["size", "h", "named"])
+    pairs = pairs.where(form("doc") == form("item")).withColumn("shift", F.col("d_at") - F.col("at"))
     pairs = stored(pairs, "pairs")
     group = ["key", "doc_id", "item_id", "shift"]
     slots = F.filter(F.arrays_zip(F.col("item").alias("i"), F.col("doc").alias("d")), lambda x: _is_slot(template(F.array(x["i"]))[0]))
@@ -156,5 +161,5 @@ def document_key() -> Column:
 def drop_contaminated(docs: DataFrame, items: DataFrame, params: LeakParams | None = None) -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
     p = params or LeakParams()
-    bad = _bounded(stored(leaks(docs, items, p).select("key").distinct(), "contaminated"), p.broadcast_rows)
+    bad = _bounded(stored(leaks(docs, items, p).select("key").distinct(), "contaminated"), p.broadcast_bytes)
     return docs.join(bad, document_key() == bad["key"], "left_anti")

@@ -108,6 +108,42 @@ def test_quality(spark):
     assert quality_llr.score(empty, labels).count() == 0 and quality_llr.score(frame(spark, clean), labels.limit(0)).count() == 60
 
 
+def test_ratio_by_plain_counts(spark):
+    """The ratio of each text from dictionaries of whole features instead of hashed buckets."""
+    import re
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma,", "delta", "of", "the%"]) for _ in range(30))) for i in range(40)] + [(50, None), (51, "")]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(20)] + [(30, 0, 0)], "doc_id long, quality int, toxic int")
+    p = quality_llr.QualityParams()
+    words = {i: re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+|[^A-Za-z0-9\x80-\U0010ffff\x20\x09-\x0D]+", t or "") for i, t in rows}
+    pairs = {i: list(zip(w, w[1:])) for i, w in words.items()}
+    trusted = [i for i in range(20) if i % 5]
+
+    def tables(features):
+        raw, target = collections.Counter(), collections.Counter()
+        for i, f in features.items():
+            raw.update(f)
+            if i in trusted:
+                target.update(f)
+        scale = target.total() / raw.total()
+        return {f: (target[f], n * scale) for f, n in raw.items()}
+
+    one, two = tables(words), tables(pairs)
+    ratio = {f: math.log((t + p.backing) / (e + p.backing)) for f, (t, e) in one.items()}
+
+    def mean(i):
+        values = [ratio[w] for w in words[i]]
+        for a, b in pairs[i]:
+            t, e = two[a, b]
+            values.append(math.log((t + p.backing * math.exp((ratio[a] + ratio[b]) / 2)) / (e + p.backing)))
+        return sum(values) / len(values) if values else 0.0
+
+    for r in quality_llr.score(frame(spark, rows), labels).collect():
+        assert abs(r.ratio - mean(r.doc_id)) < 1e-4 and r.n_features == len(words[r.doc_id]) + len(pairs[r.doc_id])
+        assert r.kept == (not r.base_failed and mean(r.doc_id) >= p.threshold)
+
+
 @pytest.mark.parametrize("n", [60, 1500])
 def test_quality_of_rare_words(spark, n):
     rng = random.Random(8)
@@ -448,6 +484,26 @@ def test_shards(spark):
     assert hash_tree.shard_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_shards_by_a_plain_tree(spark):
+    """Each key's way down, draw by draw, with another implementation of the hash."""
+    import xxhash
+
+    def draw(key, node):
+        seed = xxhash.xxh64(node.name.encode(), seed=42).intdigest()
+        bits = xxhash.xxh64(key.to_bytes(8, "little", signed=True), seed=seed).intdigest() >> 11
+        return -math.log((bits + 0.5) / (1 << 53)) / node.weight
+
+    def down(key, node):
+        while node.children:
+            node = min(node.children, key=lambda c: draw(key, c)) if len(node.children) > 1 else node.children[0]
+        return node.shard
+
+    p = hash_tree.TreeParams(weights={3: 2.5, 9: 0.5})
+    ids = [*range(600), 1 << 40, -5]
+    got = hash_tree.shard_documents(frame(spark, [(i, "t") for i in ids]), 16, p).collect()
+    assert {r.doc_id: (r.shard, r.grown_shard) for r in got} == {i: (down(i, hash_tree.tree(16, p)), down(i, hash_tree.tree(17, p))) for i in ids}
+
+
 def test_weight_changes_stay_in_their_subtree(spark):
     from pyspark.sql import functions as F
 

@@ -18,7 +18,9 @@ def sha(html):
 
 
 def test_pages_through_archives(spark):
-    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumnRenamed("x", "y").repartition(3)
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3)
+    for c in ("value", "archive", "block", "type", "payload_digest", "source_id", "first", "content", "offset"):
+        pages = pages.selectExpr("*", f"'clash' AS {c}")
     got = arc_warc.pages_through_archives(pages).collect()
     assert len(got) == len(PAGES)
     html = {i: h for i, _, h in PAGES}
@@ -58,6 +60,27 @@ def test_arc_versions():
     assert list(arc_warc.arc_records(b"")) == [] and arc_warc.iso_date("20010203040506") == "2001-02-03T04:05:06Z"
 
 
+def test_broken_archives_are_set_aside(spark, tmp_path):
+    import gzip
+
+    def archive(name, *records, bad=b""):
+        block = f"1 0 org\n{arc_warc.V1}\n".encode()
+        data = f"filedesc://{name} 0.0.0.0 20010101000000 text/plain {len(block)}\n".encode() + block + b"".join(b"\n" + f"http://{k} 1.2.3.4 20010203040506 text/html {len(doc)}\n".encode() + doc for k, doc in enumerate(records)) + bad
+        (tmp_path / f"{name}.arc.gz").write_bytes(gzip.compress(data))
+
+    archive("good", b"HTTP/1.1 200 OK\r\n\r\na", b"b")
+    archive("short", b"c", bad=b"\nhttp://x 1.2.3.4 20010203040506 text/html 99\nabc")
+    archive("line", b"d", bad=b"\nno record\n")
+    archive("bytes", bad=b"\n\xff 1.2.3.4 20010203040506 text/html 1\nx")
+    (tmp_path / "none.arc.gz").write_bytes(gzip.compress(b"something else"))
+    with pytest.raises(Exception, match="cut short|fields|utf-8|version block"):
+        arc_warc.read_arc(spark, str(tmp_path), False).collect()
+    got = {r.archive.split(".")[0]: r.reason for r in arc_warc.broken_archives(spark, str(tmp_path)).collect()}
+    assert set(got) == {"short", "line", "bytes", "none"} and "cut short" in got["short"]
+    out = arc_warc.convert(spark, str(tmp_path), str(tmp_path / "warc"), arc_warc.ArchiveParams(set_aside=True))
+    assert sorted(r.payload_bytes for r in arc_warc.read_warc(spark, out).collect() if r.type == "resource") == [1, 1, 1]
+
+
 # ---------------------------------------------------------------- tool calls
 
 
@@ -161,7 +184,7 @@ def test_leaks(spark):
     assert got[2, 0].n_slots > 0
     left = template_leaks.drop_contaminated(df, items)
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 7]
-    small = template_leaks.LeakParams(broadcast_rows=0)
+    small = template_leaks.LeakParams(broadcast_bytes=0)
     assert {(r.doc_id, r.item_id) for r in template_leaks.leaks(df, items, small).collect()} == set(got)
     assert template_leaks.leaks(df.limit(0), items).count() == template_leaks.leaks(df, items.limit(0)).count() == 0
 
@@ -188,6 +211,81 @@ def test_leaks_with_edited_values(spark):
     assert got >= {(1, 0), (2, 0), (2, 1)} and (3, 1) not in got
 
 
+def plain_leaks(docs, items, p):
+    """All alignments of all documents and items, window by window, for plain ASCII texts."""
+    import re
+
+    def tokens(text):
+        t = re.sub(r"([A-Za-z0-9,;:)'-]\s+)(?=[A-Z])", "\\1\1", text or "").lower()
+        t = re.sub(r"(?<=\d)(\s*)\x01?(" + "|".join(template_leaks.UNITS) + r")(?![a-z0-9])", "\\1 \2\\2", t)
+        return re.findall(r"[\1\2]?[a-z]+|\d+(?:[.,:]\d+)*", t)
+
+    kind = lambda x: x[0] if x[0] in "\1\2" else "0" if x[0].isdigit() else ""
+    bare = lambda x: x.lstrip("\1\2")
+    named = lambda w: tuple(kind(x) or x for x in w)
+    folded = lambda w: tuple(bare(x) if kind(x) in ("", "\1") else kind(x) for x in w)
+    tells = lambda t: sum(x not in ("\1", "\2", "0") for x in t) >= p.plain
+    out = set()
+    for k, item in items:
+        b = tokens(item)
+        size = min(len(b), p.window)
+        if size < p.shortest:
+            continue
+        wins = [(a, b[a : a + size]) for a in range(len(b) - size + 1)]
+        total, n_named = sum(tells(folded(w)) for _, w in wins), sum(tells(named(w)) for _, w in wins)
+        for i, doc in docs:
+            d = tokens(doc)
+            for shift in range(-len(b), len(d)):
+                at, own, verbatim, pairs = set(), set(), set(), set()
+                for a, w in wins:
+                    v = d[a + shift : a + shift + size] if a + shift >= 0 else []
+                    if len(v) < size:
+                        continue
+                    hit_named, hit = named(v) == named(w) and tells(named(w)), folded(v) == folded(w) and tells(folded(w))
+                    if hit or hit_named:
+                        at.add(a)
+                        pairs |= {(kind(x), bare(x), bare(y)) for x, y in zip(w, v) if kind(x)}
+                        if list(map(bare, w)) == list(map(bare, v)):
+                            verbatim.add(a)
+                    if hit_named:
+                        own.add(a)
+                clash = any(len({y for q, x, y in pairs if (q, x) == g}) > 1 for g in {(q, x) for q, x, _ in pairs}) or any(len({x for q, x, y in pairs if (q, y) == g}) > 1 for g in {(q, y) for q, _, y in pairs if q != "0"})
+                enough = at and (len(at) >= min(p.least, total) or (n_named and len(own) >= min(p.least, n_named)))
+                if enough and (not clash or len(verbatim) >= min(p.least, total)):
+                    out.add((i, k))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_leaks_equal_all_alignments(spark, seed):
+    """Planted copies: verbatim, re-parameterised, with slots that contradict each other, cut, in another case."""
+    rng = random.Random(seed)
+    plain, names = ["buys", "sells", "apples", "how", "many", "are", "left", "for", "the", "of", "and", "then", "each", "week"], ["Anna", "Berta", "Carl", "Dora", "Emil"]
+    word = lambda: rng.choice([rng.choice(plain)] * 5 + [rng.choice(names), str(rng.randint(1, 30)), f"{rng.randint(1, 9)} kg"])
+    items = [(k, " ".join(word() for _ in range(rng.choice([4, 6, 12, 25, 40])))) for k in range(14)]
+
+    def copy(text):
+        w = text.split()
+        how = rng.randrange(6)
+        if how == 1:  # one consistent substitution
+            swap = dict(zip(names, rng.sample(names, 5))) | {str(n): str(n + 7) for n in range(40)}
+            w = [swap.get(x, x) for x in w]
+        elif how == 2:  # slots at random
+            w = [rng.choice(names) if x in names else str(rng.randint(1, 30)) if x.isdigit() else x for x in w]
+        elif how == 3:
+            w = w[: rng.randint(3, len(w))]
+        elif how == 4:
+            w = [x.upper() for x in w]
+        elif how == 5:
+            w[rng.randrange(len(w))] = "zebra"
+        return " ".join(w)
+
+    docs = [(i, " ".join([*(word() for _ in range(rng.randint(0, 6))), copy(rng.choice(items)[1]), *(word() for _ in range(rng.randint(0, 6)))])) for i in range(60)]
+    got = template_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = plain_leaks(docs, items, template_leaks.LeakParams())
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 15 and got.where("n_slots > 0").count() > 5
+
+
 # ---------------------------------------------------------------- components and pipeline
 
 
@@ -224,3 +322,27 @@ def test_pipeline(spark):
     kept = {r.doc_id for r in docs.select("doc_id").collect()}
     packed = C.run(spark, sf).collect()
     assert {r.doc_id for r in packed} == kept
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, clashing columns, and an empty table, through every stage."""
+    import corpus_pipeline as C
+    from tests.llm.test_documents_ops import AWKWARD, synthetic
+
+    rows = [*AWKWARD, *((1000 + i, t) for i, t in synthetic(40, 3))]
+    docs = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    for c in ("n_lines", "n_removed", "removed_lines", "key", "h", "rep", "kept", "id", "f", "gone", "in_3", "cut", "sid"):
+        docs = docs.selectExpr("*", f"'clash' AS {c}")
+    sf = "/root/testdata/sf0.001"
+    for name, stage in C.STAGES:
+        for df in (docs, docs.limit(0)):
+            out = stage(spark, df, sf)
+            got = out.collect()
+            assert (len(got) > 0) == (df is docs)
+            if name != "packing":
+                assert out.columns == docs.columns and all(r.n_lines == r.n_removed == r.in_3 == "clash" for r in got)
+                assert {r.doc_id for r in got} <= {i for i, _ in rows}
+    kept = {r.doc_id for r in C.quality_rules(spark, docs, sf).collect()}
+    assert not kept & {1, 2, 3, 4, 5, 7}  # under 20 words, or one word over and over
+    assert [r.doc_id for r in C.near_dedup(spark, docs.where("doc_id = 6"), sf).collect()] == [6]
+    assert C.decontamination(spark, docs, sf).count() == len(rows)
