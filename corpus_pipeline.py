@@ -28,10 +28,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_windows.remove_repeats(docs)
+    # the operator's own result columns must not meet the caller's
+    apart = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"in_{k}") for k, c in enumerate(docs.columns)])
+    cut = line_windows.remove_repeats(apart)
     gone = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return cut.where(~gone).select(*[length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    length = lambda k: F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(f"in_{k}"))
+    return cut.where(~gone).select(*[F.col(c) if c in ("doc_id", "text") else (length(k) if c == "n_chars" else F.col(f"in_{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
 #: The stage's own bound, 0.8; 35 bands of 5 miss a link at 0.8 with a probability of about 1e-6.
