@@ -19,6 +19,7 @@ from siltstone.sources.tree import read_tree
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("siltstone", description="Security findings of Python source trees and dependency manifests.")
     p.add_argument("--json", action="store_true", help="report as JSON")
+    p.add_argument("--json-lines", metavar="DIR", help="write the findings as JSON lines below DIR, and print no report")
     p.add_argument("--quiet", "-q", action="store_true", help="no banner")
     p.add_argument("--config", type=Path, help="TOML file with a [packages] table")
     p.add_argument("--package", action="append", default=[], metavar="NAME=PATH", help="add or replace a package")
@@ -72,7 +73,10 @@ def _main(args: argparse.Namespace, spark: SparkSession | None, cwd: Path) -> in
             args.write_baseline.write_text(report.baseline_json(result.findings), "utf-8")
         except OSError as e:
             raise discovery.UsageError(f"error: baseline {args.write_baseline} cannot be written: {e}") from e
-    print((report.as_json if args.json else report.as_text)(result.findings, result.counters))
-    if args.write_baseline:
-        return 0
-    return post.gate(result.findings, config.fail_on).first().exit_code
+    if args.json_lines:
+        report.write_lines(result.findings, args.json_lines)
+    else:
+        print((report.as_json if args.json else report.as_text)(result.findings, result.counters))
+    code = 0 if args.write_baseline else post.gate(result.findings, config.fail_on).first().exit_code
+    result.done()
+    return code

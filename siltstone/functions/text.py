@@ -42,10 +42,13 @@ def split_lines(text: Column) -> Column:
 
 
 def quoted(line: Column) -> Column:
-    """The line between quotes, with backslashes, quotes, tabs and directional characters escaped."""
-    out = F.replace(line, F.lit("\\"), F.lit("\\\\"))
-    for plain, escaped in (('"', '\\"'), ("\t", "\\t"), ("\r", "\\r")):
-        out = F.replace(out, F.lit(plain), F.lit(escaped))
-    for c in BIDI:
-        out = F.replace(out, F.lit(c), F.lit(f"\\u{{{ord(c):x}}}"))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    """The line between quotes; backslashes, quotes and all that does not print (controls, directional and other format
+    characters, unusual spaces) escaped."""
+    short = {"\\": "\\\\", '"': '\\"', "\t": "\\t", "\r": "\\r", "\0": "\\0"}
+
+    def one(c: Column) -> Column:
+        code = F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(c))), F.lit("}"))
+        known = F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in short.items()])
+        return F.coalesce(known, F.when(F.regexp_like(c, F.lit(r"[\p{C}\p{Zl}\p{Zp}\p{Zs}&&[^ ]]")), code), c)
+
+    return F.concat(F.lit('"'), F.array_join(F.transform(F.regexp_extract_all(line, F.lit(r"(?s)."), F.lit(0)), one), ""), F.lit('"'))

@@ -23,8 +23,13 @@ class ScanConfig:
 @dataclass
 class ScanResult:
     findings: DataFrame
+    cached: DataFrame
     counters: dict[str, int] = field(default_factory=dict)
 
+    def done(self) -> None:
+        """The findings have been used: their cache can go."""
+        self.cached.unpersist()
+
 
 def classified(files: DataFrame, config: ScanConfig | None = None) -> DataFrame:
     """All findings with ``fate``: nosec, confidence, test or kept - each row goes to the first that takes it."""
@@ -41,7 +46,7 @@ def kept(files: DataFrame, config: ScanConfig | None = None, baseline: DataFrame
 
 
 def run(files: DataFrame, config: ScanConfig | None = None, baseline: DataFrame | None = None) -> ScanResult:
-    """Findings and the counts of what was dropped. Detection runs once: its rows are cached for both."""
+    """Findings and the counts of what was dropped. Detection runs once: its rows are cached for both, until ``done``."""
     all_rows = classified(files, config).persist()
     counts = {r.fate: r.n for r in all_rows.groupBy("fate").agg(F.count("*").alias("n")).collect()}
     found = all_rows.where("fate = 'kept'").drop("fate")
@@ -49,4 +54,4 @@ def run(files: DataFrame, config: ScanConfig | None = None, baseline: DataFrame
     if baseline is not None:
         old = post.in_baseline(found, baseline).count()
         found = post.not_in_baseline(found, baseline)
-    return ScanResult(found, {"baseline_suppressed": old, "nosec_suppressed": counts.get("nosec", 0), "test_suppressed": counts.get("test", 0)})
+    return ScanResult(found, all_rows, {"baseline_suppressed": old, "nosec_suppressed": counts.get("nosec", 0), "test_suppressed": counts.get("test", 0)})

@@ -1,4 +1,4 @@
-"""Reports of a run. Findings are listed for people or a single file, so their rows come to the driver."""
+"""Reports of a run. Those for people or a single file bring the findings to the driver; ``write_lines`` does not."""
 
 from __future__ import annotations
 
@@ -30,6 +30,11 @@ def as_json(findings: DataFrame, counters: dict[str, int]) -> str:
     return json.dumps(payload, indent=2, ensure_ascii=False)
 
 
+def write_lines(findings: DataFrame, path: str) -> None:
+    """JSON lines in report order, a file for each part: for runs with more findings than anybody reads."""
+    post.in_order(findings).select(*schema.PUBLIC).write.json(path)
+
+
 def _reference() -> list[str]:
     """The ids that the checks cover, with the names of their findings."""
     names: dict[str, str] = {}
@@ -69,7 +74,7 @@ def as_text(findings: DataFrame, counters: dict[str, int]) -> str:
 
 def baseline_json(findings: DataFrame) -> str:
     """The snapshot file: distinct fingerprints in order."""
-    rows = sorted([r.cwe_id, r.file, r.code] for r in post.fingerprints(findings).toLocalIterator())
+    rows = [[r.cwe_id, r.file, r.code] for r in post.fingerprints(findings).orderBy(*post.FINGERPRINT).toLocalIterator()]
     return json.dumps({"fingerprints": rows}, indent=2, ensure_ascii=False) + "\n"
 
 

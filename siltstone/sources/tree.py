@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siltstone.functions.text import valid_text
+from siltstone.operators.manifest_rules import PIN_MANIFESTS
 from siltstone.sources import discovery
 
 RAW = "path string, package string, file string, locked boolean, content binary"
@@ -55,7 +56,7 @@ class TreeReader(DataSourceReader):
                 content = Path(path).read_bytes()
             except OSError:
                 content = None
-            yield path, package, discovery.relative(path, root), discovery.locked(path), content
+            yield path, package, discovery.relative(path, root), os.path.basename(path) in PIN_MANIFESTS and discovery.locked(path), content
 
 
 class TreeSource(DataSource):

@@ -111,6 +111,13 @@ def test_locks_by_listing(spark):
     assert {r.name: r.locked for r in post.with_locks(f, listing).collect()} == {"Pipfile": True, "requirements.txt": False, "pyproject.toml": True}
 
 
+def test_json_lines(spark, tree, tmp_path_factory):
+    out = tmp_path_factory.mktemp("lines") / "found"
+    assert main(["--json-lines", str(out)], spark, tree) == 1
+    got = [json.loads(x) for p in sorted(out.glob("part-*")) for x in p.read_text().splitlines()]
+    assert [f["file"].rsplit("/", 1)[-1] for f in got] == ["__init__.py", "b.py", "requirements.txt", "loose.py"]
+
+
 def test_command_line(spark, tree, capsys):
     assert main(["--json"], spark, tree) == 1
     got = json.loads(capsys.readouterr().out)

@@ -42,3 +42,10 @@ def test_invalid_text_has_no_lines(spark):
 def test_quoted(spark):
     got = spark.createDataFrame([('a"\\\u202e',)], "l string").select(T.quoted(F.col("l")).alias("q")).first().q
     assert got == '"a\\"\\\\\\u{202e}"'
+
+
+def test_quoted_escapes_what_does_not_print(spark):
+    from siltstone.functions.text import quoted
+
+    df = spark.createDataFrame([('a\u202eb"\\\t\x07é\u00a0 \u200b\U0001f600',), ("",)], "x string")
+    assert [r[0] for r in df.select(quoted(df.x)).collect()] == ['"a\\u{202e}b\\"\\\\\\t\\u{7}é\\u{a0} \\u{200b}\U0001f600"', '""']
