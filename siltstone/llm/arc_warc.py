@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import kernels as K
-from siltstone.llm.tables import shared_dir, stored
+from siltstone.llm.tables import made, shared_dir, stored
 
 V1 = "URL IP-address Archive-date Content-type Archive-length"
 V2 = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
@@ -356,5 +356,5 @@ def pages_through_archives(pages: DataFrame, params: ArchiveParams | None = None
     import uuid
 
     p, spark = params or ArchiveParams(), pages.sparkSession
-    at = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    at = made(spark, f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}")
     return read_warc(spark, convert(spark, write_arc(pages, f"{at}/arc", p), f"{at}/warc", p))

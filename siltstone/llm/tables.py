@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +23,43 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "shared")).rstrip("/")
 
 
+_made: list[list[str]] = []
+
+
+def made(spark: SparkSession, path: str) -> str:
+    """Notes a folder that the innermost ``scratch`` is to delete."""
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to a new folder of the shared place and read again: lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = made(df.sparkSession, f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables of the operators called inside are deleted at the end: use their results inside, too.
+
+    An operator's result is lazy and reads its last intermediate tables when it is used, so only its caller knows when
+    they can go.
+    """
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            delete(spark, path)
+
+
 def with_text(df: DataFrame) -> DataFrame:
     """``doc_id`` as long and ``text`` without nulls; other columns, whatever their names, are left behind."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

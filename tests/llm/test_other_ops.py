@@ -9,6 +9,7 @@ import pytest
 
 from siltstone.llm import arc_warc, template_leaks, tool_links
 from siltstone.llm.components import components
+from siltstone.llm.tables import scratch, shared_dir, stored
 
 PAGES = [(1, "http://a/ b", "<p>x</p>"), (2, None, None), (3, "http://c", ""), (4, "http://d", "<p>x</p>"), (5, "http://e", "a\r\n\r\nWARC/1.1\r\n\r\nfiledesc://b"), (6, "http://f", "é" * 70_000), (0, "http://g", "<p>x</p>"), (None, "http://h", "<p>x</p>"), (4, "http://d", "<p>x</p>")]
 
@@ -314,7 +315,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     sizes = [docs.count()]
     for name, stage in C.STAGES[:-1]:
-        docs = C.stored(stage(spark, docs, sf), name)
+        docs = stored(stage(spark, docs, sf), name)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert docs.where("n_chars <> length(text)").count() == 0
         sizes.append(docs.count())
@@ -324,6 +325,18 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed} == kept
 
 
+def test_scratch_deletes_what_was_stored(spark):
+    import os
+
+    there = lambda: set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    df = spark.createDataFrame([(1, 2), (2, 3)], "u long, v long")
+    components(df).count()
+    before = there()
+    with scratch(spark):
+        assert components(df).count() == 3 and there() > before
+    assert there() == before
+
+
 def test_stages_on_awkward_rows(spark):
     """Nulls, empty and very long texts, repeated rows, clashing columns, and an empty table, through every stage."""
     import corpus_pipeline as C
