@@ -14,13 +14,14 @@ again before the next. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import line_windows, minhash_bayes, packing_gga, quality_llr, template_leaks
-from siltstone.llm.tables import stored, table
+from siltstone.llm.tables import delete, scratch, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,18 +61,24 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: Line windows, near-duplicate components and the evolved packing have no SQL form; tests hold the
-#: stages against brute force instead.
+#: Line windows, near-duplicate components and the evolved packing have no SQL form; the tests of the operators and of
+#: the stages hold each against brute force instead.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    """The last stage's rows. What a stage but the last wrote on its way is deleted when its own result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        with scratch(spark):
+            path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
