@@ -69,8 +69,8 @@ def folded(tokens: Column) -> Column:
 
 def _typed(tokens: Column, name: Callable[[Column], Column]) -> Column:
     def one(x: Column) -> Column:
-        first = F.substring(x, 1, 1)
-        return F.when(first == _NAME, name(x)).when(first == _UNIT, F.lit(_UNIT)).when((first >= "0") & (first <= "9"), F.lit("0")).otherwise(x)
+        first = F.ascii(x)
+        return F.when(first > 57, x).when(first == 1, name(x)).when(first == 2, F.lit(_UNIT)).when(first >= 48, F.lit("0")).otherwise(x)
 
     return F.transform(tokens, one)
 
@@ -83,10 +83,15 @@ def _is_slot(x: Column) -> Column:
     return x.isin(_NAME, _UNIT, "0")
 
 
-def window_hashes(tokens: Column, size: int) -> Column:
-    """array<struct<at, h>>: each window's place and hash; none for shorter texts."""
-    n = F.size(tokens) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i, size)).alias("h")))).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
+def codes(tokens: Column) -> Column:
+    """A number for each token, so that windows are hashed over numbers and every token's text once."""
+    return F.transform(tokens, lambda x: F.xxhash64(x))
+
+
+def window_hashes(codes: Column, size: int) -> Column:
+    """array<struct<size, at, h>>: each window's place and hash; none for shorter texts."""
+    n = F.size(codes) - size + 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.xxhash64(F.slice(codes, i, size)).alias("h")))).otherwise(F.array().cast("array<struct<size:int,at:int,h:bigint>>"))
 
 
 def item_windows(items: DataFrame, p: LeakParams) -> DataFrame:
@@ -100,7 +105,7 @@ def item_windows(items: DataFrame, p: LeakParams) -> DataFrame:
     b = b.where(F.size(F.filter("t", lambda x: ~_is_slot(x))) >= p.plain)
     # a window that tells enough by the template with names also does by the folded one
     total = b.groupBy("item_id").agg(F.count_if(~F.col("named")).alias("n_windows"), F.count_if("named").alias("n_named"))
-    return b.withColumn("h", F.xxhash64("t")).drop("t").join(total, "item_id")
+    return b.withColumn("h", F.xxhash64(codes(F.col("t")))).drop("t").join(total, "item_id")
 
 
 def _bounded(df: DataFrame, most: int, size: Column | int = 64) -> DataFrame:
@@ -117,11 +122,9 @@ def leaks(docs: DataFrame, items: DataFrame, params: LeakParams | None = None) -
     sizes = sorted(r["size"] for r in b.select("size").distinct().collect())  # at most window values
     probes = _bounded(b.select("size", "h").distinct(), p.broadcast_bytes)
     tokens = d.select("doc_id", "key", raw_tokens(F.col("text")).alias("raw"))
-    tokens = tokens.select("doc_id", "key", template(F.col("raw")).alias("t"), folded(F.col("raw")).alias("f"))
-    hits = None
-    for size in sizes or [p.window]:
-        one = tokens.select("doc_id", "key", F.explode(F.concat(window_hashes(F.col("t"), size), window_hashes(F.col("f"), size))).alias("w")).select("doc_id", "key", F.lit(size).alias("size"), "w.at", "w.h")
-        hits = one if hits is None else hits.unionByName(one)
+    tokens = tokens.select("doc_id", "key", codes(template(F.col("raw"))).alias("t"), codes(folded(F.col("raw"))).alias("f"))
+    windows = [window_hashes(F.col(k), size) for size in sizes or [p.window] for k in ("t", "f")]  # of all sizes in one pass
+    hits = tokens.select("doc_id", "key", F.explode(F.concat(*windows)).alias("w")).select("doc_id", "key", "w.size", "w.at", "w.h")
     hits = stored(hits.join(probes, ["size", "h"], "left_semi").distinct(), "hits")
 
     # second pass: the tokens of matched documents only
