@@ -186,8 +186,9 @@ def _softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, y: np.ndarray, grad
     largest one.
     """
     top = F32((bias + np.abs(w).sum(axis=0)).max())
-    p = h @ w
-    p += bias - top
+    one = np.empty((len(h), h.shape[1] + 1), F32)  # the bias is a weight of a constant input
+    one[:, :-1], one[:, -1] = h, 1
+    p = one @ np.vstack([w, bias - top])
     rows = np.arange(len(y))
     own = p[rows, y]
     np.exp(p, out=p)
@@ -199,12 +200,15 @@ def _softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, y: np.ndarray, grad
         own[low] = q[np.arange(len(low)), y[low]]
         p[low] = np.exp(q)
         total[low] = p[low].sum(axis=1)
-    if grad:
-        p *= (1 / total)[:, None]
-        p[rows, y] -= 1
-        grad[0][:] += h.T @ p
-        grad[1][:] += np.ones(len(y), F32) @ p
+    if grad:  # p / total - 1 at the target, with the division left to the narrow side of each product
+        p[rows, y] -= total
+        share = (1 / total)[:, None]
+        one *= share
+        got = one.T @ p
+        grad[0][:] += got[:-1]
+        grad[1][:] += got[-1]
         np.matmul(p, w.T, out=back)
+        back *= share
     return own - np.log(total)
 
 

@@ -111,6 +111,17 @@ class Lexicon:
     n: int
     v: int
 
+    def __post_init__(self) -> None:
+        some = self.symbol >= 0
+        self.few, self.few_symbol = self.h[some], self.symbol[some]
+
+    def few_symbols(self, h: np.ndarray, r: np.ndarray, frequent: int) -> np.ndarray:
+        """The network's symbols alone, from the small table of its frequent words."""
+        if not len(self.few):
+            return frequent + r
+        at = np.minimum(np.searchsorted(self.few, h), len(self.few) - 1)
+        return np.where(self.few[at] == h, self.few_symbol[at], frequent + r)
+
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each hash in the table, and whether it is there."""
         if not len(self.h):
@@ -173,7 +184,7 @@ def fit(docs: DataFrame, lex, freq: np.ndarray, rare: np.ndarray, p: LmParams) -
 
             for _, buf, off in K.chunks(batches, "text", p.chunk):
                 h, r, n = tokens(buf, off, shape.rare)
-                pooled.append((lex.value.symbols(h, r, shape.frequent)[0].astype(np.int16 if shape.symbols < 1 << 15 else np.int32), n))
+                pooled.append((lex.value.few_symbols(h, r, shape.frequent).astype(np.int16 if shape.symbols < 1 << 15 else np.int32), n))
                 seen += len(h)
                 if sum(len(x) for x, _ in pooled) > p.pool:
                     learn()
