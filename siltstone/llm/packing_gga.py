@@ -12,7 +12,8 @@ Individuals are groupings: the genes are bins. Crossover injects whole well-fill
 second parent into the first, removes the bins that hold a duplicate of an injected piece, and
 puts the displaced pieces back: first by swaps that fill a bin better (a piece of a bin for a larger displaced
 one), then by best fit, largest first. Mutation empties the worst bins. Evolution of a block ends early where it
-meets the lower bound, and an epoch after ``patience`` generations without a better child.
+meets the lower bound, and an epoch after ``patience`` generations without a better child, or when its children have put
+about ``work`` pieces into bins: a block of thousands, which best fit misses by a sequence or two, gets a short search.
 
 Blocks are independent, so work and memory are proportional to the pieces, whatever their keys;
 what a block loses against one global packing is at most one sequence in about ``block / 2``.
@@ -51,6 +52,7 @@ class PackParams:
     generations: int = 40
     patience: int = 12
     population: int = 8
+    work: int = 40_000
     well_filled: float = 0.97
     cache_words: int = 60_000
 
@@ -191,6 +193,8 @@ class Island:
         self.rng = np.random.default_rng(seed)
         self.bound = -(-sum(self.sizes) // cap)
         self.order = np.argsort(-sizes, kind="stable")
+        rounds = p.work // max(1, len(sizes))
+        self.generations, self.population = min(p.generations, max(4, rounds)), min(p.population, max(3, rounds // 2))
 
     def born(self, noise: float) -> list[list[int]]:
         """Best-fit decreasing of sizes with a little noise in the order."""
@@ -248,7 +252,7 @@ class Island:
         score = lambda x: fitness(self.free(x), self.cap)
         ranked = sorted(((score(x), k, x) for k, x in enumerate(population)), key=lambda y: (y[0], -y[1]), reverse=True)
         idle = 0
-        for _ in range(self.p.generations):
+        for _ in range(self.generations):
             if -ranked[0][0][0] <= self.bound or idle >= self.p.patience:
                 break
             a, b = self.rng.integers(0, len(ranked), 2)
@@ -259,7 +263,7 @@ class Island:
             if s > ranked[-1][0]:
                 ranked[-1] = (s, -1, child)
                 ranked.sort(key=lambda y: y[0], reverse=True)
-        return [x for _, _, x in ranked[: self.p.population]]
+        return [x for _, _, x in ranked[: self.population]]
 
 
 def _pack(bins: list[list[int]], n: int) -> bytes:
@@ -288,7 +292,7 @@ def evolve(state: DataFrame, epoch: int, p: PackParams) -> DataFrame:
                 sizes = np.frombuffer(r["sizes"], np.int32)
                 island = Island(sizes, p.length, hash((r["block"], r["island"], epoch)) & 0x7FFFFFFF, p)
                 pop = [_unpack(x) for x in r["population"]]
-                pop += [island.born(0.01 * (1 + r["island"] + k)) for k in range(len(pop), p.population)]
+                pop += [island.born(0.01 * (1 + r["island"] + k)) for k in range(len(pop), island.population)]
                 pop = island.evolve(pop)
                 bins, fill = fitness(island.free(pop[0]), p.length)
                 blobs = [_pack(x, len(sizes)) for x in pop]
