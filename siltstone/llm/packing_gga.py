@@ -54,7 +54,7 @@ class PackParams:
     population: int = 8
     work: int = 40_000
     well_filled: float = 0.97
-    cache_words: int = 60_000
+    cache_words: int = 120_000
 
 
 # ---------------------------------------------------------------- tokens
@@ -301,7 +301,7 @@ def evolve(state: DataFrame, epoch: int, p: PackParams) -> DataFrame:
     return state.select(*FIELDS).mapInArrow(run, STATE)
 
 
-def groupings(items: DataFrame, blocks: int, p: PackParams) -> DataFrame:
+def groupings(items: DataFrame, p: PackParams) -> DataFrame:
     """(block, elite, bins, first_bins): the packing of each block's items (block, num, length) in the order of num."""
 
     def first(t: pa.Table) -> pa.Table:
@@ -313,13 +313,12 @@ def groupings(items: DataFrame, blocks: int, p: PackParams) -> DataFrame:
 
     begun = stored(items.groupBy("block").applyInArrow(first, "block long, sizes binary, elite binary, bins long, fill double, bound long"), "groupings")
     state = begun.where("bins > bound").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(p.islands - 1)))).withColumn("population", F.array("elite")).select(*FIELDS)
-    for epoch in range(p.epochs):
+    todo = begun.where("bins > bound").count()
+    for epoch in range(p.epochs if todo else 0):
         if epoch:
             guest = state.select("block", F.pmod(F.col("island") + 1, F.lit(p.islands)).alias("island"), F.col("elite").alias("guest"))
             state = state.join(guest, ["block", "island"]).withColumn("population", F.concat(F.array("guest"), "population")).select(*FIELDS)
-        state = stored(evolve(state.repartition(max(1, min(p.islands * blocks, 100_000)), "block", "island"), epoch, p), "islands")
-        if not state.limit(1).count():
-            break
+        state = stored(evolve(state.repartition(min(p.islands * todo, 100_000), "block", "island"), epoch, p), "islands")
     every = begun.select("block", "bins", "fill", F.lit(-1).alias("island"), "elite").unionByName(state.select("block", "bins", "fill", "island", "elite"))
     best = every.groupBy("block").agg(F.min(F.struct("bins", (-F.col("fill")).alias("f"), "island", "elite")).alias("b"))
     return best.select("block", "b.elite", "b.bins").join(begun.select("block", F.col("bins").alias("first_bins")), "block")
@@ -334,7 +333,7 @@ def pack(docs: DataFrame, params: PackParams | None = None) -> DataFrame:
     loose = cut.where(F.col("length") < p.length)
     blocks = parts(spark, loose.count(), p.block)
     items = loose.withColumn("block", F.pmod(F.xxhash64("num"), F.lit(blocks).cast("long")))
-    best = groupings(items.select("block", "num", "length"), blocks, p).select("block", "elite")
+    best = groupings(items.select("block", "num", "length"), p).select("block", "elite")
 
     def place(t: pa.Table, winner: pa.Table) -> pa.Table:
         t = t.sort_by("num")

@@ -335,7 +335,7 @@ def test_islands_improve_on_best_fit(spark):
             sizes += [a, b - a, 1000 - b]
     items = spark.createDataFrame([(0, i, n) for i, n in enumerate(sizes)], "block long, num long, length long")
     p = packing_gga.PackParams(length=1000)
-    r = packing_gga.groupings(items, 1, p).first()
+    r = packing_gga.groupings(items, p).first()
     assert r.first_bins > 103 and r.bins <= 101
     where = np.frombuffer(r.elite, np.int32)
     assert len(where) == 300 and np.bincount(where, weights=sizes).max() <= 1000 and len(set(where.tolist())) == r.bins
