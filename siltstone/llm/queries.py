@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import arc_warc, hash_tree, line_windows, lm_gru, minhash_bayes, packing_gga, quality_llr, surrogates, template_leaks, tool_links
+from siltstone.llm import arc_warc, hash_tree, lexical_search, license_scan, line_windows, lm_gru, merkle, minhash_bayes, packing_gga, quality_llr, surrogates, template_leaks, tool_links
 from siltstone.llm.tables import table
 
 
@@ -57,8 +57,20 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_report(table(spark, sf_dir, "documents"))
+
+
+def op13_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_surrogates, op2_quality_llr, op3_lm_gru, op4_tool_links, op5_arc_warc, op6_packing_gga, op7_template_leaks, op8_minhash_bayes, op9_line_windows, op10_hash_tree)}
+    return {f.__name__: f for f in (op1_surrogates, op2_quality_llr, op3_lm_gru, op4_tool_links, op5_arc_warc, op6_packing_gga, op7_template_leaks, op8_minhash_bayes, op9_line_windows, op10_hash_tree, op11_lexical_search, op12_merkle_paths, op13_license_diagonals)}
 
 
 OP9_SQL = r"""
