@@ -3,22 +3,21 @@
 A document's leaf is the hash of its five columns. Leaves ascend by doc_id within their source and every ``ARITY``
 neighbours become their hash until one node is left, the source's subroot; subroots, by source, become the root in the same way.
 
-The tree is built in aligned blocks of ``BLOCK`` = ARITY^HEIGHT nodes, which no run of ``ARITY`` crosses at any level below the
+The tree is built in aligned blocks of ARITY^``height`` nodes (2187), which no run of ``ARITY`` crosses at any level below the
 block's own root:
 
 1. leaves are made in one pass over the texts and written (some 100 bytes a row: texts do not move), range-partitioned by
    source and doc_id, and numbered within their source by partition counts, so a source with most of the rows is
    spread like any other;
 2. each block of leaves gives its root; the roots of a source's blocks are the leaves of the next storey, and so on, each
-   storey ``BLOCK`` times smaller, then the sources likewise. A storey's blocks give each of their nodes its *path*: for each
+   storey a block's size smaller, then the sources likewise. A storey's blocks give each of their nodes its *path*: for each
    level the nodes of its run before and after it. Paths are joined downwards, one row for each block of leaves;
 3. a block of leaves meets its one path (a co-group by source and block) and is gone through once more. Every tampered leaf
    makes a *version* of the tree: it shares all nodes that are not above it and copies only its ancestors, first those
    within its block, then, along the block's path, those of the storeys above. The last copy is the version's root. A
    version is thus finished where its leaf is; no task sees the versions of more than one block.
 
-``versions`` returns the copied nodes themselves (from the leaf's parent up to the root). ``verify`` compares a dataset with
-a manifest that was written before.
+``versions`` returns the copied nodes themselves (from the leaf's parent up to the root).
 
 Defined results: a null column is hashed as ``-``; null source is a source of its own, before all others; rows with equal
 source and doc_id stand next to each other, ordered by their leaves, and a null doc_id stands before all others; it is never
@@ -39,8 +38,8 @@ from siltstone.llm import kernels as K
 from siltstone.llm.tables import stored
 
 ARITY = 3
+#: Levels of a block.
 HEIGHT = 7
-BLOCK = ARITY**HEIGHT
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 Hashes = list[bytes]
@@ -104,11 +103,11 @@ def joined(nodes: Hashes) -> bytes:
     return sha256(b"".join(nodes)).hexdigest().encode()
 
 
-def levels(nodes: Hashes, whole: bool) -> list[Hashes]:
-    """The levels of a block: ``nodes``, then their hashes, up to one; where the block is one of several (``whole``),
-    always HEIGHT storeys, since nodes remain beside it."""
-    out = [nodes]
-    while (len(out) <= HEIGHT) if whole else len(out[-1]) > 1:
+def levels(nodes: Hashes, total: int, height: int) -> list[Hashes]:
+    """The levels of a block: ``nodes``, then their hashes, up to one; where the block is one of several, since its group has
+    more nodes in all, always ``height`` storeys, since nodes remain beside it."""
+    out, several = [nodes], total > ARITY**height
+    while (len(out) <= height) if several else len(out[-1]) > 1:
         last = out[-1]
         out.append([joined(last[k : k + ARITY]) for k in range(0, len(last), ARITY)])
     return out
@@ -132,36 +131,46 @@ def _raw(text: bytes) -> bytes:
     return bytes.fromhex(text.decode())
 
 
-def _block_root(table: pa.Table) -> pa.Table:
-    t = table.sort_by("pos")
-    total = t.column("total")[0].as_py()
-    top = levels(_hex(t.column("node")), total > BLOCK)[-1][0]
-    return pa.table({"grp": t.column("grp").slice(0, 1), "pos": pa.array([t.column("pos")[0].as_py() // BLOCK]), "total": pa.array([-(-total // BLOCK)]), "node": pa.array([_raw(top)])})
+def _block_root(height: int):
+    size = ARITY**height
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.sort_by("pos")
+        total = t.column("total")[0].as_py()
+        top = levels(_hex(t.column("node")), total, height)[-1][0]
+        return pa.table({"grp": t.column("grp").slice(0, 1), "pos": pa.array([t.column("pos")[0].as_py() // size]), "total": pa.array([-(-total // size)]), "node": pa.array([_raw(top)])})
+
+    return run
 
 
 PATH = "array<struct<before:binary,after:binary>>"
 NODES = "grp string, pos bigint, total bigint, node binary"
 
 
-def _block_paths(table: pa.Table) -> pa.Table:
-    t = table.sort_by("pos")
-    total, pos = t.column("total")[0].as_py(), t.column("pos").to_pylist()
-    tree = levels(_hex(t.column("node")), total > BLOCK)
-    paths = [[{"before": _raw(a), "after": _raw(z)} for a, z in beside(tree, k)] for k in range(len(pos))]
+def _block_paths(height: int):
+    size = ARITY**height
     path_type = pa.list_(pa.struct([("before", pa.binary()), ("after", pa.binary())]))
-    n = len(pos)
-    return pa.table({"grp": t.column("grp"), "pos": t.column("pos"), "up": pa.array([p // BLOCK for p in pos]), "upper": pa.array([-(-total // BLOCK)] * n), "path": pa.array(paths, path_type), "node": pa.array([_raw(tree[-1][0])] * n)})
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.sort_by("pos")
+        total, pos = t.column("total")[0].as_py(), t.column("pos").to_pylist()
+        tree = levels(_hex(t.column("node")), total, height)
+        paths = [[{"before": _raw(a), "after": _raw(z)} for a, z in beside(tree, k)] for k in range(len(pos))]
+        n = len(pos)
+        return pa.table({"grp": t.column("grp"), "pos": t.column("pos"), "up": pa.array([x // size for x in pos]), "upper": pa.array([-(-total // size)] * n), "path": pa.array(paths, path_type), "node": pa.array([_raw(tree[-1][0])] * n)})
+
+    return run
 
 
-def climbed(nodes: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
+def climbed(nodes: DataFrame, what: str, height: int) -> tuple[DataFrame, DataFrame]:
     """``nodes`` (NODES, one row a node) up to one node for each grp: its rows (grp, node), and (grp, pos, path, node) of
     the nodes that began, ``node`` being the grp's last one."""
-    block = F.expr(f"pos div {BLOCK}").alias("up")
+    block = F.expr(f"pos div {ARITY**height}").alias("up")
     storeys, here = [], nodes
     while here.where("total > 1").limit(1).count():
-        done = stored(here.where("total > 1").groupBy("grp", block).applyInArrow(_block_paths, f"grp string, pos bigint, up bigint, upper bigint, path {PATH}, node binary"), what)
+        done = stored(here.where("total > 1").groupBy("grp", block).applyInArrow(_block_paths(height), f"grp string, pos bigint, up bigint, upper bigint, path {PATH}, node binary"), what)
         storeys.append(done)
-        here = done.where(f"pos % {BLOCK} = 0").select("grp", F.col("up").alias("pos"), F.col("upper").alias("total"), "node").unionByName(here.where("total = 1"))
+        here = done.where(f"pos % {ARITY**height} = 0").select("grp", F.col("up").alias("pos"), F.col("upper").alias("total"), "node").unionByName(here.where("total = 1"))
     tops = here.select("grp", "node")
     none = F.array().cast(PATH)
     if not storeys:
@@ -177,17 +186,17 @@ def climbed(nodes: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
     return tops, paths
 
 
-def manifest(rows: DataFrame) -> DataFrame:
+def manifest(rows: DataFrame, height: int = HEIGHT) -> DataFrame:
     """From numbered leaves, one row for each block of them: grp, block, path (to the root), subroot, root."""
-    block = F.expr(f"pos div {BLOCK}").alias("up")
+    block = F.expr(f"pos div {ARITY**height}").alias("up")
     base = rows.select("grp", "pos", "total", F.col("leaf").alias("node"))
-    roots = stored(base.groupBy("grp", block).applyInArrow(_block_root, NODES), "blocks")
-    subroots, own = climbed(roots, "storeys")
+    roots = stored(base.groupBy("grp", block).applyInArrow(_block_root(height), NODES), "blocks")
+    subroots, own = climbed(roots, "storeys", height)
     # the sources are the leaves of the last tree: one group of them all
     sources = numbered(subroots.select(F.lit("").alias("grp"), F.col("grp").alias("of"), "node"), [F.col("of").asc()], "sources")
     sources = stored(sources, "subroots")
-    tops, above = climbed(stored(sources.groupBy("grp", block).applyInArrow(_block_root, NODES), "tops"), "tops")
-    low = sources.groupBy("grp", block).applyInArrow(_block_paths, f"grp string, pos bigint, up bigint, upper bigint, path {PATH}, node binary")
+    tops, above = climbed(stored(sources.groupBy("grp", block).applyInArrow(_block_root(height), NODES), "tops"), "tops", height)
+    low = sources.groupBy("grp", block).applyInArrow(_block_paths(height), f"grp string, pos bigint, up bigint, upper bigint, path {PATH}, node binary")
     last = low.select("pos", "up", "path").join(above.select(F.col("pos").alias("up"), F.col("path").alias("rest"), F.col("node").alias("root")), "up")
     last = sources.select("of", "pos", F.col("node").alias("subroot")).join(last, "pos").select(F.col("of").alias("grp"), "subroot", "root", F.concat("path", "rest").alias("rest"))
     return stored(own.select("grp", F.col("pos").alias("up"), "path").join(last, "grp").select("grp", "up", F.concat("path", "rest").alias("path"), "subroot", "root"), "manifest")
@@ -196,7 +205,7 @@ def manifest(rows: DataFrame) -> DataFrame:
 VERSION = "source string, doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean, copied array<string>"
 
 
-def _versions(keep: bool):
+def _versions(keep: bool, height: int):
     def run(rows: pa.Table, paths: pa.Table) -> pa.Table:
         t = rows.sort_by("pos")
         if not t.num_rows:
@@ -205,7 +214,7 @@ def _versions(keep: bool):
         subroot, root = (paths.column(c)[0].as_py().hex() for c in ("subroot", "root"))
         tail = b"".join(a + z for a, z in path)
         nodes = _hex(t.column("leaf"))
-        tree = levels(nodes, t.column("total")[0].as_py() > BLOCK)
+        tree = levels(nodes, t.column("total")[0].as_py(), height)
         proofs, folded, copies = [], [], []
         for k, changed in enumerate(t.column("changed").to_pylist()):
             own = beside(tree, k)
@@ -227,19 +236,19 @@ def _versions(keep: bool):
 OUT = {"source": pa.string(), "doc_id": pa.int64(), "leaf": pa.string(), "subroot": pa.string(), "root": pa.string(), "proof_sha256": pa.string(), "folded_root": pa.string(), "verified": pa.bool_(), "copied": pa.list_(pa.string())}
 
 
-def versions(docs: DataFrame, tampered: Column | None = None, taken: Column | None = None, keep_copies: bool = True) -> DataFrame:
+def versions(docs: DataFrame, tampered: Column | None = None, taken: Column | None = None, keep_copies: bool = True, height: int = HEIGHT) -> DataFrame:
     """One row for each document (VERSION): leaf, proof and roots of the tree of ``docs``; and, where ``taken``, the root of
     the version in which its text is ``tampered``, with the nodes copied for it from the leaf's parent to the root."""
     K.small_batches(docs.sparkSession)
     made = stored(leaves(docs, tampered, taken), "leaves")
     rows = numbered(made, [F.col("doc_id").asc_nulls_first(), F.col("leaf").asc(), F.col("seq").asc()], "ranged")
-    rows = stored(rows.withColumn("up", F.expr(f"pos div {BLOCK}")).drop("seq"), "numbered")
-    blocks = manifest(rows)
-    return rows.groupBy("grp", "up").cogroup(blocks.groupBy("grp", "up")).applyInArrow(_versions(keep_copies), VERSION)
+    rows = stored(rows.withColumn("up", F.expr(f"pos div {ARITY**height}")).drop("seq"), "numbered")
+    blocks = manifest(rows, height)
+    return rows.groupBy("grp", "up").cogroup(blocks.groupBy("grp", "up")).applyInArrow(_versions(keep_copies, height), VERSION)
 
 
-def tamper_report(docs: DataFrame) -> DataFrame:
+def tamper_report(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified: with the tampering of ``without_line_ends``."""
     text = without_line_ends()
-    done = versions(docs, text, text.isNotNull(), keep_copies=False)
+    done = versions(docs, text, text.isNotNull(), keep_copies=False, height=height)
     return done.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")

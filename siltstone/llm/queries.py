@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import arc_warc, hash_tree, lexical_search, license_scan, line_windows, lm_gru, merkle, minhash_bayes, packing_gga, quality_llr, surrogates, template_leaks, tool_links
+from siltstone.llm import arc_warc, hash_tree, lexical_search, license_scan, line_windows, lm_gru, merkle, minhash_bayes, oracles, packing_gga, quality_llr, surrogates, template_leaks, tool_links
 from siltstone.llm.tables import table
 
 
@@ -132,4 +132,4 @@ FROM r WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.conv_id = r.conv_id AND k.call_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_tool_links": OP4_SQL, "op9_line_windows": OP9_SQL}
+    return {"op4_tool_links": OP4_SQL, "op9_line_windows": OP9_SQL, "op11_lexical_search": oracles.OP11_SQL, "op12_merkle_paths": oracles.OP12_SQL, "op13_license_diagonals": oracles.op13_sql()}
