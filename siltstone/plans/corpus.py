@@ -130,7 +130,7 @@ def texts(table: DataFrame, *key: str) -> DataFrame:
     chosen = F.element_at(F.array(*[F.lit(t.text) for t in TEMPLATES]), (F.pmod(F.col(key[0]), F.lit(COUNT)) + 1).cast("int"))
     name = F.concat_ws("-", *[F.col(k).cast("string") for k in key])
     file = F.concat(name, F.lit(".txt"))
-    return table.select(file.alias("path"), F.array(file).alias("path_key"), file.alias("file"), F.lit("texts").alias("package"), file.alias("name"), F.lit("txt").alias("ext"), F.concat_ws("\n", F.col("text").cast("string"), chosen).alias("text"), F.lit(False).alias("locked"))
+    return spread(table.select(*key, "text")).select(file.alias("path"), F.array(file).alias("path_key"), file.alias("file"), F.lit("texts").alias("package"), file.alias("name"), F.lit("txt").alias("ext"), F.concat_ws("\n", F.col("text").cast("string"), chosen).alias("text"), F.lit(False).alias("locked"))
 
 
 def _q(s: str) -> str:

@@ -3,6 +3,9 @@
 A row is a file all the way: its lines, its syntax facts and the hits of every asked-for check are arrays of that
 row, and one explode at the end makes findings of the hits. So the source is read once, a file is parsed once
 (and not at all where no check asks for its syntax), lines are never copied into rows of their own, and nothing shuffles.
+
+Line rules only see lines that hold one of the literals they need (``functions.literals``): one pass over the text finds
+them, and a text without any is never cut into lines.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone import schema
+from siltstone.functions import literals as L
 from siltstone.functions import text as T
 from siltstone.functions.facts import facts
 from siltstone.operators import manifest_rules as M
@@ -48,15 +52,60 @@ def _hit(part: Column, at: Column, emit: Column, line: Column, variant: Column,
     return F.struct(*[v.cast("int").alias(k) for k, v in whole.items()], code.alias("code"), (F.lit(None) if extra is None else extra).cast("string").alias("extra"), source.alias("source"))
 
 
+#: Up to so many literals are looked for one by one in the JVM; more, in one pass over the bytes in Python.
+FEW = 12
+
+
 def _numbered(lines: Column) -> Column:
-    """Lines with what the rules look at, worked out once."""
-    return F.transform(lines, lambda x, i: F.struct((i + 1).alias("no"), x.alias("line"), T.trim(x).alias("trim"), F.lower(x).alias("lower"), T.live(x).alias("live")))
+    """L.LINES with what the rules look at, worked out once."""
+    return F.transform(lines, lambda x: F.struct(x["no"].alias("no"), x["line"].alias("line"), T.trim(x["line"]).alias("trim"), F.lower(x["line"]).alias("lower"), T.live(x["line"]).alias("live")))
+
+
+def _literals(checks: set[str]) -> tuple[L.Literal, ...] | None:
+    """What any line that a line rule of ``checks`` fires on holds one of; None if a rule asks for nothing that can be named."""
+    conditions = [v.when for c in TEXT_CHECKS if c.check in checks for g in c.groups for v in g]
+    if "check_decode_exec_chains" in checks:
+        conditions += [R.Rx(DECODE), R.Rx(EXECUTE)]
+    found = [L.required(c) for c in conditions]
+    return None if any(f is None for f in found) else L.least(frozenset().union(*found))
+
+
+def _all_lines() -> Column:
+    return F.transform(T.split_lines(F.col("text")), lambda x, i: F.struct((i + 1).cast("int").alias("no"), x.alias("line")))
+
+
+def _rows(checks: set[str]) -> Column:
+    """The lines that the rules have to look at: all of manifests, of ``.pth`` files and of files whose facts name lines or an
+    alias of lxml; else those with a literal."""
+    no: list[Column] = []
+    if "check_pth_startup_hooks" in checks:
+        no.append(F.col("ext") == "pth")
+    if checks & {"check_dependency_cve", "check_unbounded_pins"}:
+        no.append(F.col("name").isin(*M.MANIFESTS))
+    whole = reduce(lambda a, b: a | b, no, F.lit(False))
+    known = _literals(checks)
+    named = (F.size("facts.session_lines") > 0) | F.col("facts.lxml").isNotNull() if checks & {"check_ssrf", "check_xxe"} else F.lit(False)
+    if known is None:
+        return _all_lines()
+    if len(known) > FEW:
+        return F.when(named, _all_lines()).otherwise(L.candidates(known, F.col("text"), whole))
+    none = F.array().cast(L.LINES)
+    if not known:
+        return F.when(whole | named, _all_lines()).otherwise(none)
+    few = F.when(L.holds(known, F.col("text")), F.filter(_all_lines(), lambda x: L.holds(known, x["line"]))).otherwise(none)
+    return F.when(whole | named, _all_lines()).otherwise(few)
 
 
 def _source(line: Column) -> Column:
+    """A line that an event names."""
     return F.try_element_at("lines", line.cast("int"))
 
 
+def _row(no: Column) -> Column:
+    """One of ``rows`` by its number."""
+    return F.element_at(F.filter("rows", lambda x: x["no"] == no), 1)
+
+
 def _line_rules(checks: set[str]) -> Column:
     trojan = [number(v) for k in TEXT_CHECKS if k.check == "check_trojan_source" for g in k.groups for v in g]
     weak = [number(v) for k in TEXT_CHECKS if k.check == "check_weak_tls_version" for g in k.groups for v in g]
@@ -108,7 +157,7 @@ def _chains() -> Column:
 
     pairs = F.aggregate("rows", start, step, lambda acc: acc["out"])
     text = lambda c: F.concat(F.lit("decode at line "), c["a"].cast("string"), F.lit(", exec at line "), c["b"].cast("string"))
-    hits = F.transform(pairs, lambda c: _hit(F.lit(1), c["b"], F.lit(0), c["b"], F.lit(number(CHAIN)), text(c), _source(c["b"])))
+    hits = F.transform(pairs, lambda c: _hit(F.lit(1), c["b"], F.lit(0), c["b"], F.lit(number(CHAIN)), text(c), _row(c["b"])["line"]))
     return F.when(F.exists("rows", lambda x: decode(x)), hits)
 
 
@@ -118,7 +167,7 @@ def _pth() -> Column:
 
 
 def _cve() -> Column:
-    found = F.transform(M.vulnerable_lines(), lambda x: _hit(F.lit(1), x["ord"], F.lit(0), x["line"], F.lit(number(M.CVE)), T.trim(_source(x["line"])), _source(x["line"]), x["detail"]))
+    found = F.transform(M.vulnerable_lines(), lambda x: _hit(F.lit(1), x["ord"], F.lit(0), x["line"], F.lit(number(M.CVE)), _row(x["line"])["trim"], _row(x["line"])["line"], x["detail"]))
     return F.when(F.col("name").isin(*M.MANIFESTS), found)
 
 
@@ -148,9 +197,10 @@ def scan(files: DataFrame, checks: list[str] | None = None) -> DataFrame:
     for check, hits in (("check_decode_exec_chains", _chains), ("check_pth_startup_hooks", _pth), ("check_dependency_cve", _cve), ("check_unbounded_pins", _pins)):
         if check in wanted:
             parts.append(hits())
-    f = files.withColumn("lines", T.split_lines(F.col("text"))).withColumn("rows", _numbered(F.col("lines")))
+    f = files
     if wanted & (_FACT_CHECKS | {c for c, _ in AST_CHECKS}):
-        f = f.withColumn("facts", facts(F.col("text"), F.col("ext")))
+        f = f.withColumn("facts", facts(F.col("text"), F.col("ext"))).withColumn("lines", F.when(F.size("facts.events") > 0, T.split_lines(F.col("text"))))
+    f = f.withColumn("rows", _rows(wanted)).withColumn("rows", _numbered(F.col("rows")))
     none = F.array().cast(HIT)
     found = f.select(*_FILE, F.explode(F.concat(*[F.coalesce(x, none) for x in parts])).alias("hit")).select(*_FILE, "hit.*")
     found = found.join(F.broadcast(_variants(files)), "variant")
