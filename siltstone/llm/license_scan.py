@@ -1,7 +1,9 @@
 """Operator 13, license scans by diagonal voting. DataFrame functions only.
 
-Words are runs of digits, ASCII letters (A-Z folded) and characters beyond ASCII. Every window of ``gram`` words of every
-text is hash-joined with the windows of the templates; a hit at word p of the text and word q of a template votes for
+Words are runs of digits, ASCII letters (A-Z folded) and characters beyond ASCII. Texts are cut into words once; what is needed
+later is written: the number of words, the places of phrases, and the words themselves of texts that can have a hit at all
+(every window of a template holds one of ``covering_words``; a text without any of those has no window to join). Every window of
+``gram`` words of these texts is hash-joined with the windows of the templates; a hit at word p of the text and word q of a template votes for
 the diagonal p - q. Votes are counted by (document, template, diagonal), with partial sums before the only shuffle, which
 hits alone pass through. Diagonals of a document and template that lie at most ``gap`` apart are merged: words put in or left out
 move the rest of a copy to a neighbouring diagonal. A merged group wider than ``width`` (a text that repeats itself with a
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.tables import stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The phrases of the base labels.
@@ -43,7 +46,8 @@ TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed"),
+    ("apache-2.0", "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version"),
     ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version"),
@@ -52,7 +56,7 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
-    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
@@ -71,8 +75,17 @@ class ScanParams:
     broadcast_bytes: int = 32 << 20
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+def folded(text: Column) -> Column:
+    """A-Z in lower case. Other letters change case too, which no comparison sees, since templates and phrases are ASCII:
+    only the Kelvin sign would become an ASCII letter, so another letter stands for it."""
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
+
+
+def words(parts: Column) -> Column:
+    """Of a text split at BETWEEN: without the empty parts at its ends."""
+    first = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
+    last = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    return F.slice(parts, first + 1, F.size(parts) - first - last)
 
 
 def template_words(text: str) -> list[str]:
@@ -81,15 +94,17 @@ def template_words(text: str) -> list[str]:
     return re.findall(WORD, text.translate(fold))
 
 
-def grams(of: Column, size: int) -> Column:
-    """A hash of each ``size`` words in a row, in order: hashes of spans of doubling length, put side by side."""
-    n = F.size(of)
-    out, have = F.transform(of, lambda x: F.xxhash64(x)), 1  # noqa: PLW0108
+def with_grams(df: DataFrame, size: int) -> DataFrame:
+    """``w`` replaced by ``grams``: a hash of each ``size`` words in a row, in order, from hashes of spans of doubling length.
+    A step is a projection of its own, so that nothing is worked out twice."""
+    rest = [c for c in df.columns if c != "w"]
+    out, have = df.select(*rest, F.transform("w", lambda x: F.xxhash64(x)).alias("grams")), 1  # noqa: PLW0108
     while have < size:
         step = min(have, size - have)
-        rest = F.greatest(F.size(out) - step, F.lit(0))
-        out, have = F.zip_with(F.slice(out, 1, rest), F.slice(out, step + 1, rest), lambda a, b: F.xxhash64(a, b)), have + step
-    return F.when(n >= size, out).otherwise(F.array().cast("array<bigint>"))
+        left = F.greatest(F.size("grams") - step, F.lit(0))
+        out = out.select(*rest, F.zip_with(F.slice("grams", 1, left), F.slice("grams", step + 1, left), lambda a, b: F.xxhash64(a, b)).alias("grams"))
+        have += step
+    return out
 
 
 def template_grams(spark, p: ScanParams) -> DataFrame:
@@ -97,8 +112,23 @@ def template_grams(spark, p: ScanParams) -> DataFrame:
     rows = [(t, template_words(text)) for t, (_, text) in enumerate(p.templates)]
     if short := [p.templates[t][0] for t, w in rows if len(w) < p.gram]:
         raise ValueError(f"templates with fewer than {p.gram} words: {', '.join(short)}")
-    table = spark.createDataFrame(rows, "t int, words array<string>")
-    return table.select("t", F.posexplode(grams(F.col("words"), p.gram)).alias("q", "h"))
+    table = spark.createDataFrame(rows, "t int, w array<string>")
+    return with_grams(table, p.gram).select("t", F.posexplode("grams").alias("q", "h"))
+
+
+def covering_words(p: ScanParams) -> list[str]:
+    """Words of which every window of every template has one: those in most of the windows that are left, long ones first."""
+    open_ = {tuple(w[q : q + p.gram]) for _, text in p.templates for w in [template_words(text)] for q in range(len(w) - p.gram + 1)}
+    out = []
+    while open_:
+        count: dict[str, int] = {}
+        for g in open_:
+            for x in set(g):
+                count[x] = count.get(x, 0) + 1
+        best = max(count, key=lambda x: (min(len(x), 8) ** 4 * count[x], x))
+        out.append(best)
+        open_ = {g for g in open_ if best not in g}
+    return sorted(out)
 
 
 def _sized(df: DataFrame, bytes_a_row: int, most: int) -> DataFrame:
@@ -109,19 +139,26 @@ def _sized(df: DataFrame, bytes_a_row: int, most: int) -> DataFrame:
 KEY = ("doc_id", "f")
 
 
-def _documents(docs: DataFrame) -> DataFrame:
+def tokenised(docs: DataFrame, p: ScanParams) -> DataFrame:
+    """(doc_id, f, n_words, places, w): ``f`` is a hash of the text; ``w`` are the words of texts that a window of a template may
+    stand in, else null."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("f"), text.alias("text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("f"), folded(text).alias("folded"))
+    d = d.select(*KEY, "folded", F.split("folded", BETWEEN).alias("parts")).select(*KEY, "folded", words(F.col("parts")).alias("w"))
+    some = F.arrays_overlap("w", F.array(*[F.lit(x) for x in covering_words(p)]))
+    return d.select(*KEY, F.size("w").cast("long").alias("n_words"), base(F.col("w"), F.col("folded"), p.phrases).alias("places"), F.when(some, F.col("w")).alias("w"))
 
 
 def _same(left: str, right: str) -> Column:
     return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}.f") == F.col(f"{right}.f"))
 
 
-def hits(docs: DataFrame, p: ScanParams) -> DataFrame:
-    """(doc_id, f, t, p, q): template windows found in texts, once for rows that are equal."""
-    known = _sized(stored(template_grams(docs.sparkSession, p), "grams"), 64, p.broadcast_bytes)
-    mine = _documents(docs).select(*KEY, F.posexplode(grams(words(F.col("text")), p.gram)).alias("p", "h"))
+def hits(texts: DataFrame, p: ScanParams) -> DataFrame:
+    """(doc_id, f, t, p, q): template windows found in ``tokenised`` texts, once for rows that are equal."""
+    known = _sized(stored(template_grams(texts.sparkSession, p), "grams"), 64, p.broadcast_bytes)
+    mine = with_grams(texts.where("w IS NOT NULL").select(*KEY, "w"), p.gram)
+    # the outer form: for the other, the planner asks for the array's size first, and works the hashes out once more for that
+    mine = mine.select(*KEY, F.posexplode_outer("grams").alias("p", "h"))
     return mine.join(known, "h").select(*KEY, "t", "p", "q").distinct()
 
 
@@ -144,14 +181,15 @@ def _coverage(template: Column, diagonals: Column) -> Column:
     return n / F.size(template)
 
 
-def verified(docs: DataFrame, merged: DataFrame, p: ScanParams) -> DataFrame:
-    """(doc_id, f, found): for each document with a group, its (t, coverage) pairs."""
-    spark = docs.sparkSession
+def verified(texts: DataFrame, merged: DataFrame, p: ScanParams) -> DataFrame:
+    """(doc_id, f, label, coverage): a row for each group, of documents with any."""
+    spark = texts.sparkSession
     table = F.broadcast(spark.createDataFrame([(t, label, template_words(text)) for t, (label, text) in enumerate(p.templates)], "t int, label string, template array<string>"))
     per = stored(merged.groupBy(*KEY).agg(F.collect_list(F.struct("t", "diagonals")).alias("gs")), "groups")
     size = per.agg(F.sum(F.expr("40 + aggregate(gs, 0L, (a, g) -> a + 32 + 4 * size(g.diagonals))"))).first()[0] or 0
-    texts = _documents(docs).alias("a").join((F.broadcast(per) if size <= p.broadcast_bytes else per).alias("b"), _same("a", "b")).select("a.*", "b.gs")
-    once = texts.dropDuplicates(list(KEY)).select(*KEY, words(F.col("text")).alias("w"), F.explode("gs").alias("g"))
+    mine = texts.where("w IS NOT NULL").select(*KEY, "w").alias("a")
+    mine = mine.join((F.broadcast(per) if size <= p.broadcast_bytes else per).alias("b"), _same("a", "b")).select("a.*", "b.gs")
+    once = mine.dropDuplicates(list(KEY)).select(*KEY, "w", F.explode("gs").alias("g"))
     once = once.join(table, F.col("g.t") == F.col("t"))
     return once.select(*KEY, "label", _coverage(F.col("template"), F.col("g.diagonals")).alias("coverage"))
 
@@ -180,14 +218,12 @@ def _all(parts: list[Column]) -> Column:
 def license_report(docs: DataFrame, params: ScanParams | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row for each document."""
     p = params or ScanParams()
-    merged = stored(groups(hits(docs, p), p), "diagonals")
-    per = verified(docs, merged, p).groupBy(*KEY).agg(F.max("coverage").alias("coverage"), F.collect_set(F.when(F.col("coverage") >= p.least, F.col("label"))).alias("more"))
+    texts = stored(tokenised(docs, p), "words")
+    merged = stored(groups(hits(texts, p), p), "diagonals")
+    per = verified(texts, merged, p).groupBy(*KEY).agg(F.max("coverage").alias("coverage"), F.collect_set(F.when(F.col("coverage") >= p.least, F.col("label"))).alias("more"))
     per = stored(per, "labels")
     size = per.agg(F.sum(F.expr("48 + 24 * size(more)"))).first()[0] or 0
-    d = _documents(docs)
-    folded = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    d = d.select(*KEY, folded.alias("folded")).select(*KEY, "folded", F.regexp_extract_all("folded", F.lit(WORD), F.lit(0)).alias("w"))
-    d = d.select(*KEY, F.size("w").cast("long").alias("n_words"), base(F.col("w"), F.col("folded"), p.phrases).alias("places"))
+    d = texts.drop("w")
     d = d.alias("a").join((F.broadcast(per) if size <= p.broadcast_bytes else per).alias("b"), _same("a", "b"), "left").select("a.*", "b.coverage", "b.more")
     own = F.array_sort(F.array_distinct("places.label"))
     both = F.array_sort(F.array_union(own, F.coalesce("more", F.array().cast("array<string>"))))
