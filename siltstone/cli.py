@@ -9,11 +9,10 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from siltstone import __version__
-from siltstone.operators import post
-from siltstone.plans import report
-from siltstone.plans.pipeline import ScanConfig, run
-from siltstone.sources import discovery
-from siltstone.sources.tree import read_tree
+from siltstone.plans import baselines, report
+from siltstone.plans.pipeline import ScanConfig, passes, run
+from siltstone.sources import discovery, listing
+from siltstone.sources.tree import read_tree, tree_files
 
 
 def parser() -> argparse.ArgumentParser:
@@ -31,6 +30,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--test-paths", nargs="+", default=[], metavar="DIR", help="further names of test directories")
     p.add_argument("--baseline", type=Path, help="report only what this snapshot does not have")
     p.add_argument("--write-baseline", type=Path, help="write a snapshot and exit with 0")
+    p.add_argument("--baseline-table", metavar="TABLE", help="report only what this table of fingerprints does not have")
+    p.add_argument("--write-baseline-table", metavar="TABLE", help="write a table of fingerprints and exit with 0")
+    p.add_argument("--output", type=Path, metavar="FILE", help="write the report to a file")
+    p.add_argument("--gate-only", action="store_true", help="no report: stop at the first finding that fails the run")
     p.add_argument("--version", action="version", version=f"siltstone {__version__}")
     return p
 
@@ -55,28 +58,42 @@ def _main(args: argparse.Namespace, spark: SparkSession | None, cwd: Path) -> in
     if not packages:
         raise discovery.UsageError("error: there are no packages to scan")
     packages = discovery.select(packages, args.packages)
-    files = discovery.file_set(packages, loose, exclude, workspace)
-    if not args.quiet and not args.json:
-        print(f"\n  {'=' * 72}\n  siltstone: {len(packages)} packages, {sum(p.endswith('.py') for p in files)} files\n  {'=' * 72}\n")
     spark = spark or SparkSession.builder.appName("siltstone").getOrCreate()
+    files = listing.written(tree_files(spark, packages, loose, exclude, workspace), "files")
+    if not args.quiet and not args.json:
+        print(f"\n  {'=' * 72}\n  siltstone: {len(packages)} packages, {files.where(files.path.endswith('.py')).count()} files\n  {'=' * 72}\n")
     baseline = None
-    if args.baseline and not args.write_baseline:
+    if args.baseline_table and not args.write_baseline and spark.catalog.tableExists(args.baseline_table):
+        baseline = baselines.load(spark, args.baseline_table)
+    elif args.baseline and not args.write_baseline:
         try:
-            rows = report.baseline_rows(args.baseline.read_text("utf-8"))
+            with args.baseline.open("rb") as f:
+                f.read().decode("utf-8")
         except (OSError, UnicodeDecodeError) as e:
             raise discovery.UsageError(f"error: baseline {args.baseline} cannot be read: {e}") from e
-        baseline = spark.createDataFrame(rows, "cwe_id string, file string, code string")
+        baseline = baselines.read_json(spark, args.baseline.resolve().as_uri())
     config = ScanConfig(None, args.confidence_min.upper(), args.include_tests, tuple(args.test_paths), args.fail_on.upper())
-    result = run(read_tree(spark, files, workspace), config, baseline)
+    source = read_tree(spark, files, workspace)
+    if args.gate_only:
+        return 0 if passes(source, config, baseline) else 1
+    result = run(source, config, baseline)
     if args.write_baseline:
         try:
-            args.write_baseline.write_text(report.baseline_json(result.findings), "utf-8")
+            args.write_baseline.touch()
+            report.write_baseline(result.findings, str(args.write_baseline.resolve()))
         except OSError as e:
             raise discovery.UsageError(f"error: baseline {args.write_baseline} cannot be written: {e}") from e
+    if args.write_baseline_table:
+        baselines.save(result.findings, args.write_baseline_table)
     if args.json_lines:
         report.write_lines(result.findings, args.json_lines)
     else:
-        print((report.as_json if args.json else report.as_text)(result.findings, result.counters))
-    code = 0 if args.write_baseline else post.gate(result.findings, config.fail_on).first().exit_code
+        kind, write = ("json", report.write_json) if args.json else ("text", report.write_text)
+        path = str(args.output.resolve()) if args.output else report.temporary(result.findings, kind)
+        write(result.findings, result.counters, path)
+        if not args.output:
+            for piece in report.streamed(path):
+                print(piece, end="")
+            print()
     result.done()
-    return code
+    return 0 if args.write_baseline or args.write_baseline_table else result.exit_code(config.fail_on)

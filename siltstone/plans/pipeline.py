@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from siltstone import schema
 from siltstone.operators import post
 from siltstone.plans.scan import scan
+from siltstone.sources.listing import shared_folder
 
 
 @dataclass(frozen=True)
@@ -22,13 +25,21 @@ class ScanConfig:
 
 @dataclass
 class ScanResult:
+    """``findings`` are read from ``folder``, where the run has written them."""
+
     findings: DataFrame
-    cached: DataFrame
+    folder: str
     counters: dict[str, int] = field(default_factory=dict)
+    worst: int | None = None
+
+    def exit_code(self, fail_on: str = "HIGH") -> int:
+        return int(self.worst is not None and self.worst <= schema.SEVERITIES.index(fail_on))
 
     def done(self) -> None:
-        """The findings have been used: their cache can go."""
-        self.cached.unpersist()
+        """The findings have been used: their folder can go."""
+        spark = self.findings.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def classified(files: DataFrame, config: ScanConfig | None = None) -> DataFrame:
@@ -46,12 +57,23 @@ def kept(files: DataFrame, config: ScanConfig | None = None, baseline: DataFrame
 
 
 def run(files: DataFrame, config: ScanConfig | None = None, baseline: DataFrame | None = None) -> ScanResult:
-    """Findings and the counts of what was dropped. Detection runs once: its rows are cached for both, until ``done``."""
-    all_rows = classified(files, config).persist()
-    counts = {r.fate: r.n for r in all_rows.groupBy("fate").agg(F.count("*").alias("n")).collect()}
-    found = all_rows.where("fate = 'kept'").drop("fate")
-    old = 0
+    """Findings, the counts of what was dropped and the worst severity that was kept: one job, which detects, decides, writes what
+    stays and observes the counts on the way. Nothing is cached; reports read what was written."""
+    rows = classified(files, config)
     if baseline is not None:
-        old = post.in_baseline(found, baseline).count()
-        found = post.not_in_baseline(found, baseline)
-    return ScanResult(found, all_rows, {"baseline_suppressed": old, "nosec_suppressed": counts.get("nosec", 0), "test_suppressed": counts.get("test", 0)})
+        known = baseline.select(*post.FINGERPRINT).distinct().withColumn("known", F.lit(True))
+        rows = rows.join(known, list(post.FINGERPRINT), "left").withColumn("fate", F.when((F.col("fate") == "kept") & F.col("known"), "baseline").otherwise(F.col("fate"))).drop("known")
+    seen = Observation()
+    of = lambda fate: F.coalesce(F.sum(F.when(F.col("fate") == fate, 1)), F.lit(0)).alias(fate)
+    watched = rows.observe(seen, of("baseline"), of("nosec"), of("test"), F.min(F.when(F.col("fate") == "kept", F.col("sev_rank"))).alias("worst"))
+    kept_rows = watched.where("fate = 'kept'").drop("fate")
+    folder = f"{shared_folder(files.sparkSession)}/findings-{uuid.uuid4().hex}"
+    kept_rows.write.parquet(folder)
+    got = seen.get
+    return ScanResult(files.sparkSession.read.schema(kept_rows.schema).parquet(folder), folder, {f"{k}_suppressed": got[k] for k in ("baseline", "nosec", "test")}, got["worst"])
+
+
+def passes(files: DataFrame, config: ScanConfig | None = None, baseline: DataFrame | None = None) -> bool:
+    """Whether no finding is severe enough to fail; ends with the first one that is, and counts nothing."""
+    c = config or ScanConfig()
+    return kept(files, c, baseline).where(F.col("sev_rank") <= schema.SEVERITIES.index(c.fail_on)).limit(1).count() == 0

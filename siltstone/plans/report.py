@@ -1,81 +1,78 @@
-"""Reports of a run. Those for people or a single file bring the findings to the driver; ``write_lines`` does not."""
+"""Reports of a run, each written by the tasks that hold the findings (``sources.report_sink``) or as JSON lines."""
 
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
 from siltstone import schema
 from siltstone.operators import post
-from siltstone.plans.registry import VARIANTS
+from siltstone.sources.listing import shared_folder
+from siltstone.sources.report_sink import CHUNK, ReportSink, where
 
-RESET = "\x1b[0m"
-# Terminal colours of the severities.
-COLOURS = {"CRITICAL": "\x1b[1;31m", "HIGH": "\x1b[31m", "MEDIUM": "\x1b[33m", "LOW": "\x1b[34m", "INFO": "\x1b[37m"}
-HINT = "A finding that is no risk can be silenced by '# nosec [CWE-ID]' on its line; what is there already, by --write-baseline and --baseline."
 
+def _save(ordered: DataFrame, path: str, kind: str, counters: dict[str, int]) -> None:
+    ordered.sparkSession.dataSource.register(ReportSink)
+    ordered.write.format("siltstone_report").option("path", path).option("kind", kind).option("counters", json.dumps(counters)).mode("append").save()
 
-def _rows(ordered: DataFrame) -> Iterator[dict]:
-    """One partition at a time."""
-    return (r.asDict() for r in ordered.select(*schema.PUBLIC).toLocalIterator())
 
+def write_json(findings: DataFrame, counters: dict[str, int], path: str) -> None:
+    """One JSON document: the findings in report order, their number, and the counters that are not 0."""
+    _save(post.in_order(findings).select(*schema.PUBLIC), path, "json", counters)
 
-def as_json(findings: DataFrame, counters: dict[str, int]) -> str:
-    rows = list(_rows(post.in_order(findings)))
-    payload = {"findings": rows, "count": len(rows)} | {k: n for k, n in counters.items() if n}
-    if rows and not counters.get("baseline_suppressed") and not counters.get("nosec_suppressed"):
-        payload["suppression_hint"] = HINT
-    return json.dumps(payload, indent=2, ensure_ascii=False)
+
+def write_text(findings: DataFrame, counters: dict[str, int], path: str) -> None:
+    """The report for people: the most severe first, counts and covered ids at its end."""
+    _save(post.by_severity(findings).select(*schema.PUBLIC), path, "text", counters)
+
+
+def write_baseline(findings: DataFrame, path: str) -> None:
+    """The snapshot file: distinct fingerprints in order."""
+    _save(post.fingerprints(findings).orderBy(*post.FINGERPRINT), path, "baseline", {})
 
 
 def write_lines(findings: DataFrame, path: str) -> None:
-    """JSON lines in report order, a file for each part: for runs with more findings than anybody reads."""
+    """JSON lines in report order, a file for each part."""
     post.in_order(findings).select(*schema.PUBLIC).write.json(path)
 
 
-def _reference() -> list[str]:
-    """The ids that the checks cover, with the names of their findings."""
-    names: dict[str, str] = {}
-    for v in VARIANTS:
-        names.setdefault(v.cwe, v.cwe_name)
-    return ["Covered ids", *(f"{k:<9} {names[k]}" for k in sorted(names, key=lambda x: int(x[4:])))]
+def streamed(path: str) -> Iterator[str]:
+    """A document in pieces, deleted when it has been read."""
+    system, name = where(path)
+    with system.open_input_stream(name) as source:
+        rest = b""
+        while block := source.read(CHUNK):
+            whole = rest + block
+            cut = whole.rfind(b"\n") + 1 or len(whole)
+            yield whole[:cut].decode()
+            rest = whole[cut:]
+        yield rest.decode()
+    system.delete_file(name)
 
 
-def _notes(counters: dict[str, int]) -> list[str]:
-    texts = {"baseline_suppressed": "finding(s) that the baseline has already", "nosec_suppressed": "finding(s) silenced by # nosec", "test_suppressed": "finding(s) in test code left out, see --include-tests"}
-    return [f"  ({counters[k]} {t})" for k, t in texts.items() if counters.get(k)]
+def temporary(findings: DataFrame, kind: str) -> str:
+    return f"{shared_folder(findings.sparkSession)}/{kind}-{os.urandom(8).hex()}"
+
+
+def as_json(findings: DataFrame, counters: dict[str, int]) -> str:
+    path = temporary(findings, "json")
+    write_json(findings, counters, path)
+    return "".join(streamed(path))
 
 
 def as_text(findings: DataFrame, counters: dict[str, int]) -> str:
-    bar, line = "=" * 72, "─" * 72
-    rows = list(_rows(post.by_severity(findings)))
-    if not rows:
-        return "\n".join(["", f"  {bar}", "  RESULT: all checks passed, 0 findings", *_notes(counters), f"  {bar}", ""])
-    out = ["", f"  {bar}", f"  RESULT: {len(rows)} finding(s)", *_notes(counters), f"  {bar}", ""]
-    for r in rows:
-        out += [f"  {COLOURS[r['severity']]}[{r['severity']}/{r['confidence']}]{RESET} {r['cwe_id']} — {r['cwe_name']}", f"  File:    {r['file']}:{r['line']}"]
-        out += [f"  Package: {r['package']}"] if r["package"] else []
-        out += [f"  Code:    {r['code']}", f"  Detail:  {r['description']}"]
-        out += [f"  ZeroDay: {r['zero_day_relevance']}"] if r["zero_day_relevance"] else []
-        out.append("")
-    for labels, column, suffix in ((schema.SEVERITIES, "severity", ""), (schema.CONFIDENCES, "confidence", " confidence")):
-        out.append(f"  {line}")
-        for label in labels:
-            if n := sum(r[column] == label for r in rows):
-                colour = COLOURS[label] if column == "severity" else ""
-                out.append(f"  {colour}{n:>4} × {label}{suffix}{RESET if colour else ''}")
-    out += [f"  {line}", ""]
-    if not counters.get("baseline_suppressed") and not counters.get("nosec_suppressed"):
-        out += [f"  {HINT}", ""]
-    return "\n".join(out + _reference())
+    path = temporary(findings, "text")
+    write_text(findings, counters, path)
+    return "".join(streamed(path))
 
 
 def baseline_json(findings: DataFrame) -> str:
-    """The snapshot file: distinct fingerprints in order."""
-    rows = [[r.cwe_id, r.file, r.code] for r in post.fingerprints(findings).orderBy(*post.FINGERPRINT).toLocalIterator()]
-    return json.dumps({"fingerprints": rows}, indent=2, ensure_ascii=False) + "\n"
+    path = temporary(findings, "baseline")
+    write_baseline(findings, path)
+    return "".join(streamed(path))
 
 
 def baseline_rows(text: str) -> list[tuple[str, str, str]]:

@@ -28,6 +28,11 @@ def own_rule_file(path: str) -> bool:
     return any(parts[-len(p) :] == p for p in OWN_RULES)
 
 
+def in_scan(path: str, exclude: tuple[str, ...]) -> bool:
+    """Whether a file that is there is a source file to look at."""
+    return os.path.splitext(path)[1] == ".py" and "__pycache__" not in path and not any(x in path for x in exclude) and not own_rule_file(path)
+
+
 def python_files(root: str, recursive: bool = True, exclude: tuple[str, ...] = ()) -> list[str]:
     """The ``.py`` files at or below ``root``."""
     if os.path.isfile(root):
@@ -38,7 +43,7 @@ def python_files(root: str, recursive: bool = True, exclude: tuple[str, ...] = (
             if not recursive:
                 dirs.clear()
             found += [os.path.join(base, n) for n in names]
-    return sorted(p for p in found if os.path.splitext(p)[1] == ".py" and "__pycache__" not in p and not any(x in p for x in exclude) and not own_rule_file(p))
+    return sorted(p for p in found if in_scan(p, exclude))
 
 
 def has_python(directory: Path) -> bool:
