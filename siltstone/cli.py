@@ -6,9 +6,11 @@ import argparse
 import sys
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from siltstone import __version__
+from siltstone.operators import advisories
 from siltstone.plans import baselines, report
 from siltstone.plans.pipeline import ScanConfig, passes, run
 from siltstone.sources import discovery, listing
@@ -32,6 +34,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--write-baseline", type=Path, help="write a snapshot and exit with 0")
     p.add_argument("--baseline-table", metavar="TABLE", help="report only what this table of fingerprints does not have")
     p.add_argument("--write-baseline-table", metavar="TABLE", help="write a table of fingerprints and exit with 0")
+    p.add_argument("--advisories", metavar="FILE", help="CSV (with a head) or Parquet of dependency, introduced, fixed, advisory, in place of the built-in table")
+    p.add_argument("--fact-store", metavar="DIR", help="keep the facts of parsed files, by content, for the next run")
     p.add_argument("--output", type=Path, metavar="FILE", help="write the report to a file")
     p.add_argument("--gate-only", action="store_true", help="no report: stop at the first finding that fails the run")
     p.add_argument("--version", action="version", version=f"siltstone {__version__}")
@@ -72,7 +76,14 @@ def _main(args: argparse.Namespace, spark: SparkSession | None, cwd: Path) -> in
         except (OSError, UnicodeDecodeError) as e:
             raise discovery.UsageError(f"error: baseline {args.baseline} cannot be read: {e}") from e
         baseline = baselines.read_json(spark, args.baseline.resolve().as_uri())
-    config = ScanConfig(None, args.confidence_min.upper(), args.include_tests, tuple(args.test_paths), args.fail_on.upper())
+    advised = None
+    if args.advisories:
+        read = spark.read.parquet if args.advisories.endswith(".parquet") else spark.read.schema(advisories.SCHEMA).option("header", True).csv
+        try:
+            advised = read(args.advisories).select("dependency", "introduced", "fixed", "advisory")
+        except AnalysisException as e:
+            raise discovery.UsageError(f"error: advisories {args.advisories} cannot be read: {e}") from e
+    config = ScanConfig(None, args.confidence_min.upper(), args.include_tests, tuple(args.test_paths), args.fail_on.upper(), advised, args.fact_store)
     source = read_tree(spark, files, workspace)
     if args.gate_only:
         return 0 if passes(source, config, baseline) else 1

@@ -124,6 +124,49 @@ def files(documents: DataFrame) -> DataFrame:
     return d.select(path.alias("path"), F.split(path, "/").alias("path_key"), file.alias("file"), package.alias("package"), name.alias("name"), F.substring_index(name, ".", -1).alias("ext"), text.alias("text"), (F.pmod("doc_id", F.lit(3)) == 0).alias("locked"))
 
 
+def packages(documents: DataFrame) -> DataFrame:
+    """(package, root): a package for each row, its root three directories below the workspace /repo."""
+    d = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+    return d.select(F.expr("concat('p', doc_id)").alias("package"), F.expr("concat('/repo/pkg', doc_id % 5, '/g', doc_id % 37, '/d', doc_id)").alias("root"))
+
+
+def listing(documents: DataFrame) -> DataFrame:
+    """(dir, name) of manifests and lock files in the directories of ``packages`` and above them."""
+    d = documents.where("doc_id is not null").select(F.expr("CAST(doc_id AS long)").alias("doc_id"))
+    one = lambda where, name, there: f"named_struct('dir', concat({where}), 'name', {name}, 'there', {there})"
+    top, group = "'/repo/pkg', doc_id % 5", "'/repo/pkg', doc_id % 5, '/g', doc_id % 37"
+    each = (
+        one(f"{group}, '/d', doc_id", "element_at(array('pyproject.toml', 'uv.lock', 'notes.md'), CAST(doc_id % 3 + 1 AS int))", "doc_id % 11 < 3"),
+        one(group, "'requirements.txt'", "doc_id % 37 % 3 = 0"),
+        one(group, "'setup.py'", "doc_id % 37 % 6 = 0"),
+        one(group, "'poetry.lock'", "doc_id % 37 % 4 = 0"),
+        one(top, "'Pipfile'", "doc_id % 5 % 2 = 0"),
+        one(top, "'Pipfile.lock'", "doc_id % 5 = 4"),
+        one("'/repo'", "'pyproject.toml'", "true"),
+    )
+    found = F.expr(f"array({', '.join(each)})")
+    return d.select(F.explode(found).alias("f")).where("f.there").select("f.dir", "f.name").distinct()
+
+
+def requirements(documents: DataFrame) -> DataFrame:
+    """``schema.FILES`` of a requirements.txt for each row, with versions that follow from its number."""
+    d = spread(documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")))
+    text = F.expr("""concat('# ', doc_id, '\\nlib', doc_id % 7, '==', doc_id % 5, '.', doc_id % 11, '.', doc_id % 3, '\\nLIB', (doc_id + 3) % 9, ' >= ', doc_id % 4, '.', doc_id % 13, '.0',
+        '\\nlib', (doc_id + 1) % 9, '[extra]==1.0.0\\nlib', doc_id % 7, '==', (doc_id + 1) % 5, '.0.1\\n')""")
+    path = F.expr("concat('/repo/d', doc_id, '/requirements.txt')")
+    return d.select(path.alias("path"), F.split(path, "/").alias("path_key"), F.expr("concat('d', doc_id, '/requirements.txt')").alias("file"), F.lit("d").alias("package"), F.lit("requirements.txt").alias("name"), F.lit("txt").alias("ext"), text.alias("text"), F.lit(False).alias("locked"))
+
+
+def advisories(supplier: DataFrame) -> DataFrame:
+    """``advisories.SCHEMA``: one for each supplier; some without a lower or an upper bound, some with bounds that are none."""
+    return supplier.select(
+        F.expr("concat('lib', s_suppkey % 9)").alias("dependency"),
+        F.expr("CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN concat(s_suppkey % 3, '.', s_suppkey % 10, '.0') ELSE concat(s_suppkey % 2, '.0.', s_suppkey % 5) END").alias("introduced"),
+        F.expr("CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN concat(s_suppkey % 4, '.', s_suppkey % 12) ELSE concat(s_suppkey % 4 + 1, '.', s_suppkey % 12, '.2') END").alias("fixed"),
+        F.expr("concat('ADV-', s_suppkey)").alias("advisory"),
+    )
+
+
 def texts(table: DataFrame, *key: str) -> DataFrame:
     """``schema.FILES`` of the whole texts of a table, as plain text files named by its key (whole numbers), each followed
     by a template chosen by its first number."""

@@ -21,6 +21,8 @@ class ScanConfig:
     include_tests: bool = False
     test_paths: tuple[str, ...] = ()
     fail_on: str = "HIGH"
+    advisories: DataFrame | None = None
+    store: str | None = None
 
 
 @dataclass
@@ -47,7 +49,7 @@ def classified(files: DataFrame, config: ScanConfig | None = None) -> DataFrame:
     c = config or ScanConfig()
     quiet = F.lit(False) if c.include_tests else post.quiet_in_tests(c.test_paths)
     fate = F.when(post.suppressed(), "nosec").when(~post.confident(c.confidence_min), "confidence").when(quiet, "test").otherwise("kept")
-    return scan(files, c.checks).withColumn("fate", fate)
+    return scan(files, c.checks, c.advisories, c.store).withColumn("fate", fate)
 
 
 def kept(files: DataFrame, config: ScanConfig | None = None, baseline: DataFrame | None = None) -> DataFrame:

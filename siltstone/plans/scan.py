@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from siltstone import schema
 from siltstone.functions import literals as L
 from siltstone.functions import text as T
+from siltstone.functions.fact_store import with_facts
 from siltstone.functions.facts import facts
+from siltstone.operators import advisories as A
 from siltstone.operators import manifest_rules as M
 from siltstone.operators import rules as R
 from siltstone.operators.ast_rules import AST_CHECKS
@@ -184,11 +186,24 @@ def _variants(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "variant int, check_id string, check_ord int, cwe_id string, cwe_name string, severity string, confidence string, detail string, zero_day_relevance string")
 
 
-def scan(files: DataFrame, checks: list[str] | None = None) -> DataFrame:
-    """Findings of ``files`` (see ``schema.FILES``): the public columns, the order columns, ranks, and ``source``, the finding's line."""
+def _advised(files: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Hits of the caller's table of advisories."""
+    v = A.vulnerable(files, advisories)
+    hit = _hit(F.lit(1), F.col("ord"), F.lit(0), F.col("no"), F.lit(number(M.CVE)), T.trim(F.col("line")), F.col("line"), F.col("detail"))
+    return v.select(*_FILE, hit.alias("hit")).select(*_FILE, "hit.*")
+
+
+def scan(files: DataFrame, checks: list[str] | None = None, advisories: DataFrame | None = None, store: str | None = None) -> DataFrame:
+    """Findings of ``files`` (see ``schema.FILES``): the public columns, the order columns, ranks, and ``source``, the finding's line.
+
+    ``advisories`` (see ``operators.advisories``) replaces the built-in table of vulnerable dependencies, which is part of the plan;
+    ``store`` names a folder of facts by content (see ``functions.fact_store``)."""
     wanted = set(ORDER if checks is None else checks)
     if unknown := wanted - set(ORDER):
         raise ValueError(f"unknown checks: {', '.join(sorted(unknown))}")
+    advised = None
+    if advisories is not None and "check_dependency_cve" in wanted:
+        wanted, advised = wanted - {"check_dependency_cve"}, _advised(files, advisories)
     parts = []
     if wanted & {c.check for c in TEXT_CHECKS}:
         parts.append(_line_rules(wanted))
@@ -199,10 +214,13 @@ def scan(files: DataFrame, checks: list[str] | None = None) -> DataFrame:
             parts.append(hits())
     f = files
     if wanted & (_FACT_CHECKS | {c for c, _ in AST_CHECKS}):
-        f = f.withColumn("facts", facts(F.col("text"), F.col("ext"))).withColumn("lines", F.when(F.size("facts.events") > 0, T.split_lines(F.col("text"))))
+        f = with_facts(f, store) if store else f.withColumn("facts", facts(F.col("text"), F.col("ext")))
+        f = f.withColumn("lines", F.when(F.size("facts.events") > 0, T.split_lines(F.col("text"))))
     f = f.withColumn("rows", _rows(wanted)).withColumn("rows", _numbered(F.col("rows")))
     none = F.array().cast(HIT)
-    found = f.select(*_FILE, F.explode(F.concat(*[F.coalesce(x, none) for x in parts])).alias("hit")).select(*_FILE, "hit.*")
+    found = f.select(*_FILE, F.explode(F.concat(*[F.coalesce(x, none) for x in parts], none)).alias("hit")).select(*_FILE, "hit.*")
+    if advised is not None:
+        found = found.unionByName(advised) if parts else advised
     found = found.join(F.broadcast(_variants(files)), "variant")
     description = F.when(F.col("extra").isNull(), F.col("detail")).otherwise(F.concat_ws(" — ", "extra", "detail"))
     return found.select("cwe_id", "cwe_name", "severity", "confidence", "package", "file", "line", "code", description.alias("description"), "zero_day_relevance", "check_id", "path_key", "check_ord", "part", "at", "emit", "source", rank("severity", schema.SEVERITIES).alias("sev_rank"), rank("confidence", schema.CONFIDENCES).alias("conf_rank"))
