@@ -6,22 +6,27 @@ and personal names (after a form of address or a cue such as ``Name:``, or a kno
 word; then each later bare mention in the same text). What no title, cue or listed name tells stays.
 
 *Replacement* is a keyed permutation of the set of strings of the same form: a Feistel network over the
-mixed-radix number that a value's letters and digits spell, walked until it falls into the set. So two
-different values of one form never share a surrogate, and equal values share theirs everywhere, without
-any table. Letters go to letters of the same script, case and kind (vowel or consonant; other letters within their
+mixed-radix number that a value's letters and digits spell, walked until it falls into the set, puts them in a secret
+order, and each goes to the one a secret number of steps on. So two different values of one form never share a surrogate, no
+value is its own, and equal values share theirs everywhere, without any table. Letters go to letters of the same script, case and kind (vowel or consonant; other letters within their
 Unicode block), digits to digits of their script; punctuation stays. Cards keep their first digit, cards and IBANs how
 far their check digits are from the right ones, addresses stay public or private, e-mail hosts are replaced by themselves (one host, one
 surrogate) under the same top-level domain, listed given names go to other listed ones of the same gender and script
 (no name to itself), others keep their last letter, and a surname alone gets the surname it has beside a given name.
 
 *Collision check.* A surrogate that is itself a real value somewhere in the corpus would merge two people.
-All distinct real values are gathered (deduplicated in each task before the shuffle), surrogates that meet
-one, or another's surrogate, are drawn again with the next round's permutation, and a redrawn one must also miss every
-surrogate in use. The few exceptions are broadcast if counted to be at most ``broadcast_rows``; beyond that they are
+All distinct real values are gathered (deduplicated in each task before the shuffle); a surrogate that meets one is replaced by
+the first of ``rounds`` further draws that is no real value, nobody's first surrogate, and not also drawn for a value before it in
+order: all draws of all such values are looked up in one pass. A form can be too full for that (every address of
+192.168.0.0/16, all surnames of two letters): where real values take more than a quarter of it, and for a value all of whose
+draws are taken, the first surrogate stays. It is still another value than its own and nobody else's surrogate, but
+someone's real value; ``crowded`` lists those forms with their numbers. Listed given names are exchanged among themselves
+and take no part. The few exceptions are broadcast if counted to be at most ``broadcast_rows``; beyond that they are
 joined to the documents that hold them.
 
 Defined results: null text stays null and has no entities; rows with equal doc_id are treated alike, each on
-its own; other columns are carried; an empty table gives an empty result. The key never appears in the output.
+its own; other columns are carried; an empty table gives an empty result; a value without anything to exchange (``******``)
+is counted and stays as it is, since nothing can be told from it. The key never appears in the output.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from math import prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -108,28 +114,37 @@ def ascii_digits(value: str) -> str:
 
 
 class Permuter:
-    """Keyed permutations of the integers below a size."""
+    """Keyed permutations of the integers below a size, without fixed points."""
 
     def __init__(self, key: bytes):
         self.key = key
 
-    def permute(self, x: int, size: int, label: str) -> int:
-        if size < 2:
-            return x
+    def _steps(self, label: str, size: int, half: int, r: int, b: int) -> int:
+        d = hmac.digest(self.key, f"{label}|{size}|{r}|{b}".encode(), "sha256")
+        if half > 256:
+            d = hashlib.shake_256(d).digest(half // 8 + 1)
+        return int.from_bytes(d, "big") & ((1 << half) - 1)
+
+    def place(self, x: int, size: int, label: str, back: bool = False) -> int:
+        """The place of ``x`` in the secret order, or what stands at a place."""
         half = max(1, (size - 1).bit_length() + 1) // 2
-        mask = (1 << half) - 1
         while True:  # a power of four at most four times the size: few steps
-            a, b = x >> half, x & mask
-            for r in range(8):
-                d = hmac.digest(self.key, f"{label}|{size}|{r}|{b}".encode(), "sha256")
-                wide = int.from_bytes(d, "big")
-                if half > 256:
-                    wide = int.from_bytes(hashlib.shake_256(d).digest(half // 8 + 1), "big")
-                a, b = b, a ^ (wide & mask)
+            a, b = x >> half, x & ((1 << half) - 1)
+            for r in range(7, -1, -1) if back else range(8):
+                if back:
+                    a, b = b ^ self._steps(label, size, half, r, a), a
+                else:
+                    a, b = b, a ^ self._steps(label, size, half, r, b)
             x = a << half | b
             if x < size:
                 return x
 
+    def permute(self, x: int, size: int, label: str) -> int:
+        if size < 2:
+            return x
+        on = 1 + int.from_bytes(hmac.digest(self.key, f"{label}|{size}|on".encode(), "sha256"), "big") % (size - 1)
+        return self.place((self.place(x, size, label) + on) % size, size, label, back=True)
+
     def spell(self, text: str, label: str, sets: Callable[[str], str] = alphabet) -> str:
         """The permuted string of the same form; ``text`` in lower case."""
         used = [sets(c) for c in text]
@@ -148,6 +163,12 @@ class Permuter:
         return "".join(reversed(out))
 
 
+def shape(text: str, sets: Callable[[str], str] = alphabet) -> tuple[str, int]:
+    """The form that ``spell`` keeps, and how many strings have it."""
+    used = [sets(c) for c in text]
+    return "".join(f"{len(s)}{s[0]}" if s else c for c, s in zip(text, used, strict=True)), prod(len(s) for s in used if s)
+
+
 def luhn(digits: str) -> int:
     """The check digit that belongs after ``digits``."""
     total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits))))
@@ -206,10 +227,10 @@ class Surrogates:
             bits = _private(n)
             low = 32 - bits
             m = n & ((1 << low) - 1)
-            while True:
+            while True:  # all of the order is one round, so it comes to another address of the kind before it is back
                 m = p.permute(m, 1 << low, f"{label}|{n >> low if bits else ''}")
                 out = (n >> low << low if bits else 0) | m
-                if _private(out) == bits:
+                if _private(out) == bits and out != n:
                     break
             return ".".join(str(out >> s & 255) for s in (24, 16, 8, 0))
         if kind == "access":
@@ -220,6 +241,26 @@ class Surrogates:
             return p.spell(norm[:-1], label) + norm[-1]
         return p.spell(norm, label)
 
+    def form(self, kind: str, norm: str) -> tuple[str, int]:
+        """What a value shares with all that it can become, and how many those are."""
+        if kind == "email":
+            local, host = norm.rsplit("@", 1)
+            name, top = host.rsplit(".", 1)
+            (a, n), (b, m) = shape(local), shape(name)
+            return f"{a}@{b}.{top}", n * m
+        if kind == "ip":
+            n = 0
+            for o in norm.split("."):
+                n = n << 8 | int(o)
+            bits = _private(n)
+            return (f"{n >> (32 - bits)}/{bits}" if bits else "public"), 1 << (32 - bits)
+        if kind == "secret":
+            return shape(norm, lambda c: _HEX if c in _HEX else "")
+        head, tail = {"card": (1, 1), "phone": (max(0, len(norm) - 10), 0), "iban": (4, 0), "access": (4, 0), "given": (0, 1)}.get(kind, (0, 0))
+        form, size = shape(norm[head : len(norm) - tail])
+        kept = norm[:2] if kind == "iban" else norm[:head]
+        return f"{kept}|{form}|{norm[-1] if kind == 'given' else ''}", size
+
     def listed(self, name: str) -> str:
         """Another given name of the same gender and script: a keyed order of them, moved on by one."""
         if name not in self.names:
@@ -298,8 +339,11 @@ def rewrite(text: str, s: Surrogates, exceptions: dict[tuple[str, str], int]) ->
     return "".join([*out, text[at:]]), kinds
 
 
+REAL = "kind string, norm string, form string, size double, surrogate string"
+
+
 def real_values(docs: DataFrame, p: PiiParams) -> DataFrame:
-    """(kind, norm, surrogate): every distinct checked value of the corpus and its first surrogate."""
+    """REAL: every distinct value of the corpus that has a surrogate, its form, how many have that form, and its first surrogate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, seen = Surrogates(p.key), set()
@@ -312,43 +356,36 @@ def real_values(docs: DataFrame, p: PiiParams) -> DataFrame:
             seen |= new
             if len(seen) > 500_000:
                 seen = set()
-            rows = [(k, v, s.draw(k, v, 0)) for k, v in new]
+            rows = [(k, v, form, float(min(size, 1 << 1000)), s.draw(k, v, 0)) for k, v in new for form, size in [s.form(k, v)] if size > 1]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["kind", "norm", "surrogate"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()), strict=True)], ["kind", "norm", "form", "size", "surrogate"])
 
-    return docs.select("text").mapInArrow(run, "kind string, norm string, surrogate string").dropDuplicates(["kind", "norm"])
+    return docs.select("text").mapInArrow(run, REAL).dropDuplicates(["kind", "norm"])
+
+
+def crowded(real: DataFrame) -> DataFrame:
+    """(kind, form, n, size): forms of which the corpus has more than a quarter, with their numbers of values."""
+    return real.groupBy("kind", "form").agg(F.count("*").alias("n"), F.max("size").alias("size")).where("4 * n > size")
 
 
 def collisions(docs: DataFrame, p: PiiParams) -> DataFrame:
-    """(kind, norm, round): the values whose surrogate of round 0 is not theirs to use, and the round that is."""
+    """(kind, norm, round): the values whose first surrogate, of round 0, is a real value, and the round that gives one which is not;
+    without those for which there is none."""
     real = stored(real_values(docs, p), "entities")
-    taken = real.select("kind", F.col("norm").alias("surrogate")).unionByName(real.select("kind", "surrogate"))
-    met = real.join(real.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "norm")
-    twice = real.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("norm").alias("keeps")).where("n > 1")
-    met = met.unionByName(real.join(twice, ["kind", "surrogate"]).where("norm <> keeps").select("kind", "norm")).distinct()
-    left = stored(met, "collisions")
-    settled = None
-    for rnd in range(1, p.rounds + 1):
-        if not left.limit(1).count():
-            break
-
-        def redraw(batches: Iterator[pa.RecordBatch], rnd=rnd) -> Iterator[pa.RecordBatch]:
-            s = Surrogates(p.key)
-            for b in batches:
-                k, v = b.column(0).to_pylist(), b.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.draw(x, y, rnd) for x, y in zip(k, v, strict=True)], pa.string())], ["kind", "norm", "surrogate"])
-
-        drawn = stored(left.select("kind", "norm").mapInArrow(redraw, "kind string, norm string, surrogate string"), "redrawn")
-        good = drawn.join(taken, ["kind", "surrogate"], "left_anti")
-        good = stored(good.withColumn("round", F.lit(rnd)), "settled")
-        settled = good if settled is None else settled.unionByName(good)
-        taken = taken.unionByName(good.select("kind", "surrogate"))
-        left = stored(left.join(good, ["kind", "norm"], "left_anti"), "collisions")
-    if settled is None:
-        return docs.sparkSession.createDataFrame([], "kind string, norm string, round int")
-    if left.limit(1).count():
-        raise ValueError(f"some values still collide after {p.rounds} rounds")
-    return settled.select("kind", "norm", "round")
+    met = real.join(real.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_semi")
+    met = met.join(crowded(real), ["kind", "form"], "left_anti").select("kind", "norm")
+
+    def redraw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Surrogates(p.key)
+        for b in batches:
+            rows = [(k, v, r, s.draw(k, v, r)) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in range(1, p.rounds + 1)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.string()), strict=True)], ["kind", "norm", "round", "surrogate"])
+
+    drawn = stored(met.mapInArrow(redraw, "kind string, norm string, round int, surrogate string"), "redrawn")
+    free = drawn.join(real.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti").join(real.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
+    owned = free.groupBy("kind", "surrogate").agg(F.min(F.struct("norm", "round")).alias("first")).select("kind", "first.norm", "first.round")
+    return owned.groupBy("kind", "norm").agg(F.min("round").alias("round"))
 
 
 RESULTS = ("n_entities", "entity_kinds")
@@ -358,7 +395,7 @@ def replace_entities(docs: DataFrame, p: PiiParams) -> DataFrame:
     """``docs`` with ``text`` rewritten, n_entities and entity_kinds (in order of place) added; columns with those names are replaced."""
     spark = docs.sparkSession
     K.small_batches(spark)
-    found = collisions(docs.select(F.col("text").cast("string").alias("text")), p)
+    found = stored(collisions(docs.select(F.col("text").cast("string").alias("text")), p), "settled")
     few = found.limit(p.broadcast_rows + 1).collect()  # bounded by the parameter
     known = spark.sparkContext.broadcast({(r.kind, r.norm): r["round"] for r in few} if len(few) <= p.broadcast_rows else {})
     own = [c for c in docs.columns if c not in RESULTS]
