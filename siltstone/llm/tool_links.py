@@ -2,9 +2,10 @@
 
 Calls (conv_id, call_id, turn, name, arguments as JSON) and results (conv_id, call_id, turn, content) are
 hash-joined by conversation and identifier. Arguments are checked against the schema of the called tool
-(required keys, known keys, JSON types), calls are levelled topologically along the references
-``"$call:<id>"`` in their arguments, and each link is serialised as canonical JSON: keys sorted at every
-depth, no white space.
+(required keys, known keys, JSON types), calls are levelled topologically along the references in their arguments - string
+values, at any depth, that are ``$call:<id>`` and nothing else; keys and texts that only quote such a word are none - and
+each link is serialised as canonical JSON: keys sorted at every depth, no white space, numbers as they are written. A number
+without a fraction (``1``, ``1.0``, ``1e2``) is an integer.
 
 A row is one call, or one result without a call; ``level``, ``turn`` and ``call_id`` order a conversation's
 rows. Conversations are never gathered: a conversation with a third of all rows is so many rows. Of several
@@ -21,7 +22,8 @@ they need is, and one that then needs a single other call joins the chains. So t
 rounds as calls with several references of their own stand one above the other, at most.
 
 Defined results: null ids match nothing (calls are unanswered, results orphans); arguments that are null,
-no JSON or no object have the error ``arguments``; an unknown tool has ``tool``; references to unknown ids
+no JSON, no object, or hold an object with a repeated key have the error ``arguments``, refer to nothing and are serialised as
+``null`` unless they are JSON; an unknown tool has ``tool``; references to unknown ids
 are ``dangling`` errors and do not order; rows that are equal in all columns are linked alike; an empty table
 gives an empty result; other columns, whatever their names, are left behind.
 """
@@ -33,7 +35,38 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.tables import stored
 
-REFERENCE = r'"\$call:([^"]+)"'
+REFERENCE = "$call:"
+NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+WHOLE = r"-?\d+(?:\.0+)?(?:[eE]\+?\d+)?"
+#: Stands before a number that is kept as text; no character of any text.
+_TAG = "\uffff#"
+# What escapes become while a text is cut at its quotation marks: characters that JSON does not have as they are.
+_SLASH, _QUOTE = "\u0001", "\u0002"
+
+
+def _parts(json: Column) -> Column:
+    """JSON cut at the quotation marks that delimit strings: what stands between strings, and their contents, in turn."""
+    masked = F.replace(F.replace(json, F.lit("\\\\"), F.lit(_SLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    return F.split(masked, '"', -1)
+
+
+def _unmasked(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(_QUOTE), F.lit('\\"')), F.lit(_SLASH), F.lit("\\\\"))
+
+
+def references(parts: Column) -> Column:
+    """The identifiers that string values of ``_parts`` refer to."""
+    is_key = lambda i: F.coalesce(F.ltrim(F.get(parts, i + 1)).startswith(":"), F.lit(False))
+    strings = F.filter(F.transform(parts, lambda x, i: F.when((i % 2 == 1) & ~is_key(i), x)), lambda x: x.isNotNull() & (x.startswith(REFERENCE) | x.contains("\\u")))
+    plain = F.transform(strings, lambda x: F.get(F.from_json(F.concat(F.lit('["'), _unmasked(x), F.lit('"]')), "array<string>"), F.lit(0)))
+    ids = F.filter(plain, lambda x: x.startswith(REFERENCE) & (F.length(x) > len(REFERENCE)))
+    return F.array_distinct(F.transform(ids, lambda x: F.substring(x, len(REFERENCE) + 1, (1 << 31) - 1)))
+
+
+def tagged(parts: Column) -> Column:
+    """The JSON of ``_parts`` with its numbers as marked texts."""
+    between = lambda x: F.regexp_replace(x, NUMBER, f'"{_TAG}$0"')
+    return _unmasked(F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, between(x)).otherwise(x)), '"'))
 
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +103,9 @@ def conversation_tools(spark) -> DataFrame:
 def _kind(v: Column) -> Column:
     """JSON type of a variant."""
     s = F.schema_of_variant(v)
-    return F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "BOOLEAN", "boolean").when(s == "BIGINT", "integer").when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "number").when(s == "VOID", "null").otherwise("string")
+    text = F.when(s == "STRING", F.try_variant_get(v, "$", "string"))
+    number = F.when(F.regexp_like(text, F.lit(rf"\A{_TAG}{WHOLE}\z")), "integer").when(text.startswith(_TAG), "number")
+    return F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").otherwise(F.coalesce(number, F.lit("string")))
 
 
 def _errors(args: Column, required: Column, properties: Column) -> Column:
@@ -171,14 +206,17 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     first = calls.groupBy(*key).agg(F.min(F.struct("turn", "name", "arguments")).alias("first"), F.count("*").alias("n_calls"))
     own = calls.join(first, key, "left").join(answer, key, "left")
     named = first.where("call_id is not null and conv_id is not null")
-    refs = named.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("first.arguments", F.lit("")), F.lit(REFERENCE), F.lit(1)))).alias("needs"))
+    readable = F.when(F.schema_of_variant(F.try_parse_json("first.arguments")).startswith("OBJECT"), F.col("first.arguments"))
+    refs = named.select(*key, _parts(readable).alias("parts")).select(*key, F.explode(references(F.col("parts"))).alias("needs"))
     nodes = named.select(*key)
     known = refs.join(named.select("conv_id", F.col("call_id").alias("needs"), F.col("first.turn").alias("turn")), ["conv_id", "needs"])
     loose = refs.join(nodes.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti").groupBy(*key).agg(F.sort_array(F.collect_set(F.concat(F.lit("dangling:"), F.col("needs")))).alias("loose"))
     own = own.join(levels(nodes, known), key, "left").join(loose, key, "left").join(tools, "name", "left")
 
-    v = F.try_parse_json("arguments")
-    own = own.withColumn("args", F.when(F.schema_of_variant(v).startswith("OBJECT"), F.from_json(F.col("arguments"), "map<string, variant>")))
+    own = own.withColumn("parts", F.when(F.try_parse_json("arguments").isNotNull(), _parts(F.col("arguments")))).withColumn("json", tagged(F.col("parts")))
+    v = F.try_parse_json("json")
+    own = own.withColumn("args", F.when(F.schema_of_variant(v).startswith("OBJECT"), F.from_json(F.col("json"), "map<string, variant>")))
+    written = F.regexp_replace(F.to_json(v), f'"{_TAG}([^"]*)"', "$1")
     bad = F.when(F.col("args").isNull(), F.array(F.lit("arguments"))).when(F.col("required").isNull(), F.array(F.lit("tool"))).otherwise(_errors(F.col("args"), F.col("required"), F.col("properties")))
     repeat = F.coalesce((F.col("n_calls") > 1) & ~F.struct("turn", "name", "arguments").eqNullSafe(F.col("first")), F.lit(False))
     errors = F.concat(bad, F.when(repeat, None).otherwise(F.col("loose")))
@@ -186,7 +224,7 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     early = F.col("r.turn") < F.col("turn")
     has_id = F.col("call_id").isNotNull() & F.col("conv_id").isNotNull()
     status = F.when(repeat, "duplicate").when(has_id & F.col("level").isNull(), "cycle").when(F.col("r").isNull(), "unanswered").when(early, "early").otherwise("linked")
-    rows = own.select(*key, "turn", "name", F.when(~repeat, F.col("r.turn")).alias("result_turn"), F.when(~repeat, F.col("level")).alias("level"), status.alias("status"), errors.alias("errors"), F.coalesce(F.to_json(v), F.lit("null")).alias("a"), F.when(~repeat, F.col("r.content")).alias("content"))
+    rows = own.select(*key, "turn", "name", F.when(~repeat, F.col("r.turn")).alias("result_turn"), F.when(~repeat, F.col("level")).alias("level"), status.alias("status"), errors.alias("errors"), F.coalesce(written, F.lit("null")).alias("a"), F.when(~repeat, F.col("r.content")).alias("content"))
     orphans = results.join(nodes, key, "left_anti")
     rows = rows.unionByName(orphans.select(*key, F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("name"), F.col("turn").alias("result_turn"), F.lit(None).cast("int").alias("level"), F.lit("orphan").alias("status"), F.array().cast("array<string>").alias("errors"), F.lit("null").alias("a"), "content"))
     plain = F.to_json(F.struct("call_id", "content", "name"), {"ignoreNullFields": "false"})

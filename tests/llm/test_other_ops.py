@@ -359,3 +359,30 @@ def test_stages_on_awkward_rows(spark):
     assert not kept & {1, 2, 3, 4, 5, 7}  # under 20 words, or one word over and over
     assert [r.doc_id for r in C.near_dedup(spark, docs.where("doc_id = 6"), sf).collect()] == [6]
     assert C.decontamination(spark, docs, sf).count() == len(rows)
+
+
+def test_references_are_string_values(spark):
+    """Quoted words and keys refer to nothing; escapes are read; numbers stay as written; a repeated key is an error."""
+    big = "12345678901234567890123456789012345678901234567890"
+    texts = {
+        "a": "{}",
+        "b": r'{"x": "he said \"$call:9\" and left", "y": "\\", "z": "$call:a"}',
+        "c": '{"$call:a": 1, "deep": {"k": [1, ["$call:b", {"$call:zz": null}]]}}',
+        "d": r'{"x": "$call:a", "y": "see $call:a", "w": "$call:", "q": "\\\"$call:nope\""}',
+        "e": f'{{"n": {big}, "m": 1e2, "i": 1.0, "s": "7 and -3.5", "t": [-0.10, true, null]}}',
+        "f": '{"x": "$call:a", "x": "$call:b"}',
+        "g": '["$call:a"]',
+        "h": '{"x": "$call:nowhere", "y" : "$call:h2"}',
+        "h2": "{}",
+    }
+    calls = spark.createDataFrame([(1, k, i, "t", v) for i, (k, v) in enumerate(texts.items())], "conv_id long, call_id string, turn long, name string, arguments string")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    tools = spark.sql("SELECT 't' AS name, array() AS required, map('n', 'integer', 'm', 'integer', 'i', 'integer', 's', 'string', 't', 'array') AS properties")
+    got = {r.call_id: r for r in tool_links.link(calls, results, tools).collect()}
+    assert {k: r.level for k, r in got.items()} == {"a": 0, "b": 1, "c": 2, "d": 1, "e": 0, "f": 0, "g": 0, "h": 1, "h2": 0}
+    assert {k: [x for x in r.errors.split(",") if not x.startswith("unknown")] for k, r in got.items() if k not in ("f", "g")} == {"a": [""], "b": [], "c": [], "d": [], "e": [""], "h": ["dangling:nowhere"], "h2": [""]}
+    assert got["f"].errors == got["g"].errors == "arguments"
+    body = lambda k: got[k].canonical.split('{"arguments":', 1)[1].rsplit(',"call_id"', 1)[0]
+    assert body("e") == f'{{"i":1.0,"m":1e2,"n":{big},"s":"7 and -3.5","t":[-0.10,true,null]}}'
+    assert body("b") == r'{"x":"he said \"$call:9\" and left","y":"\\","z":"$call:a"}' and body("f") == "null"
+    assert json.loads(body("c")) == json.loads(texts["c"]) and json.loads(body("d")) == json.loads(texts["d"])
