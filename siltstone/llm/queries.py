@@ -25,6 +25,13 @@ def op7_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_windows", "item_windows", "n_slots")
 
 
+def leaks_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks of items with numbers and names, of which every document holds one with other numbers and names: substituted
+    consistently, or (every fifth) with a contradiction."""
+    docs, items = template_leaks.reparameterised(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return template_leaks.leaks(docs, items).select("doc_id", "item_id", "n_windows", "item_windows", "n_slots")
+
+
 def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_bayes.near_classes(table(spark, sf_dir, "documents"))
 
@@ -70,7 +77,7 @@ def op13_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_surrogates, op2_quality_llr, op3_lm_gru, op4_tool_links, op5_arc_warc, op6_packing_gga, op7_template_leaks, op8_minhash_bayes, op9_line_windows, op10_hash_tree, op11_lexical_search, op12_merkle_paths, op13_license_diagonals)}
+    return {f.__name__: f for f in (op1_surrogates, op2_quality_llr, op3_lm_gru, op4_tool_links, op5_arc_warc, op6_packing_gga, op7_template_leaks, op8_minhash_bayes, op9_line_windows, op10_hash_tree, op11_lexical_search, op12_merkle_paths, op13_license_diagonals, leaks_reparameterised)}
 
 
 OP9_SQL = r"""

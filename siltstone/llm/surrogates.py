@@ -113,11 +113,16 @@ def ascii_digits(value: str) -> str:
     return value if value.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in value)
 
 
+#: Of the Feistel network, each way; a value passes through it twice.
+ROUNDS = 4
+
+
 class Permuter:
     """Keyed permutations of the integers below a size, without fixed points."""
 
     def __init__(self, key: bytes):
         self.key = key
+        self.steps_on = lru_cache(10_000)(self._steps_on)
 
     def _steps(self, label: str, size: int, half: int, r: int, b: int) -> int:
         d = hmac.digest(self.key, f"{label}|{size}|{r}|{b}".encode(), "sha256")
@@ -130,7 +135,7 @@ class Permuter:
         half = max(1, (size - 1).bit_length() + 1) // 2
         while True:  # a power of four at most four times the size: few steps
             a, b = x >> half, x & ((1 << half) - 1)
-            for r in range(7, -1, -1) if back else range(8):
+            for r in range(ROUNDS - 1, -1, -1) if back else range(ROUNDS):
                 if back:
                     a, b = b ^ self._steps(label, size, half, r, a), a
                 else:
@@ -142,8 +147,10 @@ class Permuter:
     def permute(self, x: int, size: int, label: str) -> int:
         if size < 2:
             return x
-        on = 1 + int.from_bytes(hmac.digest(self.key, f"{label}|{size}|on".encode(), "sha256"), "big") % (size - 1)
-        return self.place((self.place(x, size, label) + on) % size, size, label, back=True)
+        return self.place((self.place(x, size, label) + self.steps_on(label, size)) % size, size, label, back=True)
+
+    def _steps_on(self, label: str, size: int) -> int:
+        return 1 + int.from_bytes(hmac.digest(self.key, f"{label}|{size}|on".encode(), "sha256"), "big") % (size - 1)
 
     def spell(self, text: str, label: str, sets: Callable[[str], str] = alphabet) -> str:
         """The permuted string of the same form; ``text`` in lower case."""

@@ -1,6 +1,7 @@
 """Operator 7, benchmark decontamination by template canonicalisation. DataFrame functions only.
 
-Texts become tokens (runs of letters, numbers; punctuation is dropped) and tokens become templates:
+Texts become tokens (runs of letters, numbers; punctuation is dropped; of scripts that are written without spaces, such as
+Chinese, Japanese and Thai, each letter is a token) and tokens become templates:
 numbers, units after a number and names (a capitalised word that does not start a sentence) turn into
 typed placeholders, all else is case-folded. A second, folded template has no names: its words are all plain,
 so that copies in upper, lower or title case match too. Windows of ``window`` tokens of both templates are
@@ -27,6 +28,7 @@ and text are one document; a null doc_id is reported as null; an empty table giv
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -48,13 +50,16 @@ class LeakParams:
 #: Units that count as such after a number.
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "l", "ml", "s", "ms", "h", "min", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "miles", "feet", "inches", "pounds", "dollars", "euros", "cents", "percent", "degrees", "mph", "kmh", "kwh", "w", "kw", "v", "hz", "gb", "mb")
 _NAME, _UNIT = "\u0001", "\u0002"
+#: Blocks of scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, ideographs.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+TOKEN = rf"[{_NAME}{_UNIT}]?[a-z[\p{{L}}&&[^{UNSPACED}]]]+|[\p{{L}}&&[{UNSPACED}]]|\d+(?:[.,:]\d+)*"
 
 
 def raw_tokens(text: Column) -> Column:
     """Case-folded tokens; names and units carry a mark in front."""
     t = F.lower(F.upper(F.regexp_replace(text, r"([\p{L}\p{N},;:)'-]\s+)(?=\p{Lu})", f"$1{_NAME}")))
     t = F.regexp_replace(t, rf"(?i)(?<=\d)(\s*){_NAME}?(" + "|".join(UNITS) + r")(?![\p{L}\p{N}])", f"$1 {_UNIT}$2")
-    return F.regexp_extract_all(t, F.lit(rf"[{_NAME}{_UNIT}]?\p{{L}}+|\d+(?:[.,:]\d+)*"), F.lit(0))
+    return F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
 
 
 def template(tokens: Column) -> Column:
@@ -124,7 +129,8 @@ def leaks(docs: DataFrame, items: DataFrame, params: LeakParams | None = None) -
     tokens = d.select("doc_id", "key", raw_tokens(F.col("text")).alias("raw"))
     tokens = tokens.select("doc_id", "key", codes(template(F.col("raw"))).alias("t"), codes(folded(F.col("raw"))).alias("f"))
     windows = [window_hashes(F.col(k), size) for size in sizes or [p.window] for k in ("t", "f")]  # of all sizes in one pass
-    hits = tokens.select("doc_id", "key", F.explode(F.concat(*windows)).alias("w")).select("doc_id", "key", "w.size", "w.at", "w.h")
+    # the outer form: for the other, the planner asks for the array's size first, and makes all windows once more for that
+    hits = tokens.select("doc_id", "key", F.explode_outer(F.concat(*windows)).alias("w")).select("doc_id", "key", "w.size", "w.at", "w.h")
     hits = stored(hits.join(probes, ["size", "h"], "left_semi").distinct(), "hits")
 
     # second pass: the tokens of matched documents only
@@ -157,6 +163,30 @@ def leaks(docs: DataFrame, items: DataFrame, params: LeakParams | None = None) -
     return ok.groupBy(F.col("c.doc_id").alias("doc_id"), F.col("c.key").alias("key"), F.col("c.item_id").alias("item_id")).agg(F.max("c.n_windows").alias("n_windows"), F.max("c.item_windows").alias("item_windows"), F.max(F.coalesce("s.n_slots", F.lit(0))).alias("n_slots"))
 
 
+#: A question with slots; {n} and {m} are numbers, {name}, {other} and {again} names; {word} is in every window and tells items apart.
+QUESTION = "a {word} farmer called {name} has {n} kg of {word} apples and sells {m} kg of {word} apples to a {word} friend {other} so how many kg of {word} apples does the {word} farmer {again} still have"
+
+
+def _question(number: Column, shift: int, first: int, contradict: Column) -> Column:
+    """The text of question ``number`` with numbers moved by ``shift`` and names from ``first`` on."""
+    people = F.array(*[F.lit(x) for x in ("Anna", "Boris", "Clara", "Denis", "Elena", "Fabio", "Greta", "Hanno")])
+    who = lambda k: F.element_at(people, (F.pmod(number + k, F.lit(8)) + 1).cast("int"))
+    digits = lambda least, range_: (F.pmod(number, F.lit(range_)) + least + shift).cast("string")
+    word = F.concat(F.lit("sort"), F.translate(number.cast("string"), "0123456789", "abcdefghij"))
+    slots = {"word": word, "name": who(first), "other": who(first + 1), "again": F.when(contradict, who(first + 3)).otherwise(who(first)), "n": digits(100, 90), "m": digits(10, 60)}
+    return F.concat(*[slots[x] if k % 2 else F.lit(x) for k, x in enumerate(re.split(r"\{(\w+)\}", QUESTION))])
+
+
+def reparameterised(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items of the form of QUESTION, one for each row of ``items``, and ``docs`` with the question of one item in other numbers and
+    names behind their texts (every fifth with a name that contradicts itself)."""
+    n = items.count()
+    made = items.select("item_id", _question(F.col("item_id"), 0, 0, F.lit(False)).alias("text"))
+    number = F.pmod("doc_id", F.lit(max(n, 1)))
+    asked = _question(number, 7, 3, F.pmod("doc_id", F.lit(5)) == 0)
+    return docs.select("doc_id", F.concat_ws(". ", F.col("text").cast("string"), asked).alias("text")), made
+
+
 def document_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
 

@@ -212,6 +212,27 @@ def test_leaks_with_edited_values(spark):
     assert got >= {(1, 0), (2, 0), (2, 1)} and (3, 1) not in got
 
 
+def test_leaks_in_scripts_without_spaces(spark):
+    """Copied as it is, and with other numbers; kana and Thai; a text that shares a few characters stays."""
+    item = "小明有12个苹果，他给了朋友小红5个，又从市场买回来8个，请问现在小明一共还有多少个苹果？请写出计算过程。"
+    thai = "ในตะกร้ามีส้มอยู่ 24 ผล แม่หยิบออกไป 7 ผล แล้วพ่อใส่เพิ่มอีก 9 ผล ตอนนี้ในตะกร้ามีส้มทั้งหมดกี่ผล"
+    kana = "たろうくんはりんごを15こもっています。ともだちに6こあげました。のこりはなんこですか。"
+    docs = [(1, "前文。" + item + "后文。"), (2, item.replace("12", "30").replace("5", "9").replace("8", "4")), (3, "abc " + thai.replace("24", "31")), (4, kana), (5, "小明有很多苹果，他很高兴。朋友也很高兴。"), (6, "plain text " * 30)]
+    items = spark.createDataFrame([(0, item), (1, thai), (2, kana)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_slots for r in template_leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(1, 0), (2, 0), (3, 1), (4, 2)} and got[2, 0] > 0
+
+
+def test_reparameterised_items(spark):
+    """What the query of that name derives, against every alignment."""
+    docs = spark.createDataFrame([(k, ["lorem ipsum dolor", None, "Sit amet."][k % 3]) for k in range(24)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, "x") for k in range(7)], "item_id long, text string")
+    d, b = template_leaks.reparameterised(docs, items)
+    got = template_leaks.leaks(d, b).collect()
+    want = plain_leaks([tuple(r) for r in d.collect()], [tuple(r) for r in b.collect()], template_leaks.LeakParams())
+    assert {(r.doc_id, r.item_id) for r in got} == want == {(k, k % 7) for k in range(24) if k % 5} and all(r.n_slots > 3 for r in got)
+
+
 def plain_leaks(docs, items, p):
     """All alignments of all documents and items, window by window, for plain ASCII texts."""
     import re

@@ -122,6 +122,6 @@ def test_against_one_place(spark):
     texts = [" and ".join((t := text()).format(*(fill() for _ in range(t.count("{}")))) for _ in range(rng.randrange(1, 6))) for _ in range(700)]
     assert all(S.find(t) == found(t) for t in texts)
     want, redrawn = rewritten(texts, PII)
-    assert redrawn > 5
+    assert redrawn > 2
     for p in (PII, S.PiiParams(key=b"k", broadcast_rows=0)):
         assert replaced(spark, texts, p) == want
