@@ -63,13 +63,18 @@ def _main(args: argparse.Namespace, spark: SparkSession | None, cwd: Path) -> in
         raise discovery.UsageError("error: there are no packages to scan")
     packages = discovery.select(packages, args.packages)
     spark = spark or SparkSession.builder.appName("siltstone").getOrCreate()
+    with listing.scratch(spark):
+        return _scan(args, spark, packages, loose, exclude, workspace)
+
+
+def _scan(args: argparse.Namespace, spark: SparkSession, packages: dict[str, str], loose: str | None, exclude: tuple[str, ...], workspace: Path | None) -> int:
     files = listing.written(tree_files(spark, packages, loose, exclude, workspace), "files")
     if not args.quiet and not args.json:
         print(f"\n  {'=' * 72}\n  siltstone: {len(packages)} packages, {files.where(files.path.endswith('.py')).count()} files\n  {'=' * 72}\n")
     baseline = None
-    if args.baseline_table and not args.write_baseline and spark.catalog.tableExists(args.baseline_table):
+    if args.baseline_table and not (args.write_baseline or args.write_baseline_table) and spark.catalog.tableExists(args.baseline_table):
         baseline = baselines.load(spark, args.baseline_table)
-    elif args.baseline and not args.write_baseline:
+    elif args.baseline and not (args.write_baseline or args.write_baseline_table):
         try:
             with args.baseline.open("rb") as f:
                 f.read().decode("utf-8")
@@ -106,5 +111,4 @@ def _main(args: argparse.Namespace, spark: SparkSession | None, cwd: Path) -> in
             for piece in report.streamed(path):
                 print(piece, end="")
             print()
-    result.done()
     return 0 if args.write_baseline or args.write_baseline_table else result.exit_code(config.fail_on)

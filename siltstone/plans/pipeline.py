@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone import schema
 from siltstone.operators import post
 from siltstone.plans.scan import scan
-from siltstone.sources.listing import shared_folder
+from siltstone.sources.listing import delete, new_folder
 
 
 @dataclass(frozen=True)
@@ -39,9 +38,7 @@ class ScanResult:
 
     def done(self) -> None:
         """The findings have been used: their folder can go."""
-        spark = self.findings.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        delete(self.findings.sparkSession, self.folder)
 
 
 def classified(files: DataFrame, config: ScanConfig | None = None) -> DataFrame:
@@ -69,7 +66,7 @@ def run(files: DataFrame, config: ScanConfig | None = None, baseline: DataFrame
     of = lambda fate: F.coalesce(F.sum(F.when(F.col("fate") == fate, 1)), F.lit(0)).alias(fate)
     watched = rows.observe(seen, of("baseline"), of("nosec"), of("test"), F.min(F.when(F.col("fate") == "kept", F.col("sev_rank"))).alias("worst"))
     kept_rows = watched.where("fate = 'kept'").drop("fate")
-    folder = f"{shared_folder(files.sparkSession)}/findings-{uuid.uuid4().hex}"
+    folder = new_folder(files.sparkSession, "findings")
     kept_rows.write.parquet(folder)
     got = seen.get
     return ScanResult(files.sparkSession.read.schema(kept_rows.schema).parquet(folder), folder, {f"{k}_suppressed": got[k] for k in ("baseline", "nosec", "test")}, got["worst"])

@@ -117,6 +117,6 @@ def read_tree(spark: SparkSession, files: dict[str, str] | DataFrame, workspace:
         rows = [(p, n, os.path.basename(p) in PIN_MANIFESTS and discovery.locked(p), os.path.getsize(p) if os.path.exists(p) else 0) for p, n in files.items()]
         files = spark.createDataFrame(rows, "path string, package string, locked boolean, size bigint")
     total = files.agg(F.sum(F.col("size") + 4096)).first()[0] or 0
-    folder = f"{listing.shared_folder(spark)}/tree-{os.urandom(8).hex()}"
+    folder = listing.new_folder(spark, "tree")
     files.repartition(max(1, -(-total // PARTITION_BYTES)), "path").write.parquet(folder)
     return as_files(spark.read.format("siltstone_tree").option("listing", folder).option("workspace", str(workspace or "")).load())

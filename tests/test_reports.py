@@ -133,4 +133,7 @@ def test_command_line_with_tables_and_files(spark, tree, capsys, tmp_path_factor
     assert "(4 finding(s) that the baseline has already)" in capsys.readouterr().out
     assert main(["--baseline-table", "cli_known", "--gate-only", "-q"], spark, tree) == 0
     spark.sql("DROP TABLE cli_known")
-    assert not list(Path(shared_folder(spark)).glob("json-*"))
+    shared = Path(shared_folder(spark))
+    before = {p.name for p in shared.iterdir()}
+    assert main(["--package", f"x={tree / 'build'}", "-q"], spark, tree) == 1
+    assert {p.name for p in shared.iterdir()} == before and not list(shared.glob("json-*"))
