@@ -6,9 +6,12 @@ of the network, a table of at most ``heavy`` counts that is broadcast (bounded b
 read from a histogram of counts), and the totals of the rare classes.
 
 *Training.* Every training document is learned from, whole, in one of the ``rounds`` (told by a hash of its id).
-In a round every task of the training scan starts from the common weights, makes a truncated
-backpropagation pass over the round's documents in its split, and the weights are averaged by tokens: each task
-sends its weights as packed blocks of fixed size, which are summed as they arrive.
+In a round every replica starts from the common weights, makes a truncated
+backpropagation pass over its documents of the round, and the weights are averaged by tokens: each
+sends its weights as packed blocks of fixed size, which are summed as they arrive. A replica is a task of the training scan;
+splits are put together until there is no more than one for each ``lot`` tokens, since an average of replicas that have each
+seen little has learned little. So what a replica learns from does not shrink as tasks grow, and small inputs give the same
+model however they are split; splits longer than a lot stay whole.
 
 *Scoring.* All documents, whole: state is carried over windows. A word outside the symbols costs its rare
 class given the state, then its share of that class, ``(c + 1) / (N_class + V_class + 1)``, which leaves the
@@ -42,6 +45,7 @@ class LmParams:
     held: int = 2
     heavy: int = 1 << 18
     rounds: int = 2
+    lot: int = 1 << 19
     rate: float = 0.15
     lanes: int = 512
     pool: int = 4 << 20
@@ -168,6 +172,7 @@ def lexicon(counts: DataFrame, p: LmParams) -> tuple[Lexicon, np.ndarray, np.nda
 def fit(docs: DataFrame, lex, freq: np.ndarray, rare: np.ndarray, p: LmParams) -> np.ndarray:
     """Weights after the training rounds. ``lex`` is a broadcast Lexicon."""
     spark, shape = docs.sparkSession, p.shape
+    replicas = max(1, lex.value.n // (p.rounds * p.lot))
     flat = gru.Model.born(shape, freq, rare).flat
     for k in range(p.rounds):
         start = spark.sparkContext.broadcast(flat)
@@ -206,7 +211,7 @@ def fit(docs: DataFrame, lex, freq: np.ndarray, rare: np.ndarray, p: LmParams) -
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([(total[i] / count[i]).astype(np.float32).tobytes() for i in at], pa.binary()), pa.array([count[i] for i in at], pa.int64())], ["block", "w", "n"])
 
         part = docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(p.rounds)) == k))
-        sent, form = part.select("text").mapInArrow(run, "block int, w binary, n long"), "block int, w binary, n long"
+        sent, form = part.select("text").coalesce(replicas).mapInArrow(run, "block int, w binary, n long"), "block int, w binary, n long"
         got = sent.repartition(-(-shape.total // p.packed), "block").mapInArrow(mean, form).collect()  # one model
         if got:
             flat = np.concatenate([np.frombuffer(r.w, np.float32) for r in sorted(got, key=lambda r: r.block)])

@@ -250,6 +250,23 @@ def test_held_out_texts_are_better_than_by_counts(spark):
     assert got.s > 0.93 * got.b
 
 
+def test_the_model_does_not_depend_on_how_the_input_is_split(spark):
+    rng = random.Random(5)
+    follow = {w: rng.sample(range(40), 3) for w in range(40)}
+
+    def text():
+        w, out = rng.randrange(40), []
+        for _ in range(80):
+            out.append(f"w{w}")
+            w = rng.choice(follow[w])
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(1200)], SCHEMA)
+    p = lm_gru.LmParams(lanes=64, chunk=1 << 17, rate=0.3, shape=gru.Shape(16, 8, 16, 8))
+    got = [lm_gru.score(docs.repartitionByRange(n, "doc_id"), p).where("held_out").selectExpr("sum(score) / sum(n_tokens) AS s").first().s for n in (1, 4, 32)]
+    assert max(got) - min(got) < 0.02, got
+
+
 def test_lm_scores(spark):
     rows = AWKWARD + [(1000 + i, t) for i, t in synthetic(150, 5)]
     got = lm_gru.score(frame(spark, rows, True), lm_gru.LmParams(heavy=50, packed=100, shape=gru.Shape(8, 4, 8, 8))).collect()
