@@ -93,10 +93,23 @@ def codes(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.xxhash64(x))
 
 
-def window_hashes(codes: Column, size: int) -> Column:
-    """array<struct<size, at, h>>: each window's place and hash; none for shorter texts."""
+def window_hashes(codes: Column, places: Column, size: int) -> Column:
+    """array<struct<size, at, h>>: place and hash of the windows that begin at ``places``."""
+    return F.transform(places, lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.xxhash64(F.slice(codes, i, size)).alias("h")))
+
+
+def all_places(codes: Column, size: int) -> Column:
+    """Where a window begins; nowhere in shorter texts."""
     n = F.size(codes) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.xxhash64(F.slice(codes, i, size)).alias("h")))).otherwise(F.array().cast("array<struct<size:int,at:int,h:bigint>>"))
+    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+
+def named_places(t: Column, f: Column, size: int) -> Column:
+    """Where a window begins that the two templates read differently, since it has a name; the others have the same hash by both."""
+    n = F.size(t) - size + 1
+    names = F.filter(F.transform(F.zip_with(t, f, lambda a, b: a != b), lambda x, i: F.when(x, i + 1)), lambda i: i.isNotNull())
+    near = F.array_distinct(F.flatten(F.transform(names, lambda i: F.sequence(F.greatest(i - size + 1, F.lit(1)), F.least(i, n)))))
+    return F.when((n > 0) & (t != f), near).otherwise(F.array().cast("array<int>"))
 
 
 def item_windows(items: DataFrame, p: LeakParams) -> DataFrame:
@@ -128,7 +141,8 @@ def leaks(docs: DataFrame, items: DataFrame, params: LeakParams | None = None) -
     probes = _bounded(b.select("size", "h").distinct(), p.broadcast_bytes)
     tokens = d.select("doc_id", "key", raw_tokens(F.col("text")).alias("raw"))
     tokens = tokens.select("doc_id", "key", codes(template(F.col("raw"))).alias("t"), codes(folded(F.col("raw"))).alias("f"))
-    windows = [window_hashes(F.col(k), size) for size in sizes or [p.window] for k in ("t", "f")]  # of all sizes in one pass
+    t, f = F.col("t"), F.col("f")
+    windows = [w for size in sizes or [p.window] for w in (window_hashes(f, all_places(f, size), size), window_hashes(t, named_places(t, f, size), size))]  # of all sizes in one pass
     # the outer form: for the other, the planner asks for the array's size first, and makes all windows once more for that
     hits = tokens.select("doc_id", "key", F.explode_outer(F.concat(*windows)).alias("w")).select("doc_id", "key", "w.size", "w.at", "w.h")
     hits = stored(hits.join(probes, ["size", "h"], "left_semi").distinct(), "hits")
