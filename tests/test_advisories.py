@@ -51,6 +51,18 @@ def test_intervals_against_every_pair(spark):
     assert len(got) > 100
 
 
+def test_matches_are_not_shuffled(spark):
+    table = [("dask", None, "2.0.0", f"ADV-{k}") for k in range(50)] + [("dask", "1.0.0", None, "x"), ("Requests", None, None, None)]
+    text = "dask==1.0.0\nrequests, dask>=3.0.0\ndask==1.0.0 # again\n"
+    df, known = rows(spark, [("requirements.txt", text)] * 3), spark.createDataFrame(table, A.SCHEMA)
+    for most, together in ((A.BROADCAST_BYTES, A.TOGETHER), (A.BROADCAST_BYTES, 7), (-1, 7)):
+        found = A.vulnerable(df, known, most, together)
+        above = found._jdf.queryExecution().executedPlan().toString().split("Join", 1)[0]
+        assert "Exchange" not in above and "Aggregate" not in above
+        want = [(1, "dask==1.0.0", f"dask <2.0.0: ADV-{k}") for k in range(50)] + [(1, "dask==1.0.0", "dask >=1.0.0: x"), (2, "requests, dask>=3.0.0", "requests: ")]
+        assert sorted((r.no, r.code, r.detail) for r in found.collect()) == sorted(want * 3)
+
+
 def test_builtin_table_as_a_table(spark):
     df = rows(spark, [(n, t) for _, n, t, _ in CASES])
     by = lambda f: sorted((r.check_id, r.file, r.line, r.code, r.description, r["at"]) for r in f.collect())
