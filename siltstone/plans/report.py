@@ -6,7 +6,8 @@ import json
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone import schema
 from siltstone.operators import post
@@ -34,6 +35,21 @@ def write_baseline(findings: DataFrame, path: str) -> None:
     _save(post.fingerprints(findings).orderBy(*post.FINGERPRINT), path, "baseline", {})
 
 
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """A document of ``write_json`` again: its findings, beside each the document's ``count`` and counters (0 where it names none).
+
+    It is read in splits, by what ends an entry there (a line feed within a string is written as \\n), however large it is."""
+    pieces = spark.read.option("lineSep", "\n    }").text(path)
+    start, end = "\n    {\n", "\n  ],\n"
+    entry = F.concat(F.lit("{"), F.substring_index("value", start, -1), F.lit("}"))
+    fields = ", ".join(f"{c} {'int' if c == 'line' else 'string'}" for c in schema.PUBLIC)
+    found = pieces.where(F.contains("value", F.lit(start))).select(F.from_json(entry, fields, {"mode": "FAILFAST"}).alias("f")).select("f.*")
+    named = ("count", "baseline_suppressed", "nosec_suppressed", "test_suppressed")
+    tail = F.concat(F.lit("{"), F.substring_index("value", end, -1))
+    rest = pieces.where(F.startswith("value", F.lit(end))).select(F.from_json(tail, ", ".join(f"{c} long" for c in named), {"mode": "FAILFAST"}).alias("t"))
+    return found.crossJoin(F.broadcast(rest.select(*[F.coalesce(f"t.{c}", F.lit(0)).alias(c) for c in named])))
+
+
 def write_lines(findings: DataFrame, path: str) -> None:
     """JSON lines in report order, a file for each part."""
     post.in_order(findings).select(*schema.PUBLIC).write.json(path)

@@ -120,9 +120,7 @@ def report_json(spark: SparkSession, d: str) -> DataFrame:
     path = report.temporary(done.findings, "json")
     report.write_json(done.findings, done.counters, path)
     done.done()
-    read = spark.read.schema(f"findings array<struct<{', '.join(f'{c}:' + ('int' if c == 'line' else 'string') for c in schema.PUBLIC)}>>, count long, nosec_suppressed long, test_suppressed long")
-    whole = read.option("multiLine", True).json(path)
-    return whole.select(F.explode("findings").alias("f"), "count", "nosec_suppressed", "test_suppressed").select("f.package", *[f"f.{c}" for c in COLUMNS], "count", "nosec_suppressed", "test_suppressed")
+    return report.read_json(spark, path).select("package", *COLUMNS, "count", "nosec_suppressed", "test_suppressed")
 
 
 def baseline_table(spark: SparkSession, d: str) -> DataFrame:

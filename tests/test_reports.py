@@ -39,6 +39,27 @@ def test_json_is_what_one_writer_would_write(spark, findings, counters, tmp_path
     assert report.as_json(findings, counters) and [p.name for p in tmp_path.iterdir()] == ["r.json"]
 
 
+@pytest.mark.parametrize("split", ["509", "128m"])
+def test_json_is_read_in_splits(spark, findings, tmp_path, split):
+    from pyspark.sql import functions as F
+
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    odd = F.concat("code", F.lit('\n    },\n    {\n  ],\n"\\ü'))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        for k, some in enumerate((findings, findings.where("severity = 'LOW'").withColumn("code", odd), findings.limit(1), findings.where("false"))):
+            path, want = str(tmp_path / f"{k}.json"), plain(some, post.in_order)
+            report.write_json(some, {"nosec_suppressed": 3, "test_suppressed": 0}, path)
+            read = report.read_json(spark, path)
+            got = [r.asDict() for r in read.collect()]
+            key = lambda r: tuple(map(str, r.values()))
+            assert sorted(got, key=key) == sorted((r | {"count": len(want), "baseline_suppressed": 0, "nosec_suppressed": 3, "test_suppressed": 0} for r in want), key=key)
+            if split != "128m" and k < 2:
+                assert read.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_text_has_all_findings_in_order_and_their_counts(findings, tmp_path):
     report.write_text(findings, {"test_suppressed": 2}, str(tmp_path / "r.txt"))
     text, want = (tmp_path / "r.txt").read_text(), plain(findings, post.by_severity)
