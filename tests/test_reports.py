@@ -158,3 +158,16 @@ def test_command_line_with_tables_and_files(spark, tree, capsys, tmp_path_factor
     before = {p.name for p in shared.iterdir()}
     assert main(["--package", f"x={tree / 'build'}", "-q"], spark, tree) == 1
     assert {p.name for p in shared.iterdir()} == before and not list(shared.glob("json-*"))
+
+
+@pytest.mark.parametrize("query", ["baseline_anti_join", "baseline_table"])
+def test_a_snapshot_and_what_is_compared_are_one_scan(spark, monkeypatch, query):
+    from siltstone import queries
+
+    calls, d = [], "/root/testdata/sf0.001"
+    monkeypatch.setattr(queries, "scan", lambda *args: calls.append(args) or scan(*args))
+    got = sorted(map(tuple, queries.queries()[query](spark, d).collect()))
+    assert len(calls) == 1
+    found = scan(queries.tree(spark, d))
+    want = [tuple(r)[1:] for r in found.select("package", "check_id", *queries.COLUMNS).collect() if r.package not in ("pkg0", "pkg1", "pkg2")]
+    assert got == sorted(want) and got
