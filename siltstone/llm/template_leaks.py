@@ -22,6 +22,9 @@ The benchmark side of the join is broadcast if it has been measured to take at m
 else it is shuffled like any join; so are the ids of matched documents in the second pass. Matches are verified once for
 each text of a window, before they meet the items that share it.
 
+Where all windows of the items begin with at most ``anchors`` different tokens, only windows of documents that begin with one of
+these are made; the others have no partner.
+
 Defined results: null or empty texts and items without enough tokens match nothing; rows with equal doc_id
 and text are one document; a null doc_id is reported as null; an empty table gives an empty result.
 """
@@ -44,6 +47,7 @@ class LeakParams:
     least: int = 6
     shortest: int = 5
     plain: int = 4
+    anchors: int = 1000
     broadcast_bytes: int = 64 << 20
 
 
@@ -64,33 +68,44 @@ def raw_tokens(text: Column) -> Column:
 
 def template(tokens: Column) -> Column:
     """Placeholders for marked tokens and numbers; the rest as it is."""
-    return _typed(tokens, lambda x: F.lit(_NAME))
+    return F.transform(tokens, _with_names)
 
 
 def folded(tokens: Column) -> Column:
     """The template without names: they are words like others."""
-    return _typed(tokens, lambda x: F.substring(x, 2, 1 << 30))
+    return F.transform(tokens, _without_names)
+
+
+def _typed(x: Column, name: Column) -> Column:
+    first = F.ascii(x)
+    return F.when(first > 57, x).when(first == 1, name).when(first == 2, F.lit(_UNIT)).when(first >= 48, F.lit("0")).otherwise(x)
 
 
-def _typed(tokens: Column, name: Callable[[Column], Column]) -> Column:
-    def one(x: Column) -> Column:
-        first = F.ascii(x)
-        return F.when(first > 57, x).when(first == 1, name(x)).when(first == 2, F.lit(_UNIT)).when(first >= 48, F.lit("0")).otherwise(x)
+def _with_names(x: Column) -> Column:
+    return _typed(x, F.lit(_NAME))
 
-    return F.transform(tokens, one)
+
+def _without_names(x: Column) -> Column:
+    return _typed(x, F.substring(x, 2, 1 << 30))
 
 
 def _bare(x: Column) -> Column:
-    return F.translate(x, _NAME + _UNIT, "")
+    return F.replace(F.replace(x, F.lit(_NAME), F.lit("")), F.lit(_UNIT), F.lit(""))  # a byte search; translate looks every character up
 
 
 def _is_slot(x: Column) -> Column:
     return x.isin(_NAME, _UNIT, "0")
 
 
-def codes(tokens: Column) -> Column:
-    """A number for each token, so that windows are hashed over numbers and every token's text once."""
-    return F.transform(tokens, lambda x: F.xxhash64(x))
+def _has_slot(raw: Column) -> Column:
+    """Whether a raw token's place in the template is a slot: it begins with a mark or a digit."""
+    first = F.ascii(raw)
+    return first.isin(1, 2) | first.between(48, 57)
+
+
+def codes(tokens: Column, typed: Callable[[Column], Column] = lambda x: x) -> Column:
+    """A number for each token as ``typed`` makes it, so that windows are hashed over numbers and every token's text once."""
+    return F.transform(tokens, lambda x: F.xxhash64(typed(x)))
 
 
 def window_hashes(codes: Column, places: Column, size: int) -> Column:
@@ -113,8 +128,8 @@ def named_places(t: Column, f: Column, size: int) -> Column:
 
 
 def item_windows(items: DataFrame, p: LeakParams) -> DataFrame:
-    """(item_id, size, named, at, h, item, n_windows, n_named): windows of the items by both templates (``named``: by
-    that with names); ``item`` has the raw tokens of the window, the counts are those of the item's windows by each."""
+    """(item_id, size, named, at, h, t, item, n_windows, n_named): windows of the items by both templates (``named``: by
+    that with names); ``t`` is the window's template, ``item`` has its raw tokens, the counts are those of the item's windows by each."""
     b = items.select(F.col("item_id").cast("long").alias("item_id"), raw_tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("raw")).distinct()
     b = b.withColumn("size", F.least(F.size("raw"), F.lit(p.window))).where(F.col("size") >= p.shortest)
     at = F.explode(F.sequence(F.lit(1), F.size("raw") - F.col("size") + 1))
@@ -123,7 +138,7 @@ def item_windows(items: DataFrame, p: LeakParams) -> DataFrame:
     b = b.where(F.size(F.filter("t", lambda x: ~_is_slot(x))) >= p.plain)
     # a window that tells enough by the template with names also does by the folded one
     total = b.groupBy("item_id").agg(F.count_if(~F.col("named")).alias("n_windows"), F.count_if("named").alias("n_named"))
-    return b.withColumn("h", F.xxhash64(codes(F.col("t")))).drop("t").join(total, "item_id")
+    return b.withColumn("h", F.xxhash64(codes(F.col("t")))).join(total, "item_id")
 
 
 def _bounded(df: DataFrame, most: int, size: Column | int = 64) -> DataFrame:
@@ -140,9 +155,11 @@ def leaks(docs: DataFrame, items: DataFrame, params: LeakParams | None = None) -
     sizes = sorted(r["size"] for r in b.select("size").distinct().collect())  # at most window values
     probes = _bounded(b.select("size", "h").distinct(), p.broadcast_bytes)
     tokens = d.select("doc_id", "key", raw_tokens(F.col("text")).alias("raw"))
-    tokens = tokens.select("doc_id", "key", codes(template(F.col("raw"))).alias("t"), codes(folded(F.col("raw"))).alias("f"))
+    tokens = tokens.select("doc_id", "key", codes(F.col("raw"), _with_names).alias("t"), codes(F.col("raw"), _without_names).alias("f"))
     t, f = F.col("t"), F.col("f")
-    windows = [w for size in sizes or [p.window] for w in (window_hashes(f, all_places(f, size), size), window_hashes(t, named_places(t, f, size), size))]  # of all sizes in one pass
+    first = [r["c"] for r in b.select(F.xxhash64(F.get("t", F.lit(0))).alias("c")).distinct().limit(p.anchors + 1).collect()]
+    begun = lambda c, places: F.filter(places, lambda i: F.get(c, i - 1).isin(first)) if len(first) <= p.anchors else places
+    windows = [w for size in sizes or [p.window] for w in (window_hashes(f, begun(f, all_places(f, size)), size), window_hashes(t, begun(t, named_places(t, f, size)), size))]  # of all sizes in one pass
     # the outer form: for the other, the planner asks for the array's size first, and makes all windows once more for that
     hits = tokens.select("doc_id", "key", F.explode_outer(F.concat(*windows)).alias("w")).select("doc_id", "key", "w.size", "w.at", "w.h")
     hits = stored(hits.join(probes, ["size", "h"], "left_semi").distinct(), "hits")
@@ -152,22 +169,24 @@ def leaks(docs: DataFrame, items: DataFrame, params: LeakParams | None = None) -
     some = d.join(ids, "key", "left_semi").dropDuplicates(["key"]).select("key", raw_tokens(F.col("text")).alias("raw"))
     own = hits.select("key", "doc_id", "size", F.col("at").alias("d_at"), "h").join(some, "key")
     own = own.select("key", "doc_id", "size", "d_at", "h", F.slice("raw", F.col("d_at"), F.col("size")).alias("doc"))
-    heavy = F.lit(96) + F.aggregate("item", F.lit(0), lambda n, x: n + F.octet_length(x) + 24)
-    form = lambda tokens: F.when(F.col("named"), template(F.col(tokens))).otherwise(folded(F.col(tokens)))
-    each = b.select("size", "h", "named", form("item").alias("t")).distinct()
-    own = own.join(_bounded(each, p.broadcast_bytes, F.lit(96) + F.aggregate("t", F.lit(0), lambda n, x: n + F.octet_length(x) + 24)), ["size", "h"]).where(form("doc") == F.col("t")).drop("t")
-    pairs = own.join(_bounded(b, p.broadcast_bytes, heavy), ["size", "h", "named"])
-    pairs = pairs.where(form("doc") == form("item")).withColumn("shift", F.col("d_at") - F.col("at"))
-    pairs = stored(pairs, "pairs")
+    bytes_of = lambda tokens: F.aggregate(tokens, F.lit(0), lambda n, x: n + F.octet_length(x) + 24)
+    form = F.when(F.col("named"), template(F.col("doc"))).otherwise(folded(F.col("doc")))
+    each = b.select("size", "h", "named", "t").distinct()
+    own = own.join(_bounded(each, p.broadcast_bytes, F.lit(96) + bytes_of("t")), ["size", "h"]).where(form == F.col("t"))
+    # a window that is verified has its item's template: no pair is put into that form again
+    pairs = own.join(_bounded(b, p.broadcast_bytes, F.lit(96) + bytes_of("item") + bytes_of("t")), ["size", "h", "named", "t"]).drop("t")
+    pairs = stored(pairs.withColumn("shift", F.col("d_at") - F.col("at")), "pairs")
     group = ["key", "doc_id", "item_id", "shift"]
-    slots = F.filter(F.arrays_zip(F.col("item").alias("i"), F.col("doc").alias("d")), lambda x: _is_slot(template(F.array(x["i"]))[0]))
+    slots = F.filter(F.arrays_zip(F.col("item").alias("i"), F.col("doc").alias("d")), lambda x: _has_slot(x["i"]))
     seen = pairs.select(*group, F.explode(slots).alias("s")).select(*group, _bare(F.col("s.i")).alias("i"), _bare(F.col("s.d")).alias("d"), F.col("s.i").substr(1, 1).alias("kind")).distinct()
     kind = F.when(F.col("kind").isin(_NAME, _UNIT), F.col("kind")).otherwise("0")
     seen = seen.withColumn("kind", kind)
     clash = seen.groupBy(*group, "kind", "i").agg(F.count("*").alias("n")).unionByName(seen.groupBy(*group, "kind", "d").agg(F.when(F.col("kind") == "0", 1).otherwise(F.count("*")).alias("n")).withColumnRenamed("d", "i"))
     slot_stats = clash.groupBy(*group).agg(F.max("n").alias("most"), F.count("*").alias("n_slots"))
-    verbatim = F.transform("doc", _bare) == F.transform("item", _bare)
-    counts = pairs.groupBy(*group).agg(F.countDistinct("at").alias("n_windows"), F.countDistinct(F.when(F.col("named"), F.col("at"))).alias("own_named"), F.countDistinct(F.when(verbatim, F.col("at"))).alias("own_verbatim"), F.first("n_windows").alias("item_windows"), F.first("n_named").alias("item_named"))
+    verbatim = _bare(F.array_join("doc", " ")) == _bare(F.array_join("item", " "))  # no token has a space
+    # both templates may match at one place: that is one window
+    places = pairs.select(*group, "at", "named", verbatim.alias("verbatim"), "n_windows", "n_named").repartition(*group).groupBy(*group, "at").agg(F.max("named").alias("named"), F.max("verbatim").alias("verbatim"), F.first("n_windows").alias("item_windows"), F.first("n_named").alias("item_named"))
+    counts = places.groupBy(*group).agg(F.count("*").alias("n_windows"), F.count_if("named").alias("own_named"), F.count_if("verbatim").alias("own_verbatim"), F.first("item_windows").alias("item_windows"), F.first("item_named").alias("item_named"))
     s, c = slot_stats.alias("s"), counts.alias("c")
     same = [F.col(f"c.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
     enough = F.col("c.n_windows") >= F.least(F.lit(p.least), F.col("c.item_windows"))
