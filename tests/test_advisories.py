@@ -5,6 +5,8 @@ import random
 import re
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from siltstone.cli import main
 from siltstone.functions import fact_store
 from siltstone.operators import advisories as A
@@ -63,6 +65,24 @@ def test_matches_are_not_shuffled(spark):
         assert sorted((r.no, r.code, r.detail) for r in found.collect()) == sorted(want * 3)
 
 
+def test_a_task_repeats_few_advisories(spark):
+    """However many advisories a dependency has, a task lists those of a share, in one order for one file after the other."""
+    share = 8 << 10
+    table = [("dask", None, "2.0.0", f"ADV-{k}") for k in range(1000)] + [(f"lib{k}", None, None, "x") for k in range(20)]
+    df = rows(spark, [("requirements.txt", f"dask==1.0.{k % 3}\nlib{k % 20}==1.0.0") for k in range(200)])
+    for most in (A.BROADCAST_BYTES, -1):
+        found = A.vulnerable(df, spark.createDataFrame(table, A.SCHEMA), most, 64, share)
+        got = found.select(F.spark_partition_id().alias("task"), "file", "no", "detail").collect()
+        assert len({(r.file, r.no, r.detail) for r in got}) == len(got) == 200 * 1001
+        for _, task in itertools.groupby(got, lambda r: r.task):
+            listed = [(r.file, r.detail) for r in task if r.no == 1]
+            details = {d: k for k, d in enumerate(dict.fromkeys(d for _, d in listed))}
+            assert sum(len(d) + 4 for d in details) <= 1.5 * share
+            for _, run in itertools.groupby(listed, lambda r: r[0]):
+                at = [details[d] for _, d in run]
+                assert at == list(range(at[0], at[0] + len(at)))
+
+
 def test_builtin_table_as_a_table(spark):
     df = rows(spark, [(n, t) for _, n, t, _ in CASES])
     by = lambda f: sorted((r.check_id, r.file, r.line, r.code, r.description, r["at"]) for r in f.collect())
